@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import datetime as dt
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from cropline.functions.scalars import date_in_year, ieee_div, is_known, plus_days
+from cropline.operators.relational import pin_rows
 
 # Above this many seasons the bounds are joined instead of written into the filter.
 MAX_PINNED_SEASONS = 64
@@ -59,10 +61,8 @@ def pin_bounds(bounds: DataFrame, limit: int = MAX_PINNED_SEASONS) -> PinnedBoun
     At most ``limit + 1`` rows reach the driver. With more seasons than that the bounds come back
     unchanged, and ``season_to_date`` joins them.
     """
-    rows = bounds.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return bounds
-    return PinnedBounds(tuple(rows), bounds.sparkSession.createDataFrame(rows, bounds.schema))
+    local = pin_rows(bounds, limit)
+    return bounds if local is bounds else PinnedBounds(tuple(local.collect()), local)
 
 
 def bounds_frame(bounds: PinnedBounds | DataFrame) -> DataFrame:
@@ -74,6 +74,19 @@ def _inside(date: Column, lower: Column | None, close: Column, upper: str) -> Co
     return below if lower is None else (date >= lower) & below
 
 
+def _pinned_range(rows: Sequence[Row], date: Column, lower: str | None, upper: str) -> Column:
+    known = [r for r in rows if r["season"] is not None and r["close"] is not None and (not lower or r[lower])]
+    if not known:
+        return F.lit(False)
+
+    def inside(first: dt.date | None, close: dt.date) -> Column:
+        return _inside(date, F.lit(first) if lower else None, F.lit(close), upper)
+
+    exact = [(F.col("season") == r["season"]) & inside(r[lower] if lower else None, r["close"]) for r in known]
+    overall = inside(min(r[lower] for r in known) if lower else None, max(r["close"] for r in known))
+    return F.col("season").isin([r["season"] for r in known]) & overall & reduce(or_, exact)
+
+
 def season_to_date(
     df: DataFrame,
     bounds: PinnedBounds | DataFrame | None,
@@ -84,8 +97,9 @@ def season_to_date(
     """Rows of each bounded season from ``lower`` (a bounds column) to the close date.
 
     ``upper`` is ``le`` or ``lt``. Seasons without bounds are dropped; ``bounds=None`` keeps everything.
-    Pinned bounds become (season, date range) literals that Catalyst pushes to both the fact scan and
-    the season dimension; unpinned ones are joined on season with the range as a residual.
+    Pinned bounds become literals: a season list for the season dimension, one overall date range for
+    the fact scan, and the exact (season, date range) pairs. Unpinned ones are joined on season with
+    the range as a residual.
     """
     if upper not in ("le", "lt"):
         raise ValueError(f"upper must be 'le' or 'lt', not {upper!r}")
@@ -93,13 +107,7 @@ def season_to_date(
         return df
     date = F.col(date_col)
     if isinstance(bounds, PinnedBounds):
-        ranges = [
-            (F.col("season") == r["season"])
-            & _inside(date, F.lit(r[lower]).cast("date") if lower else None, F.lit(r["close"]).cast("date"), upper)
-            for r in bounds.rows
-            if r["season"] is not None
-        ]
-        return df.filter(reduce(or_, ranges, F.lit(False)))
+        return df.filter(_pinned_range(bounds.rows, date, lower, upper))
     limits = bounds.select(
         "season",
         F.col("close").alias("__close"),

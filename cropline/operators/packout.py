@@ -8,7 +8,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cropline.functions.aggregates import sum_or_null, sum_or_zero
-from cropline.functions.scalars import days_between, is_finite, is_known, iso_week, ratio, t_quantile_975
+from cropline.functions.scalars import (
+    date_in_year,
+    days_between,
+    is_finite,
+    is_known,
+    iso_week,
+    plus_days,
+    ratio,
+    t_quantile_975,
+)
 from cropline.operators.bounds import PinnedBounds, season_to_date, with_packout
 
 Bounds = PinnedBounds | DataFrame
@@ -52,6 +61,30 @@ def packout_aggregate(
     )
 
 
+def packout_to_date(batches: DataFrame, month_day: str | None = None, days: int | None = None) -> DataFrame:
+    """``packout_aggregate`` within the bounds of the same batches, in one pass over them.
+
+    Batches are folded to (season, pack date) first; the season's first pack date and its close are
+    then read off those few rows. Exactly one of ``month_day`` and ``days`` sets the close.
+    """
+    if (month_day is None) == (days is None):
+        raise ValueError("give exactly one of month_day and days")
+    first = F.min("pack_date").over(Window.partitionBy("season"))
+    close = date_in_year("season", month_day) if month_day is not None else plus_days("first_pack", days)
+    daily = (
+        known_packout(batches)
+        .groupBy("season", "pack_date")
+        .agg(F.sum("input_kgs").alias("input_kgs"), F.sum("reject_kgs").alias("reject_kgs"))
+        .withColumn("first_pack", first)
+        .filter((F.col("pack_date") >= F.col("first_pack")) & (F.col("pack_date") < close))
+    )
+    return (
+        daily.groupBy("season")
+        .agg(F.sum("input_kgs").alias("input_kgs"), F.sum("reject_kgs").alias("reject_kgs"))
+        .withColumn("packout", 1 - ratio("reject_kgs", "input_kgs"))
+    )
+
+
 def packout_population(batches: DataFrame, bounds: Bounds) -> DataFrame:
     """Season input, reject and packout over all sites, missing weights counted as 0."""
     return (
@@ -68,29 +101,55 @@ def storage_day_cap(batches: DataFrame, season: int) -> DataFrame:
     return batches.filter(F.col("storage_days") <= longest.scalar())
 
 
-def packout_regression(batches: DataFrame) -> DataFrame:
+def storage_day_profile(batches: DataFrame) -> DataFrame:
+    """Count, mean and squared deviation of finite packouts by season and storage day."""
+    y = F.when(is_finite("packout"), F.col("packout"))
+    return (
+        batches.filter(F.col("storage_days").isNotNull())
+        .groupBy("season", "storage_days")
+        .agg(F.count(y).alias("n"), F.avg(y).alias("mean"), (F.var_pop(y) * F.count(y)).alias("dev"))
+    )
+
+
+def packout_regression(batches: DataFrame, cap_season: int | None = None) -> DataFrame:
     """Least squares of packout on storage days, one line per season.
 
     Slopes and intercepts equal those of the model with a season interaction. Standard errors use
     that model's residual variance, pooled over the seasons. ``sd_resid`` is the season's own residual
     deviation. Rows without a finite packout do not take part.
+
+    With ``cap_season``, only batches stored no longer than that season's longest-stored batch count,
+    as after ``storage_day_cap``. The batches are folded to (season, storage day) in one pass; the cap
+    and the fit are worked out on those few rows, over which the unpartitioned windows run.
     """
-    rows = batches.filter(F.col("storage_days").isNotNull() & is_finite("packout"))
-    y, x = F.col("packout"), F.col("storage_days").cast("double")
-    fits = rows.groupBy("season").agg(
-        F.regr_count(y, x).alias("n"),
-        F.regr_intercept(y, x).alias("intercept"),
-        F.regr_slope(y, x).alias("slope"),
-        F.regr_avgx(y, x).alias("mean_days"),
-        F.regr_sxx(y, x).alias("sxx"),
-        F.regr_syy(y, x).alias("syy"),
-        F.regr_sxy(y, x).alias("sxy"),
+    every = Window.partitionBy()
+    days = storage_day_profile(batches)
+    if cap_season is not None:
+        cap = F.max(F.when(F.col("season") == cap_season, F.col("storage_days"))).over(every)
+        days = days.withColumn("cap", cap).filter(F.col("storage_days") <= F.col("cap"))
+    x, n, mean = F.col("storage_days").cast("double"), F.col("n"), F.col("mean")
+    within = Window.partitionBy("season")
+    total = F.sum(n).over(within)
+    centred = (
+        days.filter(n > 0)
+        .withColumn("mean_days", F.sum(n * x).over(within) / total)
+        .withColumn("mean_packout", F.sum(n * mean).over(within) / total)
+    )
+    dx, dy = x - F.col("mean_days"), mean - F.col("mean_packout")
+    sums = centred.groupBy("season").agg(
+        F.sum(n).alias("n"),
+        F.max("mean_days").alias("mean_days"),
+        F.max("mean_packout").alias("mean_packout"),
+        F.sum(n * dx * dx).alias("sxx"),
+        F.sum(n * dx * dy).alias("sxy"),
+        F.sum(F.col("dev") + n * dy * dy).alias("syy"),
         F.min("storage_days").alias("min_days"),
         F.max("storage_days").alias("max_days"),
     )
-    # One row per season from here on; the unpartitioned window pools them.
+    fits = sums.withColumn("slope", ratio("sxy", "sxx")).withColumn(
+        "intercept", F.col("mean_packout") - F.col("slope") * F.col("mean_days")
+    )
     sse = F.greatest(F.col("syy") - F.col("slope") * F.col("sxy"), F.lit(0.0))
-    every = Window.partitionBy()
     pooled = ratio(F.sum("sse").over(every), F.sum("n").over(every) - 2 * F.count("slope").over(every))
     leverage = ratio(F.lit(1), "n") + ratio(F.col("mean_days") * F.col("mean_days"), "sxx")
     return (

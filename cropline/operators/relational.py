@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 
 from cropline.functions.aggregates import sum_or_null
 
+# Largest lookups that go through the driver.
+MAX_PINNED_ROWS = 10_000
+MAX_PINNED_VALUES = 1_000
+
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Project and rename: ``pick(df, season_id="SeasonID")``."""
-    return df.select(*[F.col(source).alias(name) for name, source in columns.items()])
+    return df.selectExpr(*[f"`{source}` AS `{name}`" for name, source in columns.items()])
 
 
 def relocate_first(df: DataFrame, *columns: str) -> DataFrame:
@@ -66,9 +70,29 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(marked, condition, how).drop(*[f"__{k}" for k in keys])
 
 
-def keep_members(df: DataFrame, members: DataFrame, key: str) -> DataFrame:
-    """Rows whose key occurs in ``members``."""
-    return df.join(members.select(key), key, "left_semi")
+def pin_rows(df: DataFrame, limit: int = MAX_PINNED_ROWS) -> DataFrame:
+    """Compute a lookup of a few rows once and return it as a local frame.
+
+    Spark knows a local frame's exact size, so a join to it is broadcast without a hint, where the
+    estimate for an aggregated or joined lookup would be far too large and would shuffle the fact
+    side on the lookup's few keys. At most ``limit + 1`` rows reach the driver; a larger lookup
+    comes back unchanged and is joined by shuffle.
+    """
+    rows = df.limit(limit + 1).toArrow()
+    return df if rows.num_rows > limit else df.sparkSession.createDataFrame(rows, schema=df.schema)
+
+
+def keep_members(df: DataFrame, members: DataFrame, key: str, limit: int = MAX_PINNED_VALUES) -> DataFrame:
+    """Rows whose key occurs in ``members``.
+
+    Up to ``limit`` members become a literal list, which Catalyst pushes to the table the key comes
+    from; with more, the rows are kept by a semi join.
+    """
+    names = members.select(key).filter(F.col(key).isNotNull()).distinct()
+    rows = names.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return df.join(names, key, "left_semi")
+    return df.filter(F.col(key).isin([r[0] for r in rows]))
 
 
 def bind_columns(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:

@@ -93,9 +93,10 @@ def bin_usage(t: Tables) -> DataFrame:
 
 
 def bins_for_grader_batch(t: Tables) -> DataFrame:
-    """Tipped bins by season, batch and delivery.
+    """Tipped bins by season, batch and delivery, sorted by season.
 
     Counted before the join, so that one very large batch is already reduced when it is shuffled.
+    The further sort keys let the sort split a season over several tasks.
     """
     counted = (
         pick(
@@ -111,7 +112,7 @@ def bins_for_grader_batch(t: Tables) -> DataFrame:
         .join(dim.seasons(t), "season_id")
         .groupBy("season", "grader_batch_id", "bin_delivery_id")
         .agg(F.sum("n").alias("bins_tipped"))
-        .orderBy("season")
+        .orderBy("season", "grader_batch_id", "bin_delivery_id")
     )
 
 

@@ -59,6 +59,12 @@ def tipped_per_batch(t: Tables) -> DataFrame:
     )
 
 
+def _with_season_and_site(t: Tables, batches: DataFrame) -> DataFrame:
+    """Joined before the weights, so that a filter on season or packing site cuts the batches before they
+    are shuffled."""
+    return batches.join(dim.seasons(t), "season_id").join(dim.companies(t, "packer_id", "pack_site"), "packer_id")
+
+
 def _reject():
     return (F.col("waste_kgs") + or_zero("juice_kgs") + or_zero("sample_kgs")).cast(KG).alias("reject_kgs")
 
@@ -79,14 +85,11 @@ def bins_tipped(t: Tables) -> DataFrame:
 def grader_batch_detail(t: Tables, juice_product: int = JUICE_PRODUCT) -> DataFrame:
     """Non-presize batches with all their dimensions, input and reject weight: one row per batch."""
     return (
-        _batches(t)
-        .filter(~F.col("presize_input"))
+        _with_season_and_site(t, _batches(t).filter(~F.col("presize_input")))
         .join(juice_kgs(t, juice_product), "grader_batch_id", "left")
         .join(sample_kgs(t), "grader_batch_id", "left")
-        .join(dim.seasons(t), "season_id")
         .join(dim.farms(t), "farm_id")
         .join(dim.subdivisions(t), "subdivision_id")
-        .join(dim.companies(t, "packer_id", "pack_site"), "packer_id")
         .join(dim.maturities(t), "maturity_id")
         .join(dim.storage_types(t), "storage_type_id")
         .join(dim.picks(t), "pick_no_id")
@@ -97,18 +100,32 @@ def grader_batch_detail(t: Tables, juice_product: int = JUICE_PRODUCT) -> DataFr
     )
 
 
+def _with_sample_lines(batches: DataFrame, lines: DataFrame) -> DataFrame:
+    """``batches`` left-joined to their sample lines, as an inner and an anti join.
+
+    At run time Spark can split a batch with very many lines in an inner join, but not when the lines
+    are the optional side of an outer join.
+    """
+    sampled = lines.select("grader_batch_id").distinct()
+    unsampled = batches.join(sampled, "grader_batch_id", "left_anti")
+    return batches.join(lines, "grader_batch_id").unionByName(unsampled, allowMissingColumns=True)
+
+
 def _grader_batch(t: Tables, batches: DataFrame, aggregate_samples: bool, juice_product: int) -> DataFrame:
-    samples = sample_kgs(t) if aggregate_samples else sample_lines(t)
-    return (
-        batches.join(juice_kgs(t, juice_product), "grader_batch_id", "left")
-        .join(samples, "grader_batch_id", "left")
+    batches = (
+        _with_season_and_site(t, batches)
+        .join(juice_kgs(t, juice_product), "grader_batch_id", "left")
         .join(tipped_per_batch(t), "grader_batch_id", "left")
-        .join(dim.seasons(t), "season_id")
-        .join(dim.farms(t), "farm_id")
+    )
+    if aggregate_samples:
+        batches = batches.join(sample_kgs(t), "grader_batch_id", "left")
+    else:
+        batches = _with_sample_lines(batches, sample_lines(t))
+    return (
+        batches.join(dim.farms(t), "farm_id")
         .join(dim.subdivisions(t), "subdivision_id")
         .join(dim.maturities(t), "maturity_id")
         .join(dim.picks(t), "pick_no_id")
-        .join(dim.companies(t, "packer_id", "pack_site"), "packer_id")
         .join(dim.companies(t, "farm_grower_id", "grower"), "farm_grower_id")
         .select(
             "grader_batch_id", "grader_batch", "season", "grower", F.col("farm_code").alias("rpin"),

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cropline.operators.relational import pick
+from cropline.functions.scalars import days_between
+from cropline.operators.relational import pick, pin_rows
 from cropline.plans import dimensions as dim
 from cropline.plans.dimensions import Tables
 from cropline.plans.quality_data import assessments, defect_lines, defect_names
@@ -53,7 +54,7 @@ def phyto_assessments(
     A pest under several rules appears once per rule, as its published totals were computed;
     ``dedupe=True`` keeps each finding once.
     """
-    rules = market_pest_rules(t, markets)
+    rules = pin_rows(market_pest_rules(t, markets))
     findings = _findings(t, template)
     if dedupe:
         covered = findings.join(rules, "mkt_defect_code", "left_semi")
@@ -110,23 +111,49 @@ def mpi_lots(t: Tables) -> DataFrame:
     return _lots(t).select("lot_id", "grader_batch_id", "pack_date", "season")
 
 
-def lot_pip_requirements(t: Tables) -> DataFrame:
-    """One row per lot requirement and pest."""
-    lot = pick(
-        t["ma_Grader_Batch_MPI_Lot_PIP_RequirementT"], lot_requirement_id="GraderBatchMPILotPIPRequirementID",
-        lot_id="GraderBatchMPILotID", pip_req_id="PIPReqID",
+_REQUIREMENT_COLUMNS = (
+    "lot_requirement_id", "lot_id", "pip_req_id", "declaration", "pip_group", "mkt_defect_code", "percent_limit",
+    "threshold_qty",
+)
+
+
+def _rules_of(t: Tables, lots: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join requirement and pest columns one table at a time, so that each is broadcast by its own size."""
+    requirements = pick(
+        t["pip_RequirementT"], pip_req_id="PIPReqID", declaration="DeclarationDesc", pip_group="PIPGroup"
     )
-    rules = pick(
-        t["pip_RequirementT"].join(t["pip_Requirement_PestT"], "PIPReqID"), pip_req_id="PIPReqID",
-        declaration="DeclarationDesc", pip_group="PIPGroup", mkt_defect_code="MktDefectCode",
+    pests = pick(
+        t["pip_Requirement_PestT"], pip_req_id="PIPReqID", mkt_defect_code="MktDefectCode",
         percent_limit="PercentLimit", threshold_qty="ThresholdQty",
     )
-    return lot.join(rules, "pip_req_id").select(
-        "lot_requirement_id", "lot_id", "pip_req_id", "declaration", "pip_group", "mkt_defect_code",
-        "percent_limit", "threshold_qty",
+    return lots.join(requirements, "pip_req_id").join(pests, list(keys))
+
+
+def _lot_requirements(t: Tables) -> DataFrame:
+    return pick(
+        t["ma_Grader_Batch_MPI_Lot_PIP_RequirementT"], lot_requirement_id="GraderBatchMPILotPIPRequirementID",
+        lot_id="GraderBatchMPILotID", pip_req_id="PIPReqID",
     )
 
 
+def lot_pip_requirements(t: Tables) -> DataFrame:
+    """One row per lot requirement and pest."""
+    return _rules_of(t, _lot_requirements(t), ["pip_req_id"]).select(*_REQUIREMENT_COLUMNS)
+
+
+def findings_with_requirements(t: Tables, summary: DataFrame) -> DataFrame:
+    """The rows of ``phyto.with_requirements(summary, lot_pip_requirements(t))`` by a cheaper route.
+
+    The summary meets the lot requirements before these are multiplied by their pests, so the
+    multiplied table is never shuffled.
+    """
+    lots = summary.join(_lot_requirements(t), "lot_id")
+    rows = _rules_of(t, lots, ["pip_req_id", "mkt_defect_code"])
+    return rows.select(
+        *summary.columns, *[c for c in _REQUIREMENT_COLUMNS if c not in summary.columns]
+    ).withColumn("storage_days", days_between("harvest_date", "pack_date"))
+
+
 def cartons_by_lot(t: Tables) -> DataFrame:
     return (
         pick(

@@ -10,6 +10,11 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a skewed join even where that costs one more shuffle: one batch, farm or lot may hold a
+    # large part of all rows.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Recording the Python call site of every column expression takes longer than planning here.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
 }
@@ -22,3 +27,10 @@ def build_session(app: str = "cropline", master: str | None = None, **settings:
     for key, value in {**SETTINGS, **settings}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def configure(spark: SparkSession) -> None:
+    """Apply the run-time part of the settings to a session somebody else built."""
+    for key, value in SETTINGS.items():
+        if key.startswith("spark.sql.adaptive."):
+            spark.conf.set(key, value)

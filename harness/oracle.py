@@ -366,6 +366,7 @@ ORACLES: dict[str, str] = {
     "packout_scatter": f"""SELECT CAST(pack_date AS STRING) AS pack_date, packout, packout_state FROM d_site_batch
         WHERE season = {CURRENT} AND {_KNOWN}""",
     "packout_to_date": "SELECT * FROM d_packout_to_date",
+    "packout_in_bounds": "SELECT * FROM d_packout_to_date",
     "packout_to_date_closed": f"""SELECT season, CAST(i AS DOUBLE) AS input_kgs, CAST(r AS DOUBLE) AS reject_kgs,
         1 - CAST(r AS DOUBLE) / CAST(i AS DOUBLE) AS packout FROM (
         SELECT season, sum(input_kgs) AS i, sum(reject_kgs) AS r FROM d_site_batch JOIN d_bounds USING (season)
@@ -417,6 +418,8 @@ ORACLES: dict[str, str] = {
     "phyto_lot_summary": out("SELECT * FROM d_lot_summary", text="pack_date harvest_date"),
     "phyto_with_requirements": out(
         "SELECT * FROM d_lot_finding", text="pack_date harvest_date", real="percent_limit threshold_qty"),
+    "phyto_with_lot_requirements": out(
+        "SELECT * FROM d_lot_finding", text="pack_date harvest_date", real="percent_limit threshold_qty"),
     "interception_rate": f"""SELECT season, with_interceptions, total,
         with_interceptions / CAST(total AS DOUBLE) AS rate FROM
         (SELECT season, count(DISTINCT lot_id) AS with_interceptions FROM d_lot_finding JOIN d_bounds USING (season)

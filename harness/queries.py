@@ -23,6 +23,7 @@ from cropline.operators import relational as rel
 from cropline.operators import size as sz
 from cropline.plans import fruit_data, harvest_data, packing_data, phyto_data, quality_data
 from cropline.plans.season_report import season_kpis
+from cropline.session import configure
 from harness.views import CURRENT, EXCLUDED, MONTH_DAY, PRIOR, SEASONS, SITE, SITES, source_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +34,7 @@ class Context:
     """Source tables and the frames that several queries start from."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        configure(spark)
         self.spark = spark
         self.t = source_tables(spark, sf_dir)
 
@@ -58,7 +60,7 @@ class Context:
 
     @cached_property
     def regression(self) -> DataFrame:
-        return po.packout_regression(po.storage_day_cap(self.closed_batches, CURRENT))
+        return po.packout_regression(self.closed_batches, cap_season=CURRENT)
 
     @cached_property
     def bounds(self) -> bnd.PinnedBounds | DataFrame:
@@ -81,10 +83,13 @@ class Context:
     def findings(self) -> DataFrame:
         return phyto_data.phyto_assessments(self.t)
 
+    @cached_property
+    def lot_summary(self) -> DataFrame:
+        return ph.phyto_lot_summary(self.findings, phyto_data.mpi_lot_detail(self.t))
+
     @cached_property
     def lot_findings(self) -> DataFrame:
-        summary = ph.phyto_lot_summary(self.findings, phyto_data.mpi_lot_detail(self.t))
-        return ph.with_requirements(summary, phyto_data.lot_pip_requirements(self.t))
+        return phyto_data.findings_with_requirements(self.t, self.lot_summary)
 
     @cached_property
     def pests(self) -> DataFrame:
@@ -374,6 +379,11 @@ def packout_scatter(x):
 
 @query
 def packout_to_date(x):
+    return po.packout_to_date(x.site_batches, month_day=MONTH_DAY)
+
+
+@query
+def packout_in_bounds(x):
     return po.packout_aggregate(x.site_batches, x.bounds)
 
 
@@ -384,8 +394,8 @@ def packout_to_date_closed(x):
 
 @query
 def packout_first_week(x):
-    week = bnd.pin_bounds(bnd.season_bounds(x.batches, SITE, days=7))
-    return po.packout_aggregate(x.site_batches, week, seasons=[PRIOR, CURRENT])
+    recent = x.site_batches.filter(F.col("season").isin(PRIOR, CURRENT))
+    return po.packout_to_date(recent, days=7)
 
 
 @query
@@ -471,11 +481,16 @@ def null_safe_join(x):
 
 @query
 def phyto_lot_summary(x):
-    return ph.phyto_lot_summary(x.findings, phyto_data.mpi_lot_detail(x.t))
+    return x.lot_summary
 
 
 @query
 def phyto_with_requirements(x):
+    return ph.with_requirements(x.lot_summary, phyto_data.lot_pip_requirements(x.t))
+
+
+@query
+def phyto_with_lot_requirements(x):
     return x.lot_findings
 
 

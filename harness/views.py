@@ -8,7 +8,9 @@ the check tables have none.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -186,7 +188,30 @@ VIEWS: dict[str, View] = {
 }
 
 
-def source_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    files = {v.source for v in VIEWS.values()}
-    base = {name: spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet") for name in sorted(files)}
-    return {name: view.frame(base[view.source]) for name, view in VIEWS.items()}
+class SourceTables(Mapping[str, DataFrame]):
+    """The source tables by name; a table's plan is made when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._root = spark, sf_dir.rstrip("/")
+        self._files: dict[str, DataFrame] = {}
+        self._tables: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._tables:
+            view = VIEWS[name]
+            if view.source not in self._files:
+                self._files[view.source] = self._spark.read.parquet(f"{self._root}/{view.source}.parquet")
+            self._tables[name] = view.frame(self._files[view.source])
+        return self._tables[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(VIEWS)
+
+    def __len__(self) -> int:
+        return len(VIEWS)
+
+
+@lru_cache(maxsize=8)
+def source_tables(spark: SparkSession, sf_dir: str) -> SourceTables:
+    """One set of table handles (plans, no data) per session and directory."""
+    return SourceTables(spark, sf_dir)
