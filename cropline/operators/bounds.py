@@ -114,4 +114,4 @@ def season_to_date(
         *([F.col(lower).alias("__lower")] if lower else []),
     )
     inside = _inside(date, F.col("__lower") if lower else None, F.col("__close"), upper)
-    return df.join(limits, "season").filter(inside).drop("__close", "__lower")
+    return df.join(limits, "season").filter(inside).select(*[f"`{c}`" for c in df.columns])

@@ -13,12 +13,10 @@ from cropline.sources.tables import register_views
 
 SQL_DIR = Path(__file__).resolve().parent.parent / "sql"
 
-HARVEST_CURVE = StructType.fromDDL(
-    "Season int, HarvestDate date, NoOfBins bigint, cumBins bigint, PlotDate date"
-)
+HARVEST_CURVE = "Season int, HarvestDate date, NoOfBins bigint, cumBins bigint, PlotDate date"
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """CSV with a header row and a declared schema. A malformed line fails the job instead of becoming nulls."""
     return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
 
