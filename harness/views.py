@@ -52,6 +52,8 @@ _PICK = (
 _DATE = "CAST(o_orderdate AS DATE)"
 _PRICE = "CAST(o_totalprice AS DECIMAL(18,2))"
 _LINE = "l_orderkey * 10 + l_linenumber"
+# Lines repeat (order, line number); with part of the part key the bin id is nearly unique.
+_BIN = f"({_LINE}) * 1000 + l_partkey % 1000 AS BinID"
 # Bins of two neighbouring deliveries go to two neighbouring batches; a third is not tipped yet.
 _BATCH_OF_BIN = (
     "CASE WHEN l_returnflag <> 'N' THEN l_orderkey - l_orderkey % 2 + l_linenumber % 2 END AS GraderBatchID"
@@ -68,7 +70,7 @@ VIEWS: dict[str, View] = {
         "CASE WHEN o_orderstatus = 'F' THEN o_orderkey - o_orderkey % 4 + 1 END AS PresizeOutputFromGraderBatchID",
         "CAST(o_totalprice / 50 AS DECIMAL(18,4)) AS TotalWeight",
     )),
-    "ma_BinT": View("lineitem", (f"{_LINE} AS BinID", "l_orderkey AS BinDeliveryID", _BATCH_OF_BIN)),
+    "ma_BinT": View("lineitem", (_BIN, "l_orderkey AS BinDeliveryID", _BATCH_OF_BIN)),
     "ma_Bin_UsageT": View("lineitem", (
         "l_orderkey AS BinDeliveryID", _BATCH_OF_BIN, "CAST(l_quantity AS BIGINT) AS BinQty",
     )),
@@ -95,7 +97,7 @@ VIEWS: dict[str, View] = {
     "ma_Grader_Batch_MPI_Lot_PIP_RequirementT": View("lineitem", (
         f"{_LINE} AS GraderBatchMPILotPIPRequirementID", "l_orderkey AS GraderBatchMPILotID",
         "CAST(l_linenumber AS BIGINT) AS PIPReqID",
-    )),
+    ), distinct=True),
     "ma_CartonT": View("lineitem", (
         f"concat('C', CAST({_LINE} AS STRING)) AS CartonNo", "CAST(year(l_shipdate) AS BIGINT) AS SeasonID",
         "CASE WHEN l_linenumber < 7 THEN l_orderkey END AS GraderBatchMPILotID",
@@ -105,7 +107,7 @@ VIEWS: dict[str, View] = {
         "o_orderkey AS TransferID", f"{_SITE} AS FromStorageSiteCompanyID", f"{_MONTH} AS ToStorageSiteCompanyID",
         f"{_DATE} AS TransferDate",
     )),
-    "ma_Transfer_BinT": View("lineitem", ("l_orderkey - l_orderkey % 10 AS TransferID", f"{_LINE} AS BinID")),
+    "ma_Transfer_BinT": View("lineitem", ("l_orderkey - l_orderkey % 10 AS TransferID", _BIN)),
     "qa_AssessmentT": View("orders", (
         "o_orderkey AS AssessmentID",
         "CASE WHEN o_totalprice >= 20000 THEN o_orderkey - o_orderkey % 3 END AS GraderBatchID",
