@@ -6,8 +6,14 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cropline.operators.relational import pin_rows
 from cropline.schema import TABLES, schema_of
 
+SMALL_DIMENSIONS = (
+    "sw_SeasonT", "sw_SubdivisionT", "sw_MaturityT", "sw_Pick_NoT", "sw_CompanyT", "sw_Storage_TypeT", "qa_TemplateT",
+    "pip_Market_RequirementT", "pip_RequirementT", "pip_Requirement_PestT",
+)
+
 
 def read_tables(
     spark: SparkSession, root: str, names: Iterable[str] = TABLES, fmt: str = "parquet"
@@ -16,6 +22,17 @@ def read_tables(
     return {n: spark.read.schema(schema_of(n)).format(fmt).load(f"{root.rstrip('/')}/{n}") for n in names}
 
 
+def pin_dimensions(
+    tables: Mapping[str, DataFrame], names: Iterable[str] = SMALL_DIMENSIONS
+) -> dict[str, DataFrame]:
+    """The tables with small dimensions read once into local frames.
+
+    A database table has no size estimate, so Spark would shuffle a fact on a dimension's few keys
+    instead of broadcasting the dimension. Dimensions above the row limit of ``pin_rows`` stay as they are.
+    """
+    return {**tables, **{n: pin_rows(tables[n]) for n in names}}
+
+
 def register_views(tables: Mapping[str, DataFrame]) -> None:
     """Make the tables visible to SQL text under their own names."""
     for name, df in tables.items():
