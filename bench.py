@@ -25,7 +25,7 @@ HEADLINE = (
     "season_bounds", "packout_to_date", "packout_regression", "harvest_by_site", "harvest_rate", "pick_share",
     "cumulative_harvest", "tipped_by_site", "defect_assessment_summary", "defect_profile", "top_defects",
     "phyto_findings", "interception_rate", "pest_counts", "size_moments", "size_band_pivot", "size_histogram",
-    "season_kpi_table",
+    "season_kpis",
 )
 
 

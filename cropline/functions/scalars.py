@@ -132,6 +132,11 @@ def percent_text(c: Column | str, digits: int = 1) -> Column:
     return F.when(_col(c).isNotNull(), F.format_string(f"%.{digits}f%%", _col(c).cast("double") * 100))
 
 
+def round_half_even(c: Column | str, digits: int) -> Column:
+    """Rounding of a displayed figure; ties go to the even digit."""
+    return F.bround(_col(c), digits)
+
+
 def thousands_text(c: Column | str) -> Column:
     return F.format_number(_col(c), 0)
 

@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cropline.sources.tables import conform
+
 
 @dataclass(frozen=True)
 class JdbcDatabase:
@@ -48,7 +50,7 @@ def read_options(
 ) -> dict[str, str]:
     if (table is None) == (query is None):
         raise ValueError("give exactly one of table and query")
-    opts = {"url": db.url, "fetchsize": "10000", **db.options}
+    opts = {"url": db.url, "fetchsize": "10000", "preferTimestampNTZ": "true", **db.options}
     if query is not None and split is not None:
         opts["dbtable"] = f"({query}) q"  # a split read needs a relation, not a bare query
     elif query is not None:
@@ -82,9 +84,9 @@ def read_jdbc(
 def read_jdbc_tables(
     spark: SparkSession, db: JdbcDatabase, names: Iterable[str], splits: Mapping[str, Split] | None = None
 ) -> dict[str, DataFrame]:
-    """``{table: frame}`` for the dataset functions. Give the fact tables a split."""
+    """``{table: frame}`` for the dataset functions, in declared types. Give the fact tables a split."""
     splits = splits or {}
-    return {n: read_jdbc(spark, db, table=n, split=splits.get(n)) for n in names}
+    return {n: conform(read_jdbc(spark, db, table=n, split=splits.get(n)), n) for n in names}
 
 
 CATALOG_CLASS = "org.apache.spark.sql.execution.datasources.v2.jdbc.JDBCTableCatalog"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cropline.operators.relational import pin_rows
 from cropline.schema import TABLES, schema_of
@@ -22,6 +23,11 @@ def read_tables(
     return {n: spark.read.schema(schema_of(n)).format(fmt).load(f"{root.rstrip('/')}/{n}") for n in names}
 
 
+def conform(df: DataFrame, table: str) -> DataFrame:
+    """The declared columns of a source table in their declared types, such as a date kept as a timestamp."""
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema_of(table)])
+
+
 def pin_dimensions(
     tables: Mapping[str, DataFrame], names: Iterable[str] = SMALL_DIMENSIONS
 ) -> dict[str, DataFrame]:

@@ -452,9 +452,11 @@ ORACLES: dict[str, str] = {
     "size_band_pivot": "SELECT * FROM d_band_wide",
     "size_histogram": """SELECT b.bin, count(w.batch_id) AS count FROM (SELECT unnest(range(32)) AS bin) b
         LEFT JOIN d_band_wide w ON b.bin = CAST(least(floor(w."FP" * 32), 31) AS BIGINT) GROUP BY b.bin""",
-    "season_kpi_table": out("SELECT * FROM d_kpi", text="first_harvest last_harvest first_pack"),
+    "season_kpis": out("SELECT * FROM d_kpi", text="first_harvest last_harvest first_pack"),
     "display_strings": """SELECT season AS "Season", format('{:,}', bins) AS "Bins harvested",
         strftime(first_pack, '%d %B %Y') AS "First pack", printf('%.1f%%', packout * 100) AS "Packout" FROM d_kpi""",
+    "display_rounding": """SELECT season, round_even(mean_eq, 1) AS mm,
+        printf('%.1f%%', (mean_eq / lag(mean_eq) OVER (ORDER BY season) - 1) * 100) AS yoy_change FROM d_moments""",
     "project_filter": f"""SELECT storage_site, season, CAST(harvest_date AS STRING) AS harvest_date, no_of_bins,
         presize_flag, pick_no, CAST(no_of_bins AS DOUBLE) / 2 AS half_bins FROM d_delivery
         WHERE NOT presize_flag AND harvest_date BETWEEN '1996-01-15' AND '2000-12-20'

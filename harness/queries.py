@@ -22,7 +22,7 @@ from cropline.operators import phyto as ph
 from cropline.operators import relational as rel
 from cropline.operators import size as sz
 from cropline.plans import fruit_data, harvest_data, packing_data, phyto_data, quality_data
-from cropline.plans.season_report import season_kpis
+from cropline.plans.season_report import season_kpis as season_table
 from cropline.session import configure
 from harness.views import CURRENT, EXCLUDED, MONTH_DAY, PRIOR, SEASONS, SITE, SITES, source_tables
 
@@ -36,7 +36,7 @@ class Context:
     def __init__(self, spark: SparkSession, sf_dir: str):
         configure(spark)
         self.spark = spark
-        self.t = source_tables(spark, sf_dir)
+        self.t = source_tables(spark, str(sf_dir))
 
     @cached_property
     def deliveries(self) -> DataFrame:
@@ -556,13 +556,13 @@ def size_histogram(x):
 # --- report ----------------------------------------------------------------------------------
 
 @query
-def season_kpi_table(x):
-    return season_kpis(x.deliveries, x.tipped, x.batches, SITE, x.bounds)
+def season_kpis(x):
+    return season_table(x.deliveries, x.tipped, x.batches, SITE, x.bounds)
 
 
 @query
 def display_strings(x):
-    kpis = season_kpis(x.deliveries, x.tipped, x.batches, SITE, x.bounds)
+    kpis = season_table(x.deliveries, x.tipped, x.batches, SITE, x.bounds)
     return kpis.select(
         F.col("season").alias("Season"),
         sc.thousands_text("bins").alias("Bins harvested"),
@@ -571,6 +571,14 @@ def display_strings(x):
     )
 
 
+@query
+def display_rounding(x):
+    change = sz.yoy_change(x.moments, "mean_eq")
+    return change.select(
+        "season", sc.round_half_even("value", 1).alias("mm"), sc.percent_text("yoy", 1).alias("yoy_change")
+    )
+
+
 # --- relational primitives -------------------------------------------------------------------
 
 @query

@@ -6,8 +6,8 @@ from cropline.operators.size import size_moments
 from cropline.plans import fruit_data, packing_data
 from cropline.schema import TABLES, schema_of
 from cropline.sources import files, jdbc, sinks
-from cropline.sources.tables import read_tables
-from tests.fixtures import day
+from cropline.sources.tables import conform, read_tables
+from tests.fixtures import at, day
 
 
 @pytest.fixture(scope="module")
@@ -87,6 +87,16 @@ def test_dataset_sink_prunes_seasons(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(season" in plan_of(one) and one.first()["x"] == 2
 
 
+def test_conform_gives_declared_types(spark):
+    raw = spark.createDataFrame(
+        [(1, 11, 12, at("2024-03-01T00:00:00"), "x")],
+        "TransferID int, FromStorageSiteCompanyID int, ToStorageSiteCompanyID int, TransferDate timestamp_ntz, Extra string",
+    )
+    df = conform(raw, "ma_TransferT")
+    assert [(f.name, f.dataType) for f in df.schema] == [(f.name, f.dataType) for f in schema_of("ma_TransferT")]
+    assert df.first()["TransferDate"] == day("2024-03-01")
+
+
 def test_jdbc_options():
     db = jdbc.JdbcDatabase.from_env("PACK", {"PACK_URL": "jdbc:x://h/db", "PACK_USER": "u", "PACK_PASSWORD": "p"})
     assert db.password == "p" and "password" not in repr(db)
