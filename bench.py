@@ -18,7 +18,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from cropline.session import build_session  # noqa: E402
-from harness.queries import QUERIES  # noqa: E402
+from cropline_check.queries import QUERIES  # noqa: E402
 
 HEADLINE = (
     "batch_detail", "batch_detail_fanout", "bin_delivery", "bin_usage", "bins_for_batch", "transfers",

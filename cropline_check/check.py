@@ -1,4 +1,4 @@
-"""Run the registered queries next to their DuckDB statements: ``python -m harness.check [sf_dir] [key ...]``."""
+"""Run the registered queries next to their DuckDB statements: ``python -m cropline_check.check [sf_dir] [key ...]``."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ import duckdb
 from pyspark.sql import SparkSession
 
 from cropline.session import build_session
-from harness.oracle import oracle_statements
-from harness.queries import QUERIES
+from cropline_check.oracle import oracle_statements
+from cropline_check.queries import QUERIES
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 

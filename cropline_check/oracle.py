@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from harness.views import CURRENT, EXCLUDED, JUICE, MONTH_DAY, PRIOR, SEASONS, SITE, SITES, VIEWS
+from cropline_check.views import CURRENT, EXCLUDED, JUICE, MONTH_DAY, PRIOR, SEASONS, SITE, SITES, VIEWS
 
 
 def out(sql: str, text: str = "", real: str = "", whole: str = "") -> str:

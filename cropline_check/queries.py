@@ -24,7 +24,7 @@ from cropline.operators import size as sz
 from cropline.plans import fruit_data, harvest_data, packing_data, phyto_data, quality_data
 from cropline.plans.season_report import season_kpis as season_table
 from cropline.session import configure
-from harness.views import CURRENT, EXCLUDED, MONTH_DAY, PRIOR, SEASONS, SITE, SITES, source_tables
+from cropline_check.views import CURRENT, EXCLUDED, MONTH_DAY, PRIOR, SEASONS, SITE, SITES, source_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}

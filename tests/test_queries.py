@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry_point
-from harness.check import compare, connect
+from cropline_check.check import compare, connect
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="check tables not present")
