@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cropline.functions.aggregates import running_sum, share_within, sum_or_null
 from cropline.functions.scalars import date_in_year, days_between, move_to_year, ratio
 from cropline.operators.bounds import PinnedBounds, bounds_frame, season_to_date
-from cropline.operators.relational import pivot_wider, sum_across, with_total_row
+from cropline.operators.relational import column_names, pivot_wider, sum_across, with_total_row
 
 Bounds = PinnedBounds | DataFrame
 
@@ -22,13 +22,18 @@ def not_presized(deliveries: DataFrame) -> DataFrame:
     return deliveries.filter(~F.col("presize_flag"))
 
 
-def harvest_by_site(deliveries: DataFrame, bounds: Bounds, sites: Sequence[str]) -> DataFrame:
-    """Bins harvested to date: one row per season, one column per listed storage site, and their total."""
+def harvest_by_site(deliveries: DataFrame, bounds: Bounds, sites: Sequence[str] | None = None) -> DataFrame:
+    """Bins harvested to date: one row per season, one column per storage site, and their total.
+
+    Listed ``sites`` spare the job that finds the sites in the data.
+    """
     by_site = (
         season_to_date(not_presized(deliveries), bounds, "harvest_date", lower="first_harvest")
         .groupBy("season", "storage_site")
         .agg(sum_or_null("no_of_bins").alias("bins"))
     )
+    if sites is None:
+        sites = column_names(by_site, "storage_site")
     wide = pivot_wider(by_site, ["season"], "storage_site", "bins", sites)
     return wide.withColumn("total", sum_across(F.col(f"`{s}`") for s in sites))
 

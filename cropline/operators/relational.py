@@ -30,6 +30,14 @@ def sum_across(columns: Iterable[Column]) -> Column:
     return reduce(add, columns)
 
 
+def column_names(df: DataFrame, names_from: str, limit: int = MAX_PINNED_VALUES) -> list:
+    """The distinct non-null values that become pivot columns, sorted. Fails above ``limit``."""
+    names = df.select(names_from).filter(F.col(names_from).isNotNull()).distinct().limit(limit + 1).collect()
+    if len(names) > limit:
+        raise ValueError(f"more than {limit} values of {names_from} to make columns of")
+    return sorted(r[0] for r in names)
+
+
 def pivot_wider(
     df: DataFrame, by: Sequence[str], names_from: str, values_from: str, names: Sequence, fill=0
 ) -> DataFrame:

@@ -90,6 +90,8 @@ def test_harvest_by_site(deliveries, bounds, rows_of):
     got = hv.harvest_by_site(deliveries, bounds, ["Cool store", "Unused"])
     assert got.columns == ["season", "Cool store", "Unused", "total"]
     assert rows_of(got) == [(2024, 30, 0, 30), (2025, 85, 0, 85)]
+    found = hv.harvest_by_site(deliveries, bounds)
+    assert found.columns == ["season", "Cool store", "total"] and rows_of(found, "total") == [(30,), (85,)]
 
 
 def test_harvest_duration_and_rate(deliveries, rows_of):

@@ -9,6 +9,13 @@ def test_pivot_fills_missing_cells_but_keeps_null_values(spark, rows_of):
     assert rows_of(rel.pivot_wider(df, ["k"], "n", "v", ["a", "b", "c"])) == [(1, 5, None, 0), (2, 7, 0, 0)]
 
 
+def test_column_names(spark):
+    df = spark.createDataFrame([("b",), ("a",), (None,), ("b",)], "k string")
+    assert rel.column_names(df, "k") == ["a", "b"]
+    with pytest.raises(ValueError):
+        rel.column_names(df, "k", limit=1)
+
+
 def test_total_row(spark, rows_of):
     df = spark.createDataFrame([("x", 1, 2), (None, 10, None)], "k string, a int, b int")
     assert rows_of(rel.with_total_row(df, "k", ["a", "b"])) == sorted(
