@@ -27,14 +27,20 @@ def settings():
     return ReportSettings(SITE, ["Cool store"], 2025, 2024, "-04-20", archive_seasons=[2023], excluded_pests=["LLT"])
 
 
-def test_share_without_a_folder_is_the_plan_itself(spark, tables):
-    if spark.sparkContext.getCheckpointDir() is not None:
-        pytest.skip("the session already has a checkpoint folder")
+@pytest.fixture(scope="module", autouse=True)
+def checkpoint_folder(spark, tmp_path_factory):
+    """The session's own shared folder, or a temporary one where it names none."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
+
+
+def test_share_without_a_folder_is_the_plan_itself(spark, tables, monkeypatch):
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
     assert share(tables["ma_BinT"]) is tables["ma_BinT"]
 
 
 def test_whole_report(spark, tables, archive, settings, tmp_path, rows_of):
-    spark.sparkContext.setCheckpointDir(str(tmp_path / "shared"))
     frames = report_frames(pin_dimensions(tables), settings, archive)
     write_chart_data(frames, str(tmp_path / "report"))
     back = {name: spark.read.parquet(str(tmp_path / "report" / name)) for name in frames}
@@ -55,6 +61,5 @@ def test_pinned_dimensions_hold_the_same_rows(tables, rows_of):
         assert rows_of(pinned[name]) == rows_of(tables[name]) and pinned[name].schema == tables[name].schema
 
 
-def test_share_gives_the_same_rows(spark, tables, tmp_path, rows_of):
-    spark.sparkContext.setCheckpointDir(str(tmp_path))
+def test_share_gives_the_same_rows(tables, rows_of):
     assert rows_of(share(tables["ma_BinT"])) == rows_of(tables["ma_BinT"])
