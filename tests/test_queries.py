@@ -11,8 +11,6 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="check tables not present")
 
 QUERIES, ORACLE = entry_point.queries(), entry_point.oracle_sql()
-# Empty or single-season results are expected at this scale only where named here.
-MAY_BE_EMPTY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +29,7 @@ def test_entry(spark):
 @pytest.mark.parametrize("key", sorted(QUERIES))
 def test_same_rows_as_duckdb(spark, con, key):
     problem = compare(spark, con, SF, key, ORACLE[key])
-    assert problem is None or (problem == "no rows" and key in MAY_BE_EMPTY), problem
+    assert problem is None, problem
 
 
 @pytest.mark.parametrize("threshold", ["10MB", "-1"])
