@@ -6,11 +6,13 @@ import pytest
 
 import __spark_entry__ as entry_point
 from cropline_check.check import compare, connect
+from cropline_check.oracle import oracle_statements
+from cropline_check.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="check tables not present")
 
-QUERIES, ORACLE = entry_point.queries(), entry_point.oracle_sql()
+ORACLE = oracle_statements()
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +22,7 @@ def con():
 
 def test_every_query_has_a_statement():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry_point.queries()) and set(ORACLE) <= set(entry_point.oracle_sql())
 
 
 def test_entry(spark):
