@@ -48,7 +48,7 @@ def quarter(turn: Column) -> Column:
 
 
 def windows(
-    turns: DataFrame, budget: int = 512, history: int = 128, block_turns: int = 1024,
+    turns: DataFrame, budget: int = 512, history: int = 128, block_turns: int = 256,
     conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
     token_count: Callable[[Column], Column] = quarter,
 ) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cropline.llm import (
-    best_fit_packing, decontaminate, kneser_ney, line_edit_join, line_frequency, tier_packing,
+    best_fit_packing, chat_windows, decontaminate, kneser_ney, line_edit_join, line_frequency, ngram_jaccard, pii_bootstrap,
+    tier_packing, weak_toxicity,
 )
 
 
@@ -38,6 +39,13 @@ def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_score", "score", "perplexity")
 
 
+def op4_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_bootstrap.find_spans(table(spark, sf_dir, "documents"))
+    kinds = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii_bootstrap.KINDS]
+    return found.select("doc_id", *kinds, F.sha2(pii_bootstrap.listed(F.col("base")), 256).alias("base_sha256"),
+                        pii_bootstrap.listed(F.col("spans")).alias("spans"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pieces_of(best_fit_packing.pack(table(spark, sf_dir, "documents")))
 
@@ -50,8 +58,27 @@ def op7_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_edit_join.judge_lines(table(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.judge_documents(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+def op9_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    scored = weak_toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat_windows.read_back(chat_windows.windows(turns))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_line_frequency, op2_decontamination, op3_kneser_ney, op5_best_fit_packing, op6_tier_packing, op7_line_edit_join,
+        op1_line_frequency, op2_decontamination, op3_kneser_ney, op4_pii_bootstrap,
+        op5_best_fit_packing, op6_tier_packing, op7_line_edit_join, op8_ngram_jaccard, op9_weak_toxicity, op10_chat_windows,
     )
 }
