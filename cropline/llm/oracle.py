@@ -1,5 +1,90 @@
-"""DuckDB statements of the registered queries that SQL can express."""
+"""DuckDB statements of the registered queries that SQL can express, written from the contracts, not from the operators."""
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORD = r"'[^ \t\n\x0B\x0C\r]+'"
+
+OP1 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, source, t, regexp_extract_all(t, {WORD}) AS ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {WORD})) AS full_lines FROM d),
+windows AS (SELECT rid, i, array_to_string(ws[i:i + 4], ' ') AS win
+            FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+again AS (SELECT rid, win FROM windows GROUP BY rid, win HAVING count(*) > 1),
+covered AS (SELECT rid, count(DISTINCT p) AS n FROM (
+    SELECT windows.rid, unnest(range(i, i + 5)) AS p FROM windows JOIN again USING (rid, win)) GROUP BY rid),
+lines AS (SELECT rid, source, x, no FROM (
+    SELECT rid, source, unnest(string_split(t, chr(10))) AS x, unnest(range(len(string_split(t, chr(10))))) AS no FROM d)
+    WHERE regexp_matches(x, {WORD})),
+norms AS (SELECT rid, source, no, len(regexp_extract_all(x, {WORD})) AS words, regexp_replace(translate(
+    array_to_string(regexp_extract_all(x, {WORD}), ' '), '{UPPER}', '{LOWER}'), '[0-9]', '0', 'g') AS norm FROM lines),
+common AS (SELECT source, norm FROM norms GROUP BY source, norm HAVING count(DISTINCT rid) > 5),
+gone AS (SELECT rid, sum(words) AS words, count(*) AS n FROM norms
+         JOIN common ON norms.norm = common.norm AND norms.source IS NOT DISTINCT FROM common.source GROUP BY rid),
+c AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+             CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(len(full_lines) - len(list_distinct(full_lines)) AS BIGINT) AS n_dup_lines,
+             CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
+             CAST(coalesce(gone.words, 0) AS BIGINT) AS n_removed_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed_lines
+      FROM w LEFT JOIN covered USING (rid) LEFT JOIN gone USING (rid)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c)
+SELECT *, NOT base_failed AND n_words - n_removed_words >= 10 AND 2 * (n_words - n_removed_words) >= n_words AS kept FROM b
+"""
+
+TOKEN = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+OP2 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
+                  regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), {TOKEN}) AS ws FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item_id,
+                 regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), {TOKEN}) AS ws FROM benchmark),
+grams AS (SELECT DISTINCT item_id, size, array_to_string(ws[i:i + size - 1], ' ') AS gram FROM (
+    SELECT item_id, ws, least(len(ws), 13) AS size, unnest(range(1, len(ws) - least(len(ws), 13) + 2)) AS i
+    FROM items WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT size FROM grams),
+windows AS (SELECT rid, i, size, array_to_string(ws[i:i + size - 1], ' ') AS gram FROM (
+    SELECT rid, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM d, sizes WHERE len(ws) >= size)),
+hits AS (SELECT DISTINCT rid, i, windows.size, item_id FROM windows JOIN grams USING (gram, size)),
+covered AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + size)) AS p FROM hits) GROUP BY rid),
+found AS (SELECT rid, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM hits GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(found.n, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(covered.n, 0) > 0 AND 20 * coalesce(covered.n, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN covered USING (rid) LEFT JOIN found USING (rid)
+"""
+
+OP8 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), {WORD}) AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS sh FROM (
+    SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM o JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * shared >= 80 * (p.n + q.n - shared)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CAST(least(d.doc_id, coalesce(low.b, d.doc_id)) AS BIGINT) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.a = d.doc_id
+"""
+
+OP7 = """
+WITH RECURSIVE l AS (SELECT doc_id, CAST(no AS INTEGER) AS line_no, trim(x, ' ' || chr(9) || chr(13)) AS line FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents)),
+k AS (SELECT * FROM l WHERE length(line) >= 24),
+u AS (SELECT line, length(line) AS n, length(line) // 3 AS s FROM (SELECT DISTINCT line FROM k)),
+p AS (SELECT a.line AS a, b.line AS b FROM u a JOIN u b ON b.n BETWEEN a.n AND a.n + 2
+      WHERE a.line <> b.line AND (contains(b.line, a.line[1:a.s]) OR contains(b.line, a.line[a.s + 1:2 * a.s])
+            OR contains(b.line, a.line[2 * a.s + 1:a.n])) AND levenshtein(a.line, b.line) <= 2),
+links AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+named AS (SELECT line, least(line, coalesce(min(b), line)) AS class FROM u LEFT JOIN reach ON a = line GROUP BY line),
+degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+firsts AS (SELECT class, min({'d': doc_id, 'n': line_no}) AS f FROM k JOIN named USING (line) GROUP BY class)
+SELECT k.doc_id, k.line_no, f.d AS class_doc, f.n AS class_line, CAST(coalesce(degrees.n, 0) AS BIGINT) AS n_links,
+       f.d <> k.doc_id OR f.n <> k.line_no AS removed
+FROM k JOIN named USING (line) JOIN firsts USING (class) LEFT JOIN degrees ON degrees.a = k.line
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_line_frequency": OP1, "op2_decontamination": OP2, "op7_line_edit_join": OP7, "op8_ngram_jaccard": OP8,
+}

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cropline.llm import (
     best_fit_packing, chat_windows, decontaminate, kneser_ney, line_edit_join, line_frequency, ngram_jaccard, pii_bootstrap,
     tier_packing, weak_toxicity,
@@ -59,7 +60,7 @@ def op7_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard.judge_documents(table(spark, sf_dir, "documents")).drop("text_key")
+    return ngram_jaccard.judge_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op9_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,4 +82,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_line_frequency, op2_decontamination, op3_kneser_ney, op4_pii_bootstrap,
         op5_best_fit_packing, op6_tier_packing, op7_line_edit_join, op8_ngram_jaccard, op9_weak_toxicity, op10_chat_windows,
     )
-}
+} | {"pipeline": corpus_pipeline.run}
