@@ -42,7 +42,8 @@ def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_bootstrap.find_spans(table(spark, sf_dir, "documents"))
-    kinds = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii_bootstrap.KINDS]
+    of_kind = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
+    kinds = [of_kind(kind).alias(f"n_{kind}") for kind in pii_bootstrap.KINDS]
     return found.select("doc_id", *kinds, F.sha2(pii_bootstrap.listed(F.col("base")), 256).alias("base_sha256"),
                         pii_bootstrap.listed(F.col("spans")).alias("spans"))
 
