@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-import datetime as dt
-from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
-from functools import reduce
-from operator import or_
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cropline.functions.scalars import date_in_year, ieee_div, is_known, plus_days
-from cropline.operators.relational import pin_rows
-
-# Above this many seasons the bounds are joined instead of written into the filter.
-MAX_PINNED_SEASONS = 64
 
 
 def with_packout(batches: DataFrame) -> DataFrame:
@@ -47,49 +39,21 @@ def season_bounds(
     return firsts.withColumn("close", close)
 
 
-@dataclass(frozen=True)
-class PinnedBounds:
-    """Bounds known on the driver: a handful of rows, also available as a local frame."""
-
-    rows: tuple[Row, ...]
-    frame: DataFrame
-
-
-def pin_bounds(bounds: DataFrame, limit: int = MAX_PINNED_SEASONS) -> PinnedBounds | DataFrame:
-    """Compute the bounds once so that later filters carry them as literals.
-
-    At most ``limit + 1`` rows reach the driver. With more seasons than that the bounds come back
-    unchanged, and ``season_to_date`` joins them.
-    """
-    local = pin_rows(bounds, limit)
-    return bounds if local is bounds else PinnedBounds(tuple(local.collect()), local)
-
-
-def bounds_frame(bounds: PinnedBounds | DataFrame) -> DataFrame:
-    return bounds.frame if isinstance(bounds, PinnedBounds) else bounds
-
-
 def _inside(date: Column, lower: Column | None, close: Column, upper: str) -> Column:
     below = date <= close if upper == "le" else date < close
     return below if lower is None else (date >= lower) & below
 
 
-def _pinned_range(rows: Sequence[Row], date: Column, lower: str | None, upper: str) -> Column:
-    known = [r for r in rows if r["season"] is not None and r["close"] is not None and (not lower or r[lower])]
-    if not known:
-        return F.lit(False)
-
-    def inside(first: dt.date | None, close: dt.date) -> Column:
-        return _inside(date, F.lit(first) if lower else None, F.lit(close), upper)
-
-    exact = [(F.col("season") == r["season"]) & inside(r[lower] if lower else None, r["close"]) for r in known]
-    overall = inside(min(r[lower] for r in known) if lower else None, max(r["close"] for r in known))
-    return F.col("season").isin([r["season"] for r in known]) & overall & reduce(or_, exact)
+def one_per_season(bounds: DataFrame) -> DataFrame:
+    """The widest bounds of each season, for sources that list a season more than once."""
+    known = bounds.filter(F.col("season").isNotNull() & F.col("close").isNotNull())
+    firsts = [F.min(c).alias(c) for c in ("first_harvest", "first_pack") if c in bounds.columns]
+    return known.groupBy("season").agg(*firsts, F.max("close").alias("close"))
 
 
 def season_to_date(
     df: DataFrame,
-    bounds: PinnedBounds | DataFrame | None,
+    bounds: DataFrame | None,
     date_col: str,
     lower: str | None = None,
     upper: str = "le",
@@ -97,21 +61,20 @@ def season_to_date(
     """Rows of each bounded season from ``lower`` (a bounds column) to the close date.
 
     ``upper`` is ``le`` or ``lt``. Seasons without bounds are dropped; ``bounds=None`` keeps everything.
-    Pinned bounds become literals: a season list for the season dimension, one overall date range for
-    the fact scan, and the exact (season, date range) pairs. Unpinned ones are joined on season with
-    the range as a residual.
+    A season listed more than once has its earliest start and latest close. The bounds are joined on
+    season with the range as a residual; the range over all seasons is a scalar subquery besides, which
+    Spark works out first and pushes into the scan of ``df``.
     """
     if upper not in ("le", "lt"):
         raise ValueError(f"upper must be 'le' or 'lt', not {upper!r}")
     if bounds is None:
         return df
-    date = F.col(date_col)
-    if isinstance(bounds, PinnedBounds):
-        return df.filter(_pinned_range(bounds.rows, date, lower, upper))
-    limits = bounds.select(
-        "season",
-        F.col("close").alias("__close"),
-        *([F.col(lower).alias("__lower")] if lower else []),
+    limits = one_per_season(bounds).select(
+        "season", F.col("close").alias("__close"), *([F.col(lower).alias("__lower")] if lower else [])
     )
+    date = F.col(date_col)
+    overall = date <= limits.agg(F.max("__close")).scalar()
+    if lower:
+        overall = (date >= limits.agg(F.min("__lower")).scalar()) & overall
     inside = _inside(date, F.col("__lower") if lower else None, F.col("__close"), upper)
-    return df.join(limits, "season").filter(inside).select(*[f"`{c}`" for c in df.columns])
+    return df.filter(overall).join(limits, "season").filter(inside).select(*[f"`{c}`" for c in df.columns])

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from cropline.functions.aggregates import sum_or_null, sum_or_zero
 from cropline.functions.scalars import day_of, ieee_div, is_known
-from cropline.operators.bounds import PinnedBounds, season_to_date
+from cropline.operators.bounds import season_to_date
 
-Bounds = PinnedBounds | DataFrame
+Bounds = DataFrame
 
 
 def sample_qty_by_batch(assessments: DataFrame, bounds: Bounds | None = None) -> DataFrame:

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from cropline.functions.aggregates import running_sum, share_within, sum_or_null
 from cropline.functions.scalars import date_in_year, days_between, move_to_year, ratio
-from cropline.operators.bounds import PinnedBounds, bounds_frame, season_to_date
-from cropline.operators.relational import column_names, pivot_wider, sum_across, with_total_row
+from cropline.operators.bounds import one_per_season, season_to_date
+from cropline.operators.relational import column_names, pivot_wider, with_total_row
 
-Bounds = PinnedBounds | DataFrame
+Bounds = DataFrame
 
 
 def not_presized(deliveries: DataFrame) -> DataFrame:
@@ -23,19 +23,22 @@ def not_presized(deliveries: DataFrame) -> DataFrame:
 
 
 def harvest_by_site(deliveries: DataFrame, bounds: Bounds, sites: Sequence[str] | None = None) -> DataFrame:
-    """Bins harvested to date: one row per season, one column per storage site, and their total.
+    """Bins harvested to date: one row per season, one column per storage site, and the total of all of them.
 
-    Listed ``sites`` spare the job that finds the sites in the data.
+    With ``sites`` listed, the other sites share the column ``other_sites``, and deliveries without a site have
+    ``no_site``; no job is needed to find the sites.
     """
-    by_site = (
-        season_to_date(not_presized(deliveries), bounds, "harvest_date", lower="first_harvest")
-        .groupBy("season", "storage_site")
-        .agg(sum_or_null("no_of_bins").alias("bins"))
-    )
+    to_date = season_to_date(not_presized(deliveries), bounds, "harvest_date", lower="first_harvest")
+    site = F.col("storage_site")
     if sites is None:
-        sites = column_names(by_site, "storage_site")
-    wide = pivot_wider(by_site, ["season"], "storage_site", "bins", sites)
-    return wide.withColumn("total", sum_across(F.col(f"`{s}`") for s in sites))
+        sites = [s for s in column_names(to_date, "storage_site") if s is not None]
+    columns = {s: site.eqNullSafe(F.lit(s)) for s in sites}
+    columns["other_sites"] = site.isNotNull() & ~site.isin(list(sites)) if sites else site.isNotNull()
+    columns["no_site"] = site.isNull()
+    bins = F.col("no_of_bins")
+    known = lambda here: F.count_if(here & bins.isNull()) == 0
+    cells = [F.when(known(here), F.coalesce(F.sum(F.when(here, bins)), F.lit(0))).alias(name) for name, here in columns.items()]
+    return to_date.groupBy("season").agg(*cells, sum_or_null("no_of_bins").alias("total"))
 
 
 def harvest_total(deliveries: DataFrame, bounds: Bounds) -> DataFrame:
@@ -110,7 +113,7 @@ def harvest_growth(bins: DataFrame, bounds: Bounds, current: int, prior: int) ->
     ``growth_as_published`` divides by the prior bins over the *current* season's days, as the
     published figure does; ``growth_consistent`` uses the prior season's own days.
     """
-    seasons = bins.join(bounds_frame(bounds), "season").withColumn("days", days_between("first_harvest", "close"))
+    seasons = bins.join(one_per_season(bounds), "season").withColumn("days", days_between("first_harvest", "close"))
     b, d = F.col("bins").cast("double"), F.col("days").cast("double")
     pair = seasons.filter(F.col("season").isin(current, prior)).agg(
         _of(current, b).alias("b1"), _of(prior, b).alias("b0"), _of(current, d).alias("d1"), _of(prior, d).alias("d0")

@@ -18,9 +18,9 @@ from cropline.functions.scalars import (
     ratio,
     t_quantile_975,
 )
-from cropline.operators.bounds import PinnedBounds, season_to_date, with_packout
+from cropline.operators.bounds import season_to_date, with_packout
 
-Bounds = PinnedBounds | DataFrame
+Bounds = DataFrame
 
 
 def packout_by_batch(batches: DataFrame, site: str, closed_only: bool = False) -> DataFrame:
@@ -95,9 +95,13 @@ def packout_population(batches: DataFrame, bounds: Bounds) -> DataFrame:
     )
 
 
-def storage_day_cap(batches: DataFrame, season: int) -> DataFrame:
-    """Batches stored no longer than the longest-stored batch of ``season``."""
-    longest = batches.filter(F.col("season") == season).agg(F.max("storage_days"))
+def storage_day_cap(batches: DataFrame, season: int, plain: DataFrame | None = None) -> DataFrame:
+    """Batches stored no longer than the longest-stored batch of ``season``.
+
+    Where ``batches`` repeats a batch per sample line, ``plain`` is the same with one row per batch: the maximum is
+    found there, and Catalyst drops the joins that only add weights.
+    """
+    longest = (batches if plain is None else plain).filter(F.col("season") == season).agg(F.max("storage_days"))
     return batches.filter(F.col("storage_days") <= longest.scalar())
 
 

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from cropline.functions.aggregates import sum_or_null, sum_or_zero
 from cropline.functions.scalars import day_of, days_between, not_in, ratio
-from cropline.operators.bounds import PinnedBounds, season_to_date
+from cropline.operators.bounds import season_to_date
 
-Bounds = PinnedBounds | DataFrame
+Bounds = DataFrame
 
 # Pest codes that do not count as an interception.
 EXCLUDED_PESTS = ("LLT", "ROT009")
@@ -60,14 +60,19 @@ def interception_rate(
 def pest_counts(findings: DataFrame, lots: DataFrame, bounds: Bounds | None) -> DataFrame:
     """Pest quantity by season and defect, by assessment date up to the close date.
 
-    The join to lots only repeats a finding whose lot is listed more than once.
+    A finding counts once for each row that ``lots`` (the lot table is enough) has of its lot, and once where it has
+    none. Findings are summed by lot before they meet the counts, so those without a lot are few rows by then.
     """
     dated = findings.withColumn("assessment_date", day_of("assessed_at"))
-    return (
+    by_lot = (
         season_to_date(dated, bounds, "assessment_date")
         .groupBy("season", "lot_id", "defect")
         .agg(sum_or_null("defect_qty").alias("defect_qty"))
-        .join(lots.select("lot_id"), "lot_id", "left")
+    )
+    repeated = lots.groupBy("lot_id").agg(F.count(F.lit(1)).alias("__copies")).filter("__copies > 1")
+    return (
+        by_lot.join(repeated, "lot_id", "left")
+        .withColumn("defect_qty", F.col("defect_qty") * F.coalesce("__copies", F.lit(1)))
         .groupBy("season", "defect")
         .agg(sum_or_null("defect_qty").alias("defect_qty"))
     )

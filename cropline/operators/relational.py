@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 
 from cropline.functions.aggregates import sum_or_null
 
-# Largest lookups that go through the driver.
-MAX_PINNED_ROWS = 10_000
-MAX_PINNED_VALUES = 1_000
-
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Project and rename: ``pick(df, season_id="SeasonID")``."""
@@ -30,26 +26,24 @@ def sum_across(columns: Iterable[Column]) -> Column:
     return reduce(add, columns)
 
 
-def column_names(df: DataFrame, names_from: str, limit: int = MAX_PINNED_VALUES) -> list:
-    """The distinct non-null values that become pivot columns, sorted. Fails above ``limit``."""
-    names = df.select(names_from).filter(F.col(names_from).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(names) > limit:
-        raise ValueError(f"more than {limit} values of {names_from} to make columns of")
-    return sorted(r[0] for r in names)
+def column_names(df: DataFrame, names_from: str) -> list:
+    """The distinct values that become pivot columns, sorted, null last. They are column names, so they go to the driver."""
+    names = [r[0] for r in df.select(names_from).distinct().collect()]
+    return sorted(n for n in names if n is not None) + [None] * (None in names)
 
 
 def pivot_wider(
     df: DataFrame, by: Sequence[str], names_from: str, values_from: str, names: Sequence, fill=0
 ) -> DataFrame:
-    """One column per listed name. ``df`` has at most one row per (by, name).
+    """One column per listed name; None makes the column ``null``. ``df`` has at most one row per (by, name).
 
     Cells without a row get ``fill``; a cell whose value is null stays null.
     """
     cells = []
     for name in names:
-        here = F.col(names_from) == F.lit(name)
+        here = F.col(names_from).eqNullSafe(F.lit(name))
         cells.append(
-            F.when(F.count_if(here) > 0, F.max(F.when(here, F.col(values_from)))).otherwise(F.lit(fill)).alias(str(name))
+            F.when(F.count_if(here) > 0, F.max(F.when(here, F.col(values_from)))).otherwise(F.lit(fill)).alias("null" if name is None else str(name))
         )
     return df.groupBy(*by).agg(*cells)
 
@@ -78,36 +72,34 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(marked, condition, how).drop(*[f"__{k}" for k in keys])
 
 
-def pin_rows(df: DataFrame, limit: int = MAX_PINNED_ROWS) -> DataFrame:
-    """Compute a lookup of a few rows once and return it as a local frame.
+def left_join_spread(left: DataFrame, right: DataFrame, key: str, spread_by: Sequence[str]) -> DataFrame:
+    """Left join on ``key`` in which rows without a key, which match nothing, are dealt out by other columns.
 
-    Spark knows a local frame's exact size, so a join to it is broadcast without a hint, where the
-    estimate for an aggregated or joined lookup would be far too large and would shuffle the fact
-    side on the lookup's few keys. At most ``limit + 1`` rows reach the driver; a larger lookup
-    comes back unchanged and is joined by shuffle.
+    ``right`` has at most one row per key. Without this all rows whose key is null meet in one task.
     """
-    rows = df.limit(limit + 1).toArrow()
-    return df if rows.num_rows > limit else df.sparkSession.createDataFrame(rows, schema=df.schema)
-
+    marked = left.withColumns({"__key": F.coalesce(F.col(key).cast("bigint"), F.xxhash64(*spread_by)), "__known": F.col(key).isNotNull()})
+    other = right.filter(F.col(key).isNotNull()).withColumns({"__key": F.col(key).cast("bigint"), "__known": F.lit(True)}).drop(key)
+    return marked.join(other, ["__key", "__known"], "left").drop("__key", "__known")
 
-def keep_members(df: DataFrame, members: DataFrame, key: str, limit: int = MAX_PINNED_VALUES) -> DataFrame:
-    """Rows whose key occurs in ``members``.
 
-    Up to ``limit`` members become a literal list, which Catalyst pushes to the table the key comes
-    from; with more, the rows are kept by a semi join.
-    """
-    names = members.select(key).filter(F.col(key).isNotNull()).distinct()
-    rows = names.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return df.join(names, key, "left_semi")
-    return df.filter(F.col(key).isin([r[0] for r in rows]))
+def keep_members(df: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """Rows whose key occurs in ``members``."""
+    return df.join(members.select(key).distinct(), key, "left_semi")
 
 
 def bind_columns(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
-    """Put two report tables side by side by row position.
+    """Put two frames side by side by row position in their orders; positions that only one has are dropped.
 
-    Row positions need one global order, so this is for aggregated frames of a few rows only.
+    Values are counted first, and the running sum of the counts is the position before each value, so the only
+    unpartitioned window runs over distinct values. Rows of equal value are numbered within their value.
     """
-    a = left.withColumn("__row", F.row_number().over(Window.orderBy(left_order)))
-    b = right.withColumn("__row", F.row_number().over(Window.orderBy(right_order)))
-    return a.join(b, "__row").drop("__row")
+    def placed(df: DataFrame, order: str) -> DataFrame:
+        counts = df.groupBy(F.col(order).alias("__value")).agg(F.count(F.lit(1)).alias("__n"))
+        before = Window.orderBy("__value").rowsBetween(Window.unboundedPreceding, -1)
+        starts = counts.select("__value", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+        own = F.row_number().over(Window.partitionBy(order).orderBy(*[c for c in df.columns if c != order] or [order]))
+        numbered = df.withColumn("__own", own)
+        return numbered.join(starts, F.col(order).eqNullSafe(F.col("__value"))).withColumn(
+            "__row", F.col("__start") + F.col("__own")).drop("__own", "__value", "__start")
+
+    return placed(left, left_order).join(placed(right, right_order), "__row").drop("__row")

@@ -100,15 +100,15 @@ def grader_batch_detail(t: Tables, juice_product: int = JUICE_PRODUCT) -> DataFr
     )
 
 
-def _with_sample_lines(batches: DataFrame, lines: DataFrame) -> DataFrame:
-    """``batches`` left-joined to their sample lines, as an inner and an anti join.
+def _with_sample_lines(batches: DataFrame, lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """``batches`` left-joined to their sample lines, as one inner join.
 
-    At run time Spark can split a batch with very many lines in an inner join, but not when the lines
-    are the optional side of an outer join.
+    Batches without a line get an empty one first, found on the keys alone. At run time Spark can split a batch with
+    very many lines in an inner join, but not when the lines are the optional side of an outer join.
     """
     sampled = lines.select("grader_batch_id").distinct()
-    unsampled = batches.join(sampled, "grader_batch_id", "left_anti")
-    return batches.join(lines, "grader_batch_id").unionByName(unsampled, allowMissingColumns=True)
+    unsampled = ids.distinct().join(sampled, "grader_batch_id", "left_anti")
+    return batches.join(lines.unionByName(unsampled, allowMissingColumns=True), "grader_batch_id")
 
 
 def _grader_batch(t: Tables, batches: DataFrame, aggregate_samples: bool, juice_product: int) -> DataFrame:
@@ -120,7 +120,8 @@ def _grader_batch(t: Tables, batches: DataFrame, aggregate_samples: bool, juice_
     if aggregate_samples:
         batches = batches.join(sample_kgs(t), "grader_batch_id", "left")
     else:
-        batches = _with_sample_lines(batches, sample_lines(t))
+        ids = pick(t["ma_Grader_BatchT"], grader_batch_id="GraderBatchID")
+        batches = _with_sample_lines(batches, sample_lines(t), ids)
     return (
         batches.join(dim.farms(t), "farm_id")
         .join(dim.subdivisions(t), "subdivision_id")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cropline.functions.scalars import days_between
-from cropline.operators.relational import pick, pin_rows
+from cropline.operators.relational import pick
 from cropline.plans import dimensions as dim
 from cropline.plans.dimensions import Tables
 from cropline.plans.quality_data import assessments, defect_lines, defect_names
@@ -54,7 +54,7 @@ def phyto_assessments(
     A pest under several rules appears once per rule, as its published totals were computed;
     ``dedupe=True`` keeps each finding once.
     """
-    rules = pin_rows(market_pest_rules(t, markets))
+    rules = market_pest_rules(t, markets)
     findings = _findings(t, template)
     if dedupe:
         covered = findings.join(rules, "mkt_defect_code", "left_semi")
@@ -107,6 +107,11 @@ def mpi_lot_sites(t: Tables) -> DataFrame:
     )
 
 
+def lot_ids(t: Tables) -> DataFrame:
+    """The lot table's lots, as often as it lists them."""
+    return pick(t["ma_Grader_Batch_MPI_LotT"], lot_id="GraderBatchMPILotID")
+
+
 def mpi_lots(t: Tables) -> DataFrame:
     return _lots(t).select("lot_id", "grader_batch_id", "pack_date", "season")
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cropline.operators.relational import pick
+from cropline.operators.relational import left_join_spread, pick
 from cropline.plans import dimensions as dim
 from cropline.plans.dimensions import Tables
 
@@ -74,4 +74,4 @@ def defect_assessment_summary(t: Tables, templates: Sequence[int] = DEFECT_TEMPL
         .agg(F.sum("defect_qty").alias("defect_qty"))
     )
     sampled = assessed.groupBy("grader_batch_id").agg(F.sum("sample_qty").alias("sample_qty"))
-    return found.join(sampled, "grader_batch_id", "left").select(*keys, "defect_qty", "sample_qty")
+    return left_join_spread(found, sampled, "grader_batch_id", keys[:-2] + keys[-1:]).select(*keys, "defect_qty", "sample_qty")

@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cropline.functions.scalars import days_between
-from cropline.operators.bounds import PinnedBounds, bounds_frame
-from cropline.operators.harvest import harvest_duration, harvest_rate, harvest_total, pick_share, tipped_total
-from cropline.operators.packout import packout_aggregate, packout_by_batch
-
-COLUMNS = (
-    "season", "first_harvest", "last_harvest", "first_pack", "days_packing", "bins", "bins_per_day",
-    "first_pick_share", "bins_tipped", "packout",
-)
+from cropline.functions.aggregates import sum_or_null
+from cropline.functions.scalars import date_in_year, days_between, ratio
+from cropline.operators.packout import known_packout, packout_by_batch
 
 
 def season_kpis(
@@ -23,26 +17,49 @@ def season_kpis(
     tipped: DataFrame,
     batches: DataFrame,
     site: str,
-    bounds: PinnedBounds | DataFrame,
+    month_day: str,
+    seasons: Iterable[int] | None = None,
     first_pick: int = 1,
 ) -> DataFrame:
-    """One row per bounded season with the figures the report quotes.
+    """One row per season that has batches of ``site`` with a known packout, with the figures the report quotes.
 
-    Every figure arrives as one row per season; they are stacked and folded by season in a single
-    small aggregation instead of being joined one after the other.
+    Each source is folded once to a row per season and day (and pick); bounds and figures are worked out on those few
+    rows. Sums are null where one of their values is null, as everywhere in the report.
     """
-    limits = bounds_frame(bounds)
-    figures = [
-        limits.select("season", "first_harvest", "first_pack", days_between("first_pack", "close").alias("days_packing")),
-        harvest_duration(deliveries).select("season", "last_harvest"),
-        harvest_rate(deliveries).select("season", "bins_per_day"),
-        harvest_total(deliveries, bounds),
-        pick_share(deliveries)
-        .filter(F.col("pick_no") == first_pick)
-        .select("season", F.col("share").alias("first_pick_share")),
-        tipped_total(tipped, bounds).withColumnRenamed("bins", "bins_tipped"),
-        packout_aggregate(packout_by_batch(batches, site), bounds).select("season", "packout"),
-    ]
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), figures)
-    folded = stacked.groupBy("season").agg(*[F.max(c).alias(c) for c in COLUMNS[1:]])
-    return folded.join(limits.select("season"), "season", "left_semi")
+    known = known_packout(packout_by_batch(batches, site))
+    if seasons is not None:
+        known = known.filter(F.col("season").isin(list(seasons)))
+    packed = known.groupBy("season", "pack_date").agg(
+        F.min("harvest_date").alias("harvest_date"),
+        sum_or_null("input_kgs").alias("input_kgs"), sum_or_null("reject_kgs").alias("reject_kgs"),
+    )
+    limits = packed.groupBy("season").agg(
+        F.min("harvest_date").alias("first_harvest"), F.min("pack_date").alias("first_pack")
+    ).withColumn("close", date_in_year("season", month_day))
+    kilos = packed.join(limits, "season").filter((F.col("pack_date") >= F.col("first_pack")) & (F.col("pack_date") < F.col("close")))
+    packout = kilos.groupBy("season").agg(sum_or_null("input_kgs").alias("input_kgs"), sum_or_null("reject_kgs").alias("reject_kgs"))
+
+    picked = deliveries.groupBy("season", "harvest_date", "pick_no", F.coalesce("presize_flag", F.lit(True)).alias("presize")).agg(
+        sum_or_null("no_of_bins").alias("bins"))
+    days = picked.join(limits, "season").withColumns({
+        "plain": ~F.col("presize"),
+        "to_date": ~F.col("presize") & F.col("harvest_date").between(F.col("first_harvest"), F.col("close")),
+        "first": F.coalesce(F.col("pick_no") == first_pick, F.lit(False))})
+
+    def total(rows: str) -> Column:
+        here = F.coalesce(F.col(rows), F.lit(False)) if rows else F.lit(True)
+        return F.when((F.count_if(here) > 0) & (F.count_if(here & F.col("bins").isNull()) == 0), F.sum(F.when(here, F.col("bins"))))
+
+    day = F.when(F.col("plain"), F.col("harvest_date"))
+    harvest = days.groupBy("season").agg(
+        F.max(day).alias("last_harvest"), days_between(F.min(day), F.max(day)).alias("harvest_days"),
+        total("plain").alias("whole"), total("to_date").alias("bins"), total("").alias("every"), total("first").alias("first_pick"))
+    done = tipped.groupBy("season", "pack_date").agg(sum_or_null("no_of_bins_tipped").alias("bins")).join(limits, "season").filter(
+        F.col("pack_date") <= F.col("close")).groupBy("season").agg(sum_or_null("bins").alias("bins_tipped"))
+    return (
+        limits.join(harvest, "season", "left").join(done, "season", "left").join(packout, "season", "left")
+        .select(
+            "season", "first_harvest", "last_harvest", "first_pack", days_between("first_pack", "close").alias("days_packing"),
+            "bins", ratio("whole", "harvest_days").alias("bins_per_day"), ratio("first_pick", "every").alias("first_pick_share"),
+            "bins_tipped", (1 - ratio("reject_kgs", "input_kgs")).alias("packout"))
+    )

@@ -9,8 +9,6 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from cropline.sources.tables import register_views
-
 SQL_DIR = Path(__file__).resolve().parent.parent / "sql"
 
 HARVEST_CURVE = "Season int, HarvestDate date, NoOfBins bigint, cumBins bigint, PlotDate date"
@@ -26,9 +24,9 @@ def run_sql_file(
 ) -> DataFrame:
     """Run the SELECT in a .sql file. ``:name`` markers take their value from ``args``.
 
-    Comments and line breaks stay as they are; Spark reads both. With ``tables``, they are registered
-    as views first.
+    ``{table}`` stands for one of ``tables``, which Spark names for this query alone; other names are looked up in the
+    session. Comments and line breaks stay as they are.
     """
-    if tables is not None:
-        register_views(tables)
-    return spark.sql(Path(path).read_text(encoding="utf-8").strip().rstrip(";"), args=args or None)
+    text = Path(path).read_text(encoding="utf-8").strip().rstrip(";")
+    used = {name: df for name, df in (tables or {}).items() if "{" + name + "}" in text}
+    return spark.sql(text, args=args or None, **used)

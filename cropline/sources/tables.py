@@ -7,15 +7,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cropline.operators.relational import pin_rows
 from cropline.schema import TABLES, schema_of
 
-SMALL_DIMENSIONS = (
-    "sw_SeasonT", "sw_SubdivisionT", "sw_MaturityT", "sw_Pick_NoT", "sw_CompanyT", "sw_Storage_TypeT", "qa_TemplateT",
-    "pip_Market_RequirementT", "pip_RequirementT", "pip_Requirement_PestT",
-)
-
-
 def read_tables(
     spark: SparkSession, root: str, names: Iterable[str] = TABLES, fmt: str = "parquet"
 ) -> dict[str, DataFrame]:
@@ -28,18 +21,24 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema_of(table)])
 
 
-def pin_dimensions(
-    tables: Mapping[str, DataFrame], names: Iterable[str] = SMALL_DIMENSIONS
-) -> dict[str, DataFrame]:
-    """The tables with small dimensions read once into local frames.
+def land(df: DataFrame, path: str, by: str | None = None, mode: str = "errorifexists") -> DataFrame:
+    """Write a frame as parquet to a folder that all executors share, and read it back.
 
-    A database table has no size estimate, so Spark would shuffle a fact on a dimension's few keys
-    instead of broadcasting the dimension. Dimensions above the row limit of ``pin_rows`` stay as they are.
+    Later plans see its real size, and filters on ``by`` skip whole folders. Nothing depends on the executors that
+    computed it.
     """
-    return {**tables, **{n: pin_rows(tables[n]) for n in names}}
+    writer = df.write.mode(mode)
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
 
 
-def register_views(tables: Mapping[str, DataFrame]) -> None:
-    """Make the tables visible to SQL text under their own names."""
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
+def land_tables(tables: Mapping[str, DataFrame], root: str, by: str = "SeasonID", mode: str = "errorifexists") -> dict[str, DataFrame]:
+    """Land source tables under ``root``, partitioned by season where they have one and are no dimension.
+
+    A database table has no size estimate, so Spark would shuffle a fact on a dimension's few keys; the landed
+    dimension is broadcast by its measured size.
+    """
+    return {
+        n: land(df, f"{root.rstrip('/')}/{n}", by if by in df.columns and not n.startswith("sw_") else None, mode)
+        for n, df in tables.items()
+    }

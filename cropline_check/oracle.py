@@ -229,18 +229,26 @@ DATASETS: dict[str, str] = {
         FROM d_bounds b LEFT JOIN d_duration d USING (season) LEFT JOIN d_harvest_total h USING (season)
         LEFT JOIN (SELECT * FROM d_pick WHERE pick_no = 1) p USING (season)
         LEFT JOIN d_tipped_total t USING (season) LEFT JOIN d_packout_to_date k USING (season)""",
+    "d_site_bins": """SELECT season, storage_site, no_of_bins FROM d_delivery JOIN d_bounds USING (season)
+        WHERE NOT presize_flag AND harvest_date BETWEEN first_harvest AND close""",
     "d_site_wide": "SELECT season, " + ", ".join(
+        f"CAST(coalesce(sum(no_of_bins) FILTER (storage_site = '{s}'), 0) AS BIGINT) AS \"{s}\"" for s in SITES[:2]
+    ) + f""", CAST(coalesce(sum(no_of_bins) FILTER (storage_site NOT IN ('{SITES[0]}', '{SITES[1]}')), 0) AS BIGINT) AS other_sites,
+        CAST(coalesce(sum(no_of_bins) FILTER (storage_site IS NULL), 0) AS BIGINT) AS no_site,
+        CAST(sum(no_of_bins) AS BIGINT) AS total FROM d_site_bins GROUP BY season""",
+    "d_site_shares": "SELECT season, CAST(sum(no_of_bins) AS BIGINT) AS total, " + ", ".join(
         f"CAST(coalesce(sum(no_of_bins) FILTER (storage_site = '{s}'), 0) AS BIGINT) AS \"{s}\"" for s in SITES
-    ) + f""", CAST(coalesce(sum(no_of_bins) FILTER (storage_site IN ({', '.join(f"'{s}'" for s in SITES)})), 0)
-        AS BIGINT) AS total FROM d_delivery JOIN d_bounds USING (season)
-        WHERE NOT presize_flag AND harvest_date BETWEEN first_harvest AND close GROUP BY season""",
+    ) + " FROM d_site_bins GROUP BY season",
 }
 
 _PROP_COLUMNS = "grader_batch_id, defect, defect_qty, sample_qty, season, pack_date, input_kgs, reject_kgs"
 _T = "(n - 2)"
-_T975 = f"""(1.959963984540054 + (z3 + z1) / (4 * {_T}) + (5 * z5 + 16 * z3 + 3 * z1) / (96 * {_T} ** 2)
+_T975_SERIES = f"""(1.959963984540054 + (z3 + z1) / (4 * {_T}) + (5 * z5 + 16 * z3 + 3 * z1) / (96 * {_T} ** 2)
     + (3 * z7 + 19 * z5 + 17 * z3 - 15 * z1) / (384 * {_T} ** 3)
     + (79 * z9 + 776 * z7 + 1482 * z5 - 1920 * z3 - 945 * z1) / (92160 * {_T} ** 4))"""
+# The first lines of the printed table of Student's t.
+_T975 = f"""CASE {_T} WHEN 1 THEN 12.706204736 WHEN 2 THEN 4.302652730 WHEN 3 THEN 3.182446305 WHEN 4 THEN 2.776445105
+    WHEN 5 THEN 2.570581836 WHEN 6 THEN 2.446911851 WHEN 7 THEN 2.364624252 WHEN 8 THEN 2.306004135 ELSE {_T975_SERIES} END"""
 _POWERS = ", ".join(f"1.959963984540054::DOUBLE ** {k} AS z{k}" for k in (1, 3, 5, 7, 9))
 
 
@@ -260,6 +268,9 @@ ORACLES: dict[str, str] = {
     "batch_one_row": out(_fanout("d_sample", _SITE_DIRECT), text="pack_date harvest_date", real="input_kgs reject_kgs"),
     "batch_by_block": out(
         _fanout("d_sample_line", _SITE_BY_BLOCK), text="pack_date harvest_date", real="input_kgs reject_kgs"),
+    "sql_grader_batch": out("SELECT * FROM d_fanout", text="pack_date harvest_date", real="input_kgs reject_kgs"),
+    "sql_grader_batch_by_block": out(
+        _fanout("d_sample_line", _SITE_BY_BLOCK), text="pack_date harvest_date", real="input_kgs reject_kgs"),
     "batch_dates": """SELECT season, GraderBatchID AS grader_batch_id, CAST(HarvestDate AS STRING) AS harvest_date,
         CAST(PackDate AS STRING) AS pack_date FROM ma_Grader_BatchT JOIN d_season USING (SeasonID)""",
     "juice_kgs": out("SELECT * FROM d_juice", real="juice_kgs"),
@@ -309,6 +320,7 @@ ORACLES: dict[str, str] = {
         "SELECT * FROM d_pest WHERE mkt_defect_code IN (SELECT mkt_defect_code FROM d_rule)", text="assessed_at"),
     "phyto_findings_all": "SELECT * EXCLUDE (assessed_at) FROM d_pest",
     "lot_detail": out("SELECT * FROM d_lot_detail", text="pack_date harvest_date"),
+    "lot_detail_older": out("SELECT * EXCLUDE (production_site) FROM d_lot_detail", text="pack_date harvest_date"),
     "lot_sites": """SELECT lot_id, GraderBatchID AS grader_batch_id, g.CompanyName AS grower, FarmCode AS rpin,
         FarmName AS orchard, SubdivisionCode AS production_site, p.CompanyName AS packing_site
         FROM d_lot l JOIN sw_FarmT USING (FarmID) JOIN sw_SubdivisionT USING (SubdivisionID)
@@ -329,6 +341,11 @@ ORACLES: dict[str, str] = {
     "season_to_date": out(
         """SELECT grader_batch_id, season, pack_date FROM d_site_batch JOIN d_bounds USING (season)
         WHERE pack_date >= first_pack AND pack_date < close""", text="pack_date"),
+    "season_to_date_twice": out(
+        """SELECT grader_batch_id, season, pack_date FROM d_site_batch JOIN d_bounds USING (season)
+        WHERE pack_date >= first_pack AND pack_date < close""", text="pack_date"),
+    "season_to_date_many": """SELECT grader_batch_id, date_diff('day', DATE '1990-01-01', pack_date) AS season,
+        CAST(pack_date AS STRING) AS pack_date FROM d_batch WHERE date_diff('day', DATE '1990-01-01', pack_date) % 3 = 0""",
     "season_to_date_joined": out(
         """SELECT bin_delivery_id, season, harvest_date FROM d_delivery JOIN d_bounds USING (season)
         WHERE harvest_date BETWEEN first_harvest AND close""", text="harvest_date"),
@@ -396,6 +413,9 @@ ORACLES: dict[str, str] = {
           sd_resid * sqrt(1.0 / n + (storage_days - mean_days) ** 2 / sxx) AS se_fit, {_T975} AS q
         FROM (SELECT *, CAST(unnest(generate_series(min_days, max_days)) AS BIGINT) AS storage_days FROM d_regression),
           (SELECT {_POWERS}))""",
+    "t_quantiles": f"""SELECT season, CAST(pack_date AS STRING) AS pack_date, n,
+        round(CASE WHEN n > 2 THEN {_T975} END, 4) AS q FROM (
+        SELECT season, pack_date, count(*) AS n FROM d_site_batch GROUP BY 1, 2), (SELECT {_POWERS})""",
     "sample_qty": "SELECT * FROM d_sample_qty",
     "sample_qty_to_date": "SELECT * FROM d_sample_qty_to_date",
     "batch_defects": out(
@@ -504,7 +524,7 @@ ORACLES: dict[str, str] = {
         {close_date('season')} AS close, CAST(substr(farm_code, 2) AS BIGINT) AS farm_number, pack_date AS pack_day
         FROM d_batch""", text="week_later plot_date close pack_day"),
     "many_columns": "SELECT season, row_number() OVER (ORDER BY total, season) AS rank, " + ", ".join(
-        f'"{s}" / CAST(total AS DOUBLE) AS "share_{s}"' for s in SITES) + " FROM d_site_wide",
+        f'"{s}" / CAST(total AS DOUBLE) AS "share_{s}"' for s in SITES) + " FROM d_site_shares",
     "pushed_scan": """SELECT GROWER_CODE AS grower_code, count(*) AS n, min(MINOR) AS least, max(MINOR) AS most
         FROM STG_COMPAC_BATCH WHERE START_TIME >= TIMESTAMP '1999-06-01' AND START_TIME < TIMESTAMP '2000-06-01'
         GROUP BY 1""",

@@ -24,6 +24,7 @@ from cropline.operators import size as sz
 from cropline.plans import fruit_data, harvest_data, packing_data, phyto_data, quality_data
 from cropline.plans.season_report import season_kpis as season_table
 from cropline.session import configure
+from cropline.sources import files
 from cropline_check.views import CURRENT, EXCLUDED, MONTH_DAY, PRIOR, SEASONS, SITE, SITES, source_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,8 +64,8 @@ class Context:
         return po.packout_regression(self.closed_batches, cap_season=CURRENT)
 
     @cached_property
-    def bounds(self) -> bnd.PinnedBounds | DataFrame:
-        return bnd.pin_bounds(bnd.season_bounds(self.batches, SITE, month_day=MONTH_DAY))
+    def bounds(self) -> DataFrame:
+        return bnd.season_bounds(self.batches, SITE, month_day=MONTH_DAY)
 
     @cached_property
     def assessments(self) -> DataFrame:
@@ -93,7 +94,7 @@ class Context:
 
     @cached_property
     def pests(self) -> DataFrame:
-        return ph.pest_counts(self.findings, phyto_data.mpi_lots(self.t), self.bounds)
+        return ph.pest_counts(self.findings, phyto_data.lot_ids(self.t), self.bounds)
 
     @cached_property
     def fruit(self) -> DataFrame:
@@ -180,6 +181,17 @@ def batch_by_block(x):
     return packing_data.grader_batch_by_block(x.t)
 
 
+@query
+def sql_grader_batch(x):
+    return files.run_sql_file(x.spark, files.SQL_DIR / "grader_batch.sql", x.t, juice_product=packing_data.JUICE_PRODUCT)
+
+
+@query
+def sql_grader_batch_by_block(x):
+    path = files.SQL_DIR / "grader_batch_by_block.sql"
+    return files.run_sql_file(x.spark, path, x.t, juice_product=packing_data.JUICE_PRODUCT)
+
+
 @query
 def batch_dates(x):
     return packing_data.grader_batch_dates(x.t)
@@ -255,6 +267,11 @@ def lot_detail(x):
     return phyto_data.mpi_lot_detail(x.t)
 
 
+@query
+def lot_detail_older(x):
+    return phyto_data.mpi_lot_detail(x.t, with_site=False)
+
+
 @query
 def lot_sites(x):
     return phyto_data.mpi_lot_sites(x.t)
@@ -311,11 +328,28 @@ def season_to_date_joined(x):
     return rows.select("bin_delivery_id", "season", "harvest_date")
 
 
+@query
+def season_to_date_twice(x):
+    """Every season listed twice, the second time a day later and for a shorter time."""
+    limits = bnd.season_bounds(x.batches, SITE, month_day=MONTH_DAY)
+    later = limits.withColumns({"first_pack": F.date_add("first_pack", 1), "close": F.date_sub("close", 3)})
+    rows = bnd.season_to_date(x.site_batches, limits.unionByName(later), "pack_date", lower="first_pack", upper="lt")
+    return rows.select("grader_batch_id", "season", "pack_date")
+
+
+@query
+def season_to_date_many(x):
+    """Bounds of more than 64 seasons: a season for each pack day."""
+    rows = x.batches.select("grader_batch_id", F.date_diff("pack_date", F.lit("1990-01-01").cast("date")).alias("season"), "pack_date")
+    limits = rows.groupBy("season").agg(F.min("pack_date").alias("first_pack"), F.max("pack_date").alias("close"))
+    return bnd.season_to_date(rows, limits.filter("season % 3 = 0"), "pack_date", lower="first_pack")
+
+
 # --- harvest ---------------------------------------------------------------------------------
 
 @query
 def harvest_by_site(x):
-    return hv.harvest_by_site(x.deliveries, x.bounds, SITES)
+    return hv.harvest_by_site(x.deliveries, x.bounds, SITES[:2])
 
 
 @query
@@ -410,7 +444,8 @@ def packout_population(x):
 
 @query
 def storage_day_cap(x):
-    rows = po.storage_day_cap(x.closed_batches, CURRENT)
+    plain = packing_data.grader_batch(x.t, aggregate_samples=True)
+    rows = po.storage_day_cap(x.closed_batches, CURRENT, po.packout_by_batch(plain, SITE, closed_only=True))
     return rows.groupBy("season").agg(F.count("storage_days").alias("n"), F.max("storage_days").alias("longest"))
 
 
@@ -430,6 +465,13 @@ def packout_trend_line(x):
     return rounded(po.trend_line(x.regression), 8, "fit", "se_fit", "lower", "upper")
 
 
+@query
+def t_quantiles(x):
+    """Quantiles for groups of few batches."""
+    groups = x.site_batches.groupBy("season", "pack_date").agg(F.count(F.lit(1)).alias("n"))
+    return groups.select("season", "pack_date", "n", F.round(sc.t_quantile_975(F.col("n") - 2), 4).alias("q"))
+
+
 # --- defects ---------------------------------------------------------------------------------
 
 @query
@@ -557,12 +599,12 @@ def size_histogram(x):
 
 @query
 def season_kpis(x):
-    return season_table(x.deliveries, x.tipped, x.batches, SITE, x.bounds)
+    return season_table(x.deliveries, x.tipped, x.batches, SITE, MONTH_DAY)
 
 
 @query
 def display_strings(x):
-    kpis = season_table(x.deliveries, x.tipped, x.batches, SITE, x.bounds)
+    kpis = season_table(x.deliveries, x.tipped, x.batches, SITE, MONTH_DAY)
     return kpis.select(
         F.col("season").alias("Season"),
         sc.thousands_text("bins").alias("Bins harvested"),

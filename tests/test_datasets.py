@@ -122,6 +122,8 @@ def test_fruit_window_and_exclusions(tables, rows_of):
 SAME_ROWS = {
     "bin_usage.sql": (harvest_data.bin_usage, {}),
     "cartons_by_lot.sql": (phyto_data.cartons_by_lot, {}),
+    "grader_batch.sql": (packing_data.grader_batch, {"juice_product": 278}),
+    "grader_batch_by_block.sql": (packing_data.grader_batch_by_block, {"juice_product": 278}),
 }
 
 
@@ -137,6 +139,6 @@ def test_sql_file_with_parameters(spark, tables, rows_of):
     sample = {r["grader_batch_id"]: r["sample_kgs"] for r in packing_data.sample_kgs(tables).collect()}
     for r in weights.collect():
         assert r["juice_kgs"] == juice.get(r["grader_batch_id"], 0) and r["sample_kgs"] == sample.get(r["grader_batch_id"], 0)
-    bins = run_sql_file(spark, SQL_DIR / "bins_in_season.sql", season="2024")
+    bins = run_sql_file(spark, SQL_DIR / "bins_in_season.sql", tables, season="2024")
     assert bins.columns == ["Grader batch", "Bin delivery", "Bins tipped"]
     assert rows_of(bins) == [(1, 1, 2), (1, 2, 1), (2, 2, 1)]

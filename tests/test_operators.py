@@ -25,7 +25,7 @@ def batches(tables):
 
 @pytest.fixture(scope="module")
 def bounds(batches):
-    return bnd.pin_bounds(bnd.season_bounds(batches, SITE, month_day=MD))
+    return bnd.season_bounds(batches, SITE, month_day=MD)
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +37,7 @@ def deliveries(tables):
 
 def test_bounds_skip_unknown_packouts_but_keep_infinite_ones(bounds):
     # Batches 3 (waste unknown) and 4 (0/0) start earlier and do not count; batch 5 (x/0) would.
-    assert [tuple(r) for r in sorted(bounds.rows)] == [
+    assert [tuple(r) for r in sorted(bounds.collect())] == [
         (2024, day("2024-02-15"), day("2024-03-01"), day("2024-04-20")),
         (2025, day("2025-02-10"), day("2025-03-02"), day("2025-04-20")),
     ]
@@ -57,11 +57,12 @@ def test_bounds_of_another_source_count_every_batch(tables, rows_of):
 
 @pytest.mark.parametrize("lower", [None, "first_pack", "first_harvest"])
 @pytest.mark.parametrize("upper", ["le", "lt"])
-def test_pinned_and_joined_bounds_agree(batches, bounds, rows_of, lower, upper):
-    pinned = bnd.season_to_date(batches, bounds, "pack_date", lower, upper)
-    joined = bnd.season_to_date(batches, bounds.frame, "pack_date", lower, upper)
-    assert pinned.columns == joined.columns == batches.columns
-    assert rows_of(pinned) == rows_of(joined)
+def test_a_season_listed_twice_counts_once(batches, bounds, rows_of, lower, upper):
+    once = bnd.season_to_date(batches, bounds, "pack_date", lower, upper)
+    later = bounds.withColumns({"first_harvest": F.date_add("first_harvest", 2), "close": F.date_sub("close", 1)})
+    twice = bnd.season_to_date(batches, bounds.unionByName(later), "pack_date", lower, upper)
+    assert once.columns == twice.columns == batches.columns
+    assert rows_of(once) == rows_of(twice) and once.count()
 
 
 def test_upper_bound_rule(batches, bounds):
@@ -73,14 +74,9 @@ def test_upper_bound_rule(batches, bounds):
         bnd.season_to_date(batches, bounds, "pack_date", upper="less")
 
 
-def test_many_seasons_fall_back_to_the_join(batches):
-    limits = bnd.season_bounds(batches, SITE, month_day=MD)
-    assert bnd.pin_bounds(limits, limit=1) is limits
-
-
 def test_no_bounds_and_empty_bounds(batches):
     assert bnd.season_to_date(batches, None, "pack_date") is batches
-    empty = bnd.pin_bounds(bnd.season_bounds(batches, "no such site", month_day=MD))
+    empty = bnd.season_bounds(batches, "no such site", month_day=MD)
     assert bnd.season_to_date(batches, empty, "pack_date").count() == 0
 
 
@@ -88,10 +84,16 @@ def test_no_bounds_and_empty_bounds(batches):
 
 def test_harvest_by_site(deliveries, bounds, rows_of):
     got = hv.harvest_by_site(deliveries, bounds, ["Cool store", "Unused"])
-    assert got.columns == ["season", "Cool store", "Unused", "total"]
-    assert rows_of(got) == [(2024, 30, 0, 30), (2025, 85, 0, 85)]
+    assert got.columns == ["season", "Cool store", "Unused", "other_sites", "no_site", "total"]
+    assert rows_of(got) == [(2024, 30, 0, 0, 0, 30), (2025, 85, 0, 0, 0, 85)]
     found = hv.harvest_by_site(deliveries, bounds)
-    assert found.columns == ["season", "Cool store", "total"] and rows_of(found, "total") == [(30,), (85,)]
+    assert found.columns == ["season", "Cool store", "other_sites", "no_site", "total"]
+    assert rows_of(found, "total") == [(30,), (85,)]
+    more = deliveries.unionByName(deliveries.withColumn("storage_site", F.lit(None).cast("string"))).unionByName(
+        deliveries.withColumn("storage_site", F.lit("Shed")))
+    wide = hv.harvest_by_site(more, bounds, ["Cool store"])
+    assert rows_of(wide) == [(2024, 30, 30, 30, 90), (2025, 85, 85, 85, 255)]
+    assert rows_of(wide, "season", "total") == rows_of(hv.harvest_total(more, bounds))
 
 
 def test_harvest_duration_and_rate(deliveries, rows_of):
@@ -322,7 +324,7 @@ def test_exclusion_keeps_findings_without_a_code(spark, rows_of):
 
 
 def test_pest_counts_and_order(tables, bounds, rows_of):
-    counts = ph.pest_counts(phyto_data.phyto_assessments(tables), phyto_data.mpi_lots(tables), bounds)
+    counts = ph.pest_counts(phyto_data.phyto_assessments(tables), phyto_data.lot_ids(tables), bounds)
     # The finding on 21 April 2024 is past the close; the one late on 20 April 2025 is not.
     assert rows_of(counts) == [(2024, "Mealybug", 1), (2024, "Scale", 4), (2025, "Scale", 14)]
     ordered = ph.order_by_season(counts, 2025, "defect", "defect_qty")
@@ -363,7 +365,7 @@ def test_histogram_keeps_every_value(spark, rows_of):
 # --- report ---
 
 def test_season_kpis(tables, deliveries, batches, bounds):
-    kpis = season_kpis(deliveries, packing_data.bins_tipped(tables), batches, SITE, bounds)
+    kpis = season_kpis(deliveries, packing_data.bins_tipped(tables), batches, SITE, MD)
     rows = {r["season"]: r.asDict() for r in kpis.collect()}
     assert set(rows) == {2024, 2025}
     assert rows[2024] == {

@@ -1,4 +1,3 @@
-import pytest
 from pyspark.sql import functions as F
 
 from cropline.operators import relational as rel
@@ -9,11 +8,13 @@ def test_pivot_fills_missing_cells_but_keeps_null_values(spark, rows_of):
     assert rows_of(rel.pivot_wider(df, ["k"], "n", "v", ["a", "b", "c"])) == [(1, 5, None, 0), (2, 7, 0, 0)]
 
 
-def test_column_names(spark):
+def test_column_names(spark, rows_of):
     df = spark.createDataFrame([("b",), ("a",), (None,), ("b",)], "k string")
-    assert rel.column_names(df, "k") == ["a", "b"]
-    with pytest.raises(ValueError):
-        rel.column_names(df, "k", limit=1)
+    assert rel.column_names(df, "k") == ["a", "b", None]
+    wide = rel.pivot_wider(df.withColumn("one", F.lit(1)), ["one"], "k", "one", rel.column_names(df, "k"))
+    assert wide.columns == ["one", "a", "b", "null"]
+    many = spark.range(1500).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("v"), F.lit(0).alias("by"))
+    assert len(rel.column_names(many, "k")) == 1500
 
 
 def test_total_row(spark, rows_of):
@@ -36,31 +37,24 @@ def test_union_sources_fills_missing_columns(spark, rows_of):
     assert rows_of(rel.union_sources({"new": a, "old": b})) == [(1, 2, "new"), (3, None, "old")]
 
 
-@pytest.mark.parametrize("limit", [1, 100])
-def test_keep_members_by_list_or_by_join(spark, rows_of, limit):
+def test_keep_members(spark, rows_of):
     df = spark.createDataFrame([(i, k) for i, k in enumerate(["a", "b", "c", None])], "i int, k string")
     members = spark.createDataFrame([("a",), ("c",), ("a",), (None,)], "k string")
-    kept = rel.keep_members(df, members, "k", limit=limit)
-    assert rows_of(kept, "i") == [(0,), (2,)]
+    assert rows_of(rel.keep_members(df, members, "k"), "i") == [(0,), (2,)]
 
 
-def test_pin_rows_only_below_the_limit(spark, rows_of):
-    df = spark.range(5)
-    pinned = rel.pin_rows(df, limit=5)
-    assert pinned is not df and rows_of(pinned) == rows_of(df)
-    assert rel.pin_rows(df, limit=4) is df
-
-
-def test_pinned_lookup_is_broadcast(spark):
-    lookup = rel.pin_rows(spark.range(3).withColumn("v", F.col("id") * 2))
-    plan = spark.range(1000).join(lookup, "id")._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "LocalTableScan" in plan
+def test_rows_without_a_key_are_spread_and_match_nothing(spark, rows_of):
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (None, "d")], "k bigint, v string")
+    right = spark.createDataFrame([(1, 10), (None, 20)], "k bigint, w int")
+    assert rows_of(rel.left_join_spread(left, right, "k", ["v"])) == rows_of(left.join(right, "k", "left"))
 
 
 def test_bind_columns_by_position(spark, rows_of):
     a = spark.createDataFrame([(2024, 1), (2025, 2)], "s int, x int")
     b = spark.createDataFrame([(7, 30), (5, 10)], "t int, y int")
     assert rows_of(rel.bind_columns(a, b, "s", "t")) == [(2024, 1, 5, 10), (2025, 2, 7, 30)]
+    c = spark.createDataFrame([(1, 5), (1, 6), (None, 7), (9, 8)], "t int, y int")
+    assert rows_of(rel.bind_columns(c, a, "t", "s")) == [(1, 5, 2025, 2), (None, 7, 2024, 1)]
 
 
 def test_relocate_and_sum_across(spark):

@@ -1,9 +1,9 @@
 import pytest
 
-from cropline.plans.full_report import ReportSettings, report_frames, share
+from cropline.plans.full_report import ReportSettings, report_frames
 from cropline.schema import TABLES, schema_of
 from cropline.sources.sinks import write_chart_data
-from cropline.sources.tables import SMALL_DIMENSIONS, pin_dimensions
+from cropline.sources.tables import land, land_tables
 from tests.fixtures import ROWS, SITE, batch, delivery
 
 
@@ -27,21 +27,8 @@ def settings():
     return ReportSettings(SITE, ["Cool store"], 2025, 2024, "-04-20", archive_seasons=[2023], excluded_pests=["LLT"])
 
 
-@pytest.fixture(scope="module", autouse=True)
-def checkpoint_folder(spark, tmp_path_factory):
-    """The session's own shared folder, or a temporary one where it names none."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
-
-
-def test_share_without_a_folder_is_the_plan_itself(spark, tables, monkeypatch):
-    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
-    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
-    assert share(tables["ma_BinT"]) is tables["ma_BinT"]
-
-
 def test_whole_report(spark, tables, archive, settings, tmp_path, rows_of):
-    frames = report_frames(pin_dimensions(tables), settings, archive)
+    frames = report_frames(land_tables(tables, str(tmp_path / "landed")), settings, str(tmp_path / "work"), archive)
     write_chart_data(frames, str(tmp_path / "report"))
     back = {name: spark.read.parquet(str(tmp_path / "report" / name)) for name in frames}
     assert rows_of(back["harvest_curve"], "season", "cum_bins") == [
@@ -54,12 +41,15 @@ def test_whole_report(spark, tables, archive, settings, tmp_path, rows_of):
     assert all(df.count() for df in back.values())
 
 
-def test_pinned_dimensions_hold_the_same_rows(tables, rows_of):
-    pinned = pin_dimensions(tables)
-    assert set(pinned) == set(tables)
-    for name in SMALL_DIMENSIONS:
-        assert rows_of(pinned[name]) == rows_of(tables[name]) and pinned[name].schema == tables[name].schema
+def test_landed_tables_hold_the_same_rows_and_prune(spark, tables, tmp_path, rows_of):
+    landed = land_tables(tables, str(tmp_path / "landed"))
+    for name in TABLES:
+        assert rows_of(landed[name]) == rows_of(tables[name]) and landed[name].columns == tables[name].columns
+    one = landed["ma_Grader_BatchT"].filter("SeasonID = 2")
+    assert "PartitionFilters: [isnotnull(SeasonID" in one._jdf.queryExecution().executedPlan().toString()
+    joined = landed["ma_Grader_BatchT"].join(landed["sw_SeasonT"], "SeasonID")
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
 
 
-def test_share_gives_the_same_rows(tables, rows_of):
-    assert rows_of(share(tables["ma_BinT"])) == rows_of(tables["ma_BinT"])
+def test_land_keeps_rows(tables, tmp_path, rows_of):
+    assert rows_of(land(tables["ma_BinT"], str(tmp_path / "bins"))) == rows_of(tables["ma_BinT"])
