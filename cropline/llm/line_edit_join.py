@@ -4,8 +4,9 @@ A line is a ``\\n``-separated part of a text without spaces, tabs and CR at its
 ``min_chars`` code points is split into edits + 1 segments of nearly equal length. Two lines within ``edits`` edits share
 a whole segment of the shorter one, at a place that the segment's number and the difference of the lengths bound: the
 substring index holds (length, segment number, hash of the segment), and a line probes it for its own length and the
-``edits`` next shorter ones at those places only. Candidates are verified by a bit-parallel edit distance over a band of
-2 * edits + 1 diagonals, an expression on one long per column of the band. Verified pairs give classes (connected
+``edits`` next shorter ones at those places only. Keys that only one line has are dropped before texts are fetched. Pairs
+of lines that meet at a key are verified as a condition of that join, so that only links come out of it, by a bit-parallel
+edit distance over a band of 2 * edits + 1 diagonals, an expression on one word per column of the band. Verified pairs give classes (connected
 components); of a class the first line by (document id, text hash, line number) stays, the others are removed.
 
 Defined cases: null texts have no lines; lines shorter than ``min_chars`` are in no class and always stay; a null document
@@ -22,6 +23,10 @@ from cropline.llm.common import components, documents_of, stored
 
 EDITS = 2
 MIN_CHARS = 24
+#: Rows of one or two longs that may be broadcast.
+BROADCAST_KEYS = 1_000_000
+#: Lines of one key that a task compares with the key's index rows.
+SPLIT = 500
 
 
 def segment(length: Column, number: int, parts: int) -> tuple[Column, Column]:
@@ -50,16 +55,40 @@ def probe_key(line: Column, length: Column, difference: int, number: int, shift:
         shorter, F.lit(number), F.substring(line, at + 1, size)))
 
 
+def common_prefix(a: Column, b: Column) -> Column:
+    """Length of the common prefix, by halving steps; ``b`` is not the longer one."""
+    bits = F.length(F.bin(F.length(b))) - 1
+    return F.aggregate(F.sequence(bits, F.lit(0), F.lit(-1)), F.lit(0), lambda n, k: n + F.when(
+        (n + F.pow(F.lit(2), k).cast("int") <= F.length(b))
+        & (F.substring(a, n + 1, F.pow(F.lit(2), k).cast("int")) == F.substring(b, n + 1, F.pow(F.lit(2), k).cast("int"))),
+        F.pow(F.lit(2), k).cast("int")).otherwise(0))
+
+
 def banded_distance(longer: Column, shorter: Column, edits: int) -> Column:
     """Edit distance of two lines whose lengths differ by at most ``edits``, right where it is at most ``edits``.
 
-    Bit k of a word stands for row j - edits + k of column j. Vertical differences of +1 and -1 are two words; the value
-    followed is that of the band's last row, and of the last row of all once the band reaches it.
+    What both lines begin and end with is left out first, but for ``edits`` + 1 code points. Bit k of a word stands for
+    row j - edits + k of column j. Vertical differences of +1 and -1 are two words; the value followed is that of the
+    band's last row, and of the last row of all once the band reaches it. Once it is too high to come down again, the
+    columns that follow are passed over.
     """
     width = 2 * edits + 1
     ones, top = (1 << width) - 1, 1 << (width - 1)
     chars = lambda c: F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
-    a, b = chars(longer), chars(shorter)
+
+    def within(value: Column, use) -> Column:
+        """``use(value)`` with the value worked out once."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def middle(p: Column) -> Column:
+        spare = F.length(p["a"]) - (edits + 1)
+        start = F.greatest(F.lit(0), F.least(common_prefix(p["a"], p["b"]), spare))
+        return within(F.struct(start.alias("s"), p["a"].alias("a"), p["b"].alias("b")), lambda q: within(
+            F.struct(q["s"].alias("s"), F.greatest(F.lit(0), F.least(F.length(q["a"]) - (edits + 1) - q["s"], common_prefix(
+                F.reverse(F.substring(q["a"], q["s"] + 1, F.length(q["a"]))), F.reverse(F.substring(q["b"], q["s"] + 1, F.length(q["b"])))))
+                ).alias("e"), q["a"].alias("a"), q["b"].alias("b")),
+            lambda r: F.struct(chars(F.substring(r["a"], r["s"] + 1, F.length(r["a"]) - r["s"] - r["e"])).alias("a"),
+                               chars(F.substring(r["b"], r["s"] + 1, F.length(r["b"]) - r["s"] - r["e"])).alias("b"))))
 
     def flip(x: Column) -> Column:
         return F.lit(ones) - x
@@ -91,10 +120,13 @@ def banded_distance(longer: Column, shorter: Column, edits: int) -> Column:
 
     first = F.struct(F.lit(ones - ((1 << edits) - 1)).alias("vp"), F.lit(0).alias("vn"), F.lit(edits).alias("d"),
                      F.lit(top >> 1).alias("row"))
-    both = F.array(F.struct(a.alias("a"), b.alias("b")))
-    return F.get(F.transform(both, lambda p: F.when(F.size(p["b"]) == 0, F.size(p["a"])).otherwise(F.aggregate(
-        F.sequence(F.lit(0), F.size(p["b"]) - 1), first,
-        lambda state, j: advance(state, j, p["a"], p["b"], F.size(p["a"])), lambda state: state["d"]))), F.lit(0))
+    def distance(p: Column) -> Column:
+        hopeless = 2 * edits + F.size(p["b"]) - F.size(p["a"])
+        return F.when(F.size(p["b"]) == 0, F.size(p["a"])).otherwise(F.aggregate(
+            F.sequence(F.lit(0), F.size(p["b"]) - 1), first, lambda state, j: F.when(state["d"] > hopeless, state).otherwise(
+                advance(state, j, p["a"], p["b"], F.size(p["a"]))), lambda state: state["d"]))
+
+    return within(F.struct(longer.alias("a"), shorter.alias("b")), lambda p: within(middle(p), distance))
 
 
 def lines_of(docs: DataFrame, min_chars: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -109,29 +141,35 @@ def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     if not 0 < edits < min(min_chars, 15):
         raise ValueError("edits must be positive, less than min_chars and at most 14 (a band's word is an int)")
     parts, places = edits + 1, probe_places(edits)
+    sized = lambda df: F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
     lines = lines_of(docs, min_chars, doc_id, text)
     keys = [probe_key(F.col("line"), F.length("line"), *p, parts).alias(f"k{i}") for i, p in enumerate(places)]
     distinct = lines.select("line_key", *keys).groupBy("line_key").agg(*[F.first(f"k{i}").alias(f"k{i}") for i in range(len(places))])
-    distinct = stored(distinct, "line-segments")
-    own = [i for i, (d, _, shift) in enumerate(places) if d == 0 and shift == 0]
-    same_length = {i for i, (d, _, _) in enumerate(places) if d == 0}
-    index = distinct.select(F.col("line_key").alias("a"), F.explode(F.array(*[F.col(f"k{i}") for i in own])).alias("key"))
-    probes = distinct.select(F.col("line_key").alias("b"), F.explode(F.array(*[
-        F.struct(F.col(f"k{i}").alias("key"), F.lit(i in same_length).alias("even")) for i in range(len(places))])).alias("p")
-    ).select("b", "p.key", "p.even").filter("key is not null")
-    # Lines of one length probe each other both ways; one way is enough.
-    pairs = index.join(probes, "key").filter((F.col("a") < F.col("b")) | (~F.col("even") & (F.col("a") != F.col("b"))))
-    pairs = stored(pairs.select("a", "b").distinct(), "line-candidates")
-    wanted = pairs.select(F.col("a").alias("line_key")).union(pairs.select("b")).distinct()
-    texts = lines.join(wanted, "line_key", "left_semi").groupBy("line_key").agg(F.first("line").alias("line"))
-    texts = stored(texts, "line-texts")
-    spelled = pairs.join(texts.toDF("a", "shorter"), "a").join(texts.toDF("b", "longer"), "b")
-    swap = F.length("shorter") > F.length("longer")
-    measured = spelled.select(
-        "a", "b", F.when(swap, F.col("shorter")).otherwise(F.col("longer")).alias("longer"),
-        F.when(swap, F.col("longer")).otherwise(F.col("shorter")).alias("shorter"))
-    return stored(measured.select("a", "b", banded_distance(F.col("longer"), F.col("shorter"), edits).alias("distance"))
-                  .filter(F.col("distance") <= edits), "line-links")
+    distinct = stored(distinct.select("line_key", F.array(*[f"k{i}" for i in range(len(places))]).alias("keys")), "line-segments")
+    own = {i: n for n, (d, i, shift) in enumerate(places) if d == 0 and shift == 0}  # place of each segment's own key
+    entries = distinct.select("line_key", F.posexplode("keys").alias("place", "key")).filter("key is not null")
+    live = stored(entries.groupBy("key").agg(
+        F.min("line_key").alias("low"), F.max("line_key").alias("high"), F.max(F.col("place").isin(list(own.values()))).alias("indexed"),
+        F.count("*").alias("n")).filter("indexed and low < high").select("key", F.ceil(F.col("n") / SPLIT).cast("int").alias("salts")),
+        "live-keys")
+    open_entries = stored(entries.join(sized(live), "key"), "open-entries")
+    wanted = open_entries.select("line_key").distinct()
+    texts = stored(lines.join(sized(wanted), "line_key", "left_semi").groupBy("line_key").agg(F.first("line").alias("line")), "line-texts")
+    rows = open_entries.join(distinct.join(texts, "line_key"), "line_key")
+    # Probes of a key that many lines have are dealt over several tasks, and its index rows go to each of them.
+    index = rows.filter(F.col("place").isin(list(own.values()))).select(
+        "key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("line_key").alias("a"),
+        F.col("line").alias("shorter"), F.col("keys").alias("a_keys"))
+    probes = rows.select("key", F.pmod("line_key", "salts").cast("int").alias("salt"), F.col("line_key").alias("b"), "place",
+                         F.col("line").alias("longer"), F.col("keys").alias("b_keys"))
+    even = F.col("place").isin([n for n, (d, _, _) in enumerate(places) if d == 0])
+    met = F.lit(False)  # whether the pair meets at an earlier place too, where it was counted
+    for n, (_, i, _) in enumerate(places):
+        met = met | ((F.col("place") > n) & F.coalesce(F.get("a_keys", F.lit(own[i])) == F.get("b_keys", F.lit(n)), F.lit(False)))
+    near = (F.col("a") != F.col("b")) & (~even | (F.col("a") < F.col("b"))) & ~met & (
+        banded_distance(F.col("longer"), F.col("shorter"), edits) <= edits)
+    pairs = index.join(probes, (index["key"] == probes["key"]) & (index["salt"] == probes["salt"]) & near)
+    return stored(pairs.select("a", "b", banded_distance(F.col("longer"), F.col("shorter"), edits).alias("distance")), "line-links")
 
 
 def judge_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
