@@ -16,8 +16,10 @@ A document's set is its distinct five-word shingles (all its words as one where
    these pairs are counted over the whole sets, and links make classes. Groups of near copies end in one class here with
    one pair per row.
 5. The second product takes only columns whose rows are in several classes, and only pairs of different classes whose
-   sizes and places in the order leave enough overlap possible. These are counted over the whole sets too. A pair inside
-   a class needs no count, as it is connected already; so no link between different classes is lost.
+   sizes, places in the order and bitmaps (2,048 bits; two sets differ in a shingle at least for each differing bit) leave
+   enough overlap possible; from the smaller set n - ceil(n * 2p / (100 + p)) + 1 columns are enough. These are counted
+   over the whole sets too. A pair inside a class needs no count, as it is connected already; so no link between
+   different classes is lost.
 
 Defined cases: null texts and texts without words have empty sets and link with nothing; a null document id takes part
 and gets the smallest non-null id of its component, or null; rows that share an id are judged by their texts; an empty
@@ -44,9 +46,11 @@ SHINGLE = 5
 WORDS_PER_BLOCK = 2_000_000
 #: Keys that a counting task holds before it sends them.
 HELD_KEYS = 2_000_000
+#: Longs of a row's bitmap.
+BITMAP = 32
 
 SET_SCHEMA = ("doc_id long, text_key long, n_shingles long, s1 long, s2 long, "
-              "columns array<struct<col: long, at: int>>")
+              "bits array<long>, columns array<struct<col: long, at: int>>")
 
 
 def shingle_sets(texts: list[bytes | None], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,6 +145,14 @@ def signature(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
     return out[0], out[1]
 
 
+def bitmaps(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """A bitmap per set in which each shingle sets one bit."""
+    out = np.zeros(n * BITMAP, dtype=np.uint64)
+    bit = mixed(hashes ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(53)  # 2048 bits
+    np.bitwise_or.at(out, owner * BITMAP + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out.view(np.int64)
+
+
 def set_maker(folder: str, size: int, bits: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened: dict[int, tuple] = {}
@@ -168,6 +180,8 @@ def set_maker(folder: str, size: int, bits: int, percent: int):
             hashes, counts = shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), size)
             s1, s2 = signature(hashes, counts)
             owner = np.repeat(np.arange(len(counts)), counts)
+            bits_of = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * BITMAP, pa.int32()), pa.array(
+                bitmaps(hashes, owner, len(counts))))
             level = levels(hashes)
             order = np.lexsort((hashes, level, owner))
             hashes, level = hashes[order], level[order]
@@ -180,8 +194,8 @@ def set_maker(folder: str, size: int, bits: int, percent: int):
                     [pa.array(hashes[use].view(np.int64)), pa.array(place[use], pa.int32())], ["col", "at"]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_key"), pa.array(counts, pa.int64()), pa.array(s1.view(np.int64)),
-                 pa.array(s2.view(np.int64)), columns],
-                ["doc_id", "text_key", "n_shingles", "s1", "s2", "columns"])
+                 pa.array(s2.view(np.int64)), bits_of, columns],
+                ["doc_id", "text_key", "n_shingles", "s1", "s2", "bits", "columns"])
 
     return run
 
@@ -227,7 +241,7 @@ def judge_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # Equal sets are one row of the product, named by the first half of their hash.
     whole = ["s1", "s2", "n_shingles"]
     members = stored(sets.filter("n_shingles > 0").groupBy(*whole).agg(
-        F.first("columns").alias("columns"), F.min(F.struct("doc_id", "text_key")).alias("one")), "equal-sets")
+        F.first("columns").alias("columns"), F.first("bits").alias("bits"), F.min(F.struct("doc_id", "text_key")).alias("one")), "equal-sets")
     entries = members.select(F.col("s1").alias("row"), F.col("n_shingles").alias("n"), "one", F.explode("columns").alias("c")).select(
         "row", "n", "one", "c.col", "c.at")
 
@@ -250,19 +264,27 @@ def judge_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     placed = stored(entries.join(classes, "row", "left").withColumn("class", F.coalesce("class", "row")), "entry-classes")
     mixed_columns = placed.groupBy("col").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("col")
     open_entries = stored(placed.join(mixed_columns, "col", "left_semi"), "open-entries")
-    left = open_entries.select("col", F.col("row").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("class").alias("ca"))
-    right = open_entries.select("col", F.col("row").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("class").alias("cb"))
+    sized_entries = open_entries.join(members.select(F.col("s1").alias("row"), "bits"), "row")
+    # A pair is found from the smaller set's side, of which fewer columns are enough.
+    enough = F.col("n") - F.floor((2 * percent * F.col("n") + 99 + percent) / (100 + percent)) + 1
+    left = sized_entries.filter(F.col("at") < enough).select(
+        "col", F.col("row").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("class").alias("ca"), F.col("bits").alias("ba"))
+    right = sized_entries.select(
+        "col", F.col("row").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("class").alias("cb"), F.col("bits").alias("bb"))
     # The shared column, and at most what comes after it in both, can overlap, beyond what came before.
     most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb")
+    # Every bit in which the bitmaps differ stands for at least one shingle that only one set has.
+    apart = sum((F.bit_count(F.get("ba", F.lit(i)).bitwiseXOR(F.get("bb", F.lit(i)))) for i in range(BITMAP)), F.lit(0))
     pairs = left.join(right, "col").filter(
-        (F.col("ca") < F.col("cb")) & possible("na", "nb")
-        & ((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))))
+        (F.col("ca") != F.col("cb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
+        & possible("na", "nb") & ((100 + percent) * most >= percent * (F.col("na") + F.col("nb")))
+        & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))))
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "open-pairs")
     links = star_links.select("a", "b").union(linked(pairs, bodies, size, percent).select("a", "b"))
 
     labels = components(links).toDF("s1", "label")
     degrees = links.select(F.col("a").alias("s1")).union(links.select("b")).groupBy("s1").agg(F.count("*").alias("n_links"))
-    found = sets.drop("columns").join(labels.join(degrees, "s1", "left"), "s1", "left").withColumn(
+    found = sets.drop("columns", "bits").join(labels.join(degrees, "s1", "left"), "s1", "left").withColumn(
         "label", F.when(F.col("n_shingles") > 0, F.coalesce("label", "s1")))
     smallest = found.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return found.join(smallest, "label", "left").select(
