@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cropline.functions.aggregates import sum_or_null
@@ -23,43 +24,50 @@ def season_kpis(
 ) -> DataFrame:
     """One row per season that has batches of ``site`` with a known packout, with the figures the report quotes.
 
-    Each source is folded once to a row per season and day (and pick); bounds and figures are worked out on those few
-    rows. Sums are null where one of their values is null, as everywhere in the report.
+    Each source is folded once to a row per season and day (and pick). The folds are stacked; bounds are read off the
+    season's rows by a window over them, and all figures come from one aggregation of the same few rows. Sums are null
+    where one of their values is null, as everywhere in the report.
     """
     known = known_packout(packout_by_batch(batches, site))
     if seasons is not None:
         known = known.filter(F.col("season").isin(list(seasons)))
-    packed = known.groupBy("season", "pack_date").agg(
+    packed = known.groupBy("season", F.col("pack_date").alias("day")).agg(
         F.min("harvest_date").alias("harvest_date"),
         sum_or_null("input_kgs").alias("input_kgs"), sum_or_null("reject_kgs").alias("reject_kgs"),
     )
-    limits = packed.groupBy("season").agg(
-        F.min("harvest_date").alias("first_harvest"), F.min("pack_date").alias("first_pack")
-    ).withColumn("close", date_in_year("season", month_day))
-    kilos = packed.join(limits, "season").filter((F.col("pack_date") >= F.col("first_pack")) & (F.col("pack_date") < F.col("close")))
-    packout = kilos.groupBy("season").agg(sum_or_null("input_kgs").alias("input_kgs"), sum_or_null("reject_kgs").alias("reject_kgs"))
+    picked = deliveries.groupBy(
+        "season", F.col("harvest_date").alias("day"), (F.col("pick_no") == first_pick).alias("first_pick"),
+        F.coalesce("presize_flag", F.lit(True)).alias("presize"),
+    ).agg(sum_or_null("no_of_bins").alias("bins"))
+    done = tipped.groupBy("season", F.col("pack_date").alias("day")).agg(sum_or_null("no_of_bins_tipped").alias("bins"))
+    folds = [df.withColumn("source", F.lit(name)) for name, df in (("packed", packed), ("picked", picked), ("tipped", done))]
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), folds)
 
-    picked = deliveries.groupBy("season", "harvest_date", "pick_no", F.coalesce("presize_flag", F.lit(True)).alias("presize")).agg(
-        sum_or_null("no_of_bins").alias("bins"))
-    days = picked.join(limits, "season").withColumns({
-        "plain": ~F.col("presize"),
-        "to_date": ~F.col("presize") & F.col("harvest_date").between(F.col("first_harvest"), F.col("close")),
-        "first": F.coalesce(F.col("pick_no") == first_pick, F.lit(False))})
+    season = Window.partitionBy("season")
+    is_packed, is_picked, is_tipped = (F.col("source") == name for name in ("packed", "picked", "tipped"))
+    rows = rows.withColumns({
+        "first_harvest": F.min("harvest_date").over(season), "first_pack": F.min(F.when(is_packed, F.col("day"))).over(season),
+    }).withColumn("close", date_in_year("season", month_day))
+    plain = is_picked & ~F.coalesce("presize", F.lit(True))
 
-    def total(rows: str) -> Column:
-        here = F.coalesce(F.col(rows), F.lit(False)) if rows else F.lit(True)
-        return F.when((F.count_if(here) > 0) & (F.count_if(here & F.col("bins").isNull()) == 0), F.sum(F.when(here, F.col("bins"))))
+    def total(value: str, here: Column) -> Column:
+        here = F.coalesce(here, F.lit(False))
+        return F.when((F.count_if(here) > 0) & (F.count_if(here & F.col(value).isNull()) == 0), F.sum(F.when(here, F.col(value))))
 
-    day = F.when(F.col("plain"), F.col("harvest_date"))
-    harvest = days.groupBy("season").agg(
-        F.max(day).alias("last_harvest"), days_between(F.min(day), F.max(day)).alias("harvest_days"),
-        total("plain").alias("whole"), total("to_date").alias("bins"), total("").alias("every"), total("first").alias("first_pick"))
-    done = tipped.groupBy("season", "pack_date").agg(sum_or_null("no_of_bins_tipped").alias("bins")).join(limits, "season").filter(
-        F.col("pack_date") <= F.col("close")).groupBy("season").agg(sum_or_null("bins").alias("bins_tipped"))
-    return (
-        limits.join(harvest, "season", "left").join(done, "season", "left").join(packout, "season", "left")
-        .select(
-            "season", "first_harvest", "last_harvest", "first_pack", days_between("first_pack", "close").alias("days_packing"),
-            "bins", ratio("whole", "harvest_days").alias("bins_per_day"), ratio("first_pick", "every").alias("first_pick_share"),
-            "bins_tipped", (1 - ratio("reject_kgs", "input_kgs")).alias("packout"))
+    in_pack = is_packed & (F.col("day") >= F.col("first_pack")) & (F.col("day") < F.col("close"))
+    harvested = F.when(plain, F.col("day"))
+    figures = rows.filter(F.col("season").isNotNull() & F.col("first_pack").isNotNull()).groupBy("season").agg(
+        F.min("first_harvest").alias("first_harvest"), F.max(harvested).alias("last_harvest"),
+        F.min("first_pack").alias("first_pack"), F.max("close").alias("close"),
+        days_between(F.min(harvested), F.max(harvested)).alias("harvest_days"),
+        total("bins", plain).alias("whole"),
+        total("bins", plain & F.col("day").between(F.col("first_harvest"), F.col("close"))).alias("bins"),
+        total("bins", is_picked).alias("every"), total("bins", is_picked & F.col("first_pick")).alias("first"),
+        total("bins", is_tipped & (F.col("day") <= F.col("close"))).alias("bins_tipped"),
+        total("input_kgs", in_pack).alias("input_kgs"), total("reject_kgs", in_pack).alias("reject_kgs"),
+    )
+    return figures.select(
+        "season", "first_harvest", "last_harvest", "first_pack", days_between("first_pack", "close").alias("days_packing"),
+        "bins", ratio("whole", "harvest_days").alias("bins_per_day"), ratio("first", "every").alias("first_pick_share"),
+        "bins_tipped", (1 - ratio("reject_kgs", "input_kgs")).alias("packout"),
     )
