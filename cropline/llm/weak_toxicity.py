@@ -24,7 +24,6 @@ classes the fixed list and the pattern voters alone vote, with set rates; an emp
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +41,7 @@ FEATURES = 1 << 16
 #: Label rows (an id and a flag each) that may be broadcast.
 BROADCAST_LABELS = 1_000_000
 WORD = re.compile(r"[^\W\d_]+")
+SHOUT, MARKS = re.compile("[A-Z]{3,}"), re.compile("[!?]{2,}")
 STEMS = (4, 5, 6, 7, 8)
 
 # General insults.
@@ -54,19 +54,44 @@ def terms_of(word: str) -> list[str]:
     return [word, *[word[:k] + "*" for k in STEMS if len(word) >= k]]
 
 
-def distinct_words(text: str | None) -> set[str]:
-    return {w for w in WORD.findall(text.lower()) if len(w) > 2} if text else set()
+class Words:
+    """The distinct words of each text of a chunk: ``owner[i]`` has the word ``distinct[code[i]]``."""
+
+    def __init__(self, texts: list[str | None]):
+        lists = [WORD.findall(t.lower()) if t else [] for t in texts]
+        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        flat = np.empty(int(sizes.sum()), dtype=object)
+        flat[:] = [w for x in lists for w in x]
+        codes, self.distinct = pd.factorize(flat) if len(flat) else (np.empty(0, np.int64), flat)
+        enough = np.fromiter((len(w) > 2 for w in self.distinct), dtype=bool, count=len(self.distinct))
+        owner = np.repeat(np.arange(len(lists)), sizes)[enough[codes]]
+        n = max(1, len(self.distinct))
+        pairs = np.unique(owner * n + codes[enough[codes]])
+        self.owner, self.code, self.texts = pairs // n, pairs % n, texts
+
+    def per_text(self, weights: np.ndarray | None = None) -> np.ndarray:
+        """Sums over each text's words; without weights their number."""
+        return np.bincount(self.owner, weights=None if weights is None else weights[self.code], minlength=len(self.texts))
 
 
 def term_counter(wanted: frozenset[str] | None):
     """Documents of each term, of all terms or of the wanted ones."""
+    starts = None if wanted is None else frozenset(t.rstrip("*")[:STEMS[0]] for t in wanted)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
-            counts: Counter[str] = Counter()
-            for text in batch.column("text").to_pylist():
-                terms = {t for w in distinct_words(text) for t in terms_of(w)}
-                counts.update(terms if wanted is None else terms & wanted)
-            yield pa.RecordBatch.from_pydict({"term": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+            words = Words(batch.column("text").to_pylist())
+            numbers: dict[str, int] = {}
+            lists = [[] if starts is not None and w[:STEMS[0]] not in starts else [
+                numbers.setdefault(t, len(numbers)) for t in terms_of(w) if wanted is None or t in wanted] for w in words.distinct]
+            sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+            flat = np.fromiter((t for x in lists for t in x), dtype=np.int64, count=int(sizes.sum()))
+            at = np.cumsum(sizes) - sizes
+            each = sizes[words.code]
+            place = np.repeat(at[words.code] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+            docs = np.unique(np.repeat(words.owner, each) * max(1, len(numbers)) + flat[place]) % max(1, len(numbers))
+            counts = np.bincount(docs, minlength=len(numbers))
+            yield pa.RecordBatch.from_pydict({"term": pa.array(list(numbers), pa.string()), "n": pa.array(counts[:len(numbers)], pa.int64())})
 
     return run
 
@@ -85,80 +110,81 @@ def choose_families(terms: pd.DataFrame, weak_support: float, min_precision: flo
 
 
 class Voters:
-    """Votes and hashed features of a text."""
+    """Votes of texts by their words and form."""
 
-    def __init__(self, lexicon: tuple[list[list[str]], list[str]], weights: np.ndarray | None = None):
+    def __init__(self, lexicon: tuple[list[list[str]], list[str]]):
         families, weak = lexicon
-        self.weak = frozenset(weak)
         self.bits = {t: 1 << i for i, family in enumerate(families) for t in family}
         for word in INSULTS:
             self.bits[word] = self.bits.get(word, 0) | 1 << LEXICON_VOTERS
-        self.weights, self.known = weights, {}
-
-    def of_word(self, word: str) -> tuple[int, list[int], float]:
-        found = self.known.get(word)
-        if found is None:
-            bits = 0
-            for t in terms_of(word):
-                bits |= self.bits.get(t, 0) | (1 << MAX_VOTERS if t in self.weak else 0)
-            names = np.array([word, word[:5] + "*"], dtype=object)
-            features = (pd.util.hash_array(names, categorize=False) % FEATURES).astype(np.int64).tolist()
-            found = bits, features, float(self.weights[features].sum()) if self.weights is not None else 0.0
-            if len(self.known) > 200_000:
-                self.known.clear()
-            self.known[word] = found
-        return found
-
-    def votes(self, text: str | None, words: list[tuple[int, list[int], float]]) -> int:
-        bits = hits = weak = 0
-        for b, _, _ in words:
-            bits |= b
-            hits += b & ((1 << MAX_VOTERS) - 1) > 0
-            weak += b > 0
-        bits &= (1 << MAX_VOTERS) - 1
-        text = text or ""
-        upper = sum(map(len, re.findall(r"[A-Z]{3,}", text)))
-        forms = (weak >= 3, hits >= 2, hits >= 1 and hits * 50 >= len(words), upper * 4 > len(text) > 20, len(re.findall(r"[!?]{2,}", text)) > 1, hits == 1, hits == 0)
-        for i, x in enumerate(forms):
-            bits |= x << (LEXICON_VOTERS + 1 + i)
+        for term in weak:
+            self.bits[term] = self.bits.get(term, 0) | 1 << MAX_VOTERS
+        self.starts = frozenset(t.rstrip("*")[:STEMS[0]] for t in self.bits)
+
+    def of_word(self, word: str) -> int:
+        if word[:STEMS[0]] not in self.starts:
+            return 0
+        bits = 0
+        for t in terms_of(word):
+            bits |= self.bits.get(t, 0)
         return bits
 
+    def __call__(self, words: Words) -> np.ndarray:
+        bits = np.fromiter(map(self.of_word, words.distinct), dtype=np.int64, count=len(words.distinct))
+        strong = bits & ((1 << MAX_VOTERS) - 1)
+        out = np.zeros(len(words.texts), dtype=np.int64)
+        voted = np.flatnonzero(strong[words.code])
+        np.bitwise_or.at(out, words.owner[voted], strong[words.code[voted]])
+        hits, weak = words.per_text((strong > 0).astype(float)), words.per_text((bits > 0).astype(float))
+        shout = np.array([bool(t) and 4 * sum(map(len, SHOUT.findall(t))) > len(t) > 20 for t in words.texts], dtype=bool)
+        marks = np.array([bool(t) and len(MARKS.findall(t)) > 1 for t in words.texts], dtype=bool)
+        forms = (weak >= 3, hits >= 2, (hits >= 1) & (hits * 50 >= words.per_text()), shout, marks, hits == 1, hits == 0)
+        for i, x in enumerate(forms):
+            out |= x.astype(np.int64) << (LEXICON_VOTERS + 1 + i)
+        return out
 
-def voter(lexicon: tuple[list[list[str]], list[str]]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voters = Voters(lexicon)
-        for batch in text_chunks(batches):
-            votes = [voters.votes(t, [voters.of_word(w) for w in distinct_words(t)]) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(votes, pa.int32())],
-                                             ["doc_id", "text_key", "votes"])
 
-    return run
+def hashed(words: Words) -> np.ndarray:
+    """The two features of each distinct word: the word and its beginning."""
+    if not len(words.distinct):
+        return np.empty((0, 2), dtype=np.int64)
+    begin = np.empty(len(words.distinct), dtype=object)
+    begin[:] = [w[:5] + "*" for w in words.distinct]
+    codes, begins = pd.factorize(begin)
+    return np.column_stack([pd.util.hash_array(words.distinct, categorize=False) % FEATURES,
+                            (pd.util.hash_array(begins, categorize=False) % FEATURES)[codes]]).astype(np.int64)
 
 
-def featurizer(lexicon: tuple[list[list[str]], list[str]]):
+def voter(lexicon: tuple[list[list[str]], list[str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voters = Voters(lexicon)
+        vote = Voters(lexicon)
         for batch in text_chunks(batches):
-            lists = [[f for w in distinct_words(t) for f in voters.of_word(w)[1]] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("votes"), batch.column("toxic"), pa.array(lists, pa.list_(pa.int32()))],
-                                             ["votes", "toxic", "features"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(vote(Words(batch.column("text").to_pylist())), pa.int32())],
+                ["doc_id", "text_key", "votes"])
 
     return run
 
 
-def scorer(lexicon: tuple[list[list[str]], list[str]], votes: np.ndarray, weights: np.ndarray, bias: float):
+def featurizer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in text_chunks(batches):
+        words = Words(batch.column("text").to_pylist())
+        flat = hashed(words)[words.code].reshape(-1)
+        offsets = np.concatenate([[0], np.cumsum(2 * words.per_text())])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("votes"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))], ["votes", "features"])
+
+
+def scorer(lexicon: tuple[list[list[str]], list[str]], vote_weights: np.ndarray, weights: np.ndarray, bias: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voters = Voters(lexicon, weights)
+        vote = Voters(lexicon)
         for batch in text_chunks(batches):
-            scores = []
-            for text in batch.column("text").to_pylist():
-                words = [voters.of_word(w) for w in sorted(distinct_words(text))]
-                bits = voters.votes(text, words)
-                z = bias + sum(votes[i] for i in range(MAX_VOTERS) if bits >> i & 1)
-                z += sum(x[2] for x in words) / max(1, 2 * len(words)) ** 0.5
-                scores.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(scores, pa.float64())],
-                                             ["doc_id", "text_key", "score"])
+            words = Words(batch.column("text").to_pylist())
+            z = bias + bit_matrix(vote(words)) @ vote_weights
+            if len(words.distinct):
+                z = z + words.per_text(weights[hashed(words)].sum(axis=1)) / np.sqrt(np.maximum(1, 2 * words.per_text()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["doc_id", "text_key", "score"])
 
     return run
 
@@ -273,10 +299,10 @@ def score_documents(
     order = F.xxhash64("doc_id", "text_key")
     chosen = sample.filter(is_likely).orderBy(order, "doc_id").limit(max_train).union(
         sample.filter(~is_likely).orderBy(order, "doc_id").limit(max_train))  # at most 2 * max_train rows
-    chosen = stored(chosen.select("doc_id", "text_key", "votes", "toxic"), "toxicity-sample").dropDuplicates(["doc_id", "text_key"])
-    made = rows.join(F.broadcast(chosen), ["doc_id", "text_key"]).select("text", "votes", "toxic").mapInArrow(
-        featurizer(lexicon), "votes int, toxic int, features array<int>").toPandas()
-    made = made.assign(key=made.features.map(lambda f: (len(f), int(np.sum(f, dtype=np.int64))))).sort_values(["votes", "toxic", "key"])
+    chosen = stored(chosen.select("doc_id", "text_key", "votes"), "toxicity-sample").dropDuplicates(["doc_id", "text_key"])
+    made = rows.join(F.broadcast(chosen), ["doc_id", "text_key"]).select("text", "votes").mapInArrow(
+        featurizer, "votes int, features array<int>").toPandas()
+    made = made.assign(key=made.features.map(lambda f: (len(f), int(np.sum(f, dtype=np.int64))))).sort_values(["votes", "key"])
     bits = made.votes.to_numpy(np.int64)
     target = model.posterior(bits)
     high = np.isin(bits, likely)
