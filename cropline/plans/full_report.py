@@ -90,7 +90,7 @@ def report_frames(
     week_bounds = bnd.season_bounds(batches, s.site, days=7, seasons=s.pair)
     week_profile = dfc.defect_profile(
         dfc.batch_defect_proportion(
-            quality_data.defects(t), assessed, dfc.sample_qty_by_batch(assessed, week_bounds), batches), week_bounds)
+            quality_data.defects(t), assessed, dfc.sample_qty_by_batch(assessed), batches, drop="input"), week_bounds)
 
     return {
         "season_kpis": season_kpis(deliveries, tipped, batches, s.site, s.month_day, s.pair),
@@ -103,8 +103,7 @@ def report_frames(
         "tipped_growth": hv.tipped_growth(tipped, bounds, s.current, s.prior),
         "packout_to_date": po.packout_aggregate(site_batches, bounds),
         "packout_first_week": po.packout_to_date(week_batches, days=7),
-        "packout_by_storage_days": po.storage_day_cap(
-            po.known_packout(model_batches), s.current).select("season", "storage_days", "packout"),
+        "packout_by_storage_days": po.storage_day_cap(model_batches, s.current).select("season", "storage_days", "packout"),
         "packout_population": po.packout_population(batches, bounds),
         "packout_by_pack_date": po.packout_scatter(site_batches, s.current),
         "packout_model": regression,

@@ -401,6 +401,9 @@ ORACLES: dict[str, str] = {
         1 - CAST(r AS DOUBLE) / CAST(i AS DOUBLE) AS packout FROM (
         SELECT season, coalesce(sum(input_kgs), 0) AS i, coalesce(sum(reject_kgs), 0) AS r
         FROM d_batch JOIN d_bounds USING (season) WHERE pack_date >= first_pack AND pack_date < close GROUP BY season)""",
+    "storage_day_points": f"""SELECT grader_batch_id, season, CAST(storage_days AS BIGINT) AS storage_days,
+        CASE WHEN input_kgs IS NULL OR reject_kgs IS NULL THEN 'missing' WHEN input_kgs <> 0 THEN 'finite'
+          WHEN reject_kgs = 0 THEN 'nan' ELSE 'infinite' END AS packout_state FROM d_capped WHERE season = {CURRENT}""",
     "storage_day_cap": """SELECT season, count(storage_days) AS n, CAST(max(storage_days) AS BIGINT) AS longest
         FROM d_capped GROUP BY season""",
     "packout_regression": _rounded(
@@ -429,6 +432,14 @@ ORACLES: dict[str, str] = {
         USING (grader_batch_id) WHERE input_kgs IS NOT NULL""", text="pack_date", real="input_kgs reject_kgs"),
     "defect_profile": out(
         "SELECT * FROM d_profile", real="input_kgs reject_kgs", whole="defect_qty sample_qty"),
+    "defects_first_week": out(
+        f"""SELECT *, {_PROP} AS prop FROM (SELECT season, defect, {', '.join(
+            f'CASE WHEN count({c}) = count(*) THEN sum({c}) END AS {c}' for c in ('defect_qty', 'sample_qty', 'input_kgs', 'reject_kgs'))}
+        FROM d_defect_by_batch JOIN d_sample_qty USING (grader_batch_id)
+        JOIN (SELECT grader_batch_id, season, pack_date, input_kgs, reject_kgs FROM d_batch WHERE input_kgs IS NOT NULL)
+        USING (grader_batch_id) JOIN d_firsts USING (season)
+        WHERE season IN ({PRIOR}, {CURRENT}) AND pack_date >= first_pack AND pack_date < first_pack + 7 GROUP BY season, defect)""",
+        real="input_kgs reject_kgs", whole="defect_qty sample_qty"),
     "top_defects": out(
         "SELECT * FROM d_profile JOIN d_top USING (defect)",
         real="input_kgs reject_kgs", whole="defect_qty sample_qty"),

@@ -449,6 +449,12 @@ def storage_day_cap(x):
     return rows.groupBy("season").agg(F.count("storage_days").alias("n"), F.max("storage_days").alias("longest"))
 
 
+@query
+def storage_day_points(x):
+    rows = po.storage_day_cap(x.closed_batches, CURRENT).filter(F.col("season") == CURRENT)
+    return finite(rows, "packout").select("grader_batch_id", "season", "storage_days", "packout_state")
+
+
 @query
 def packout_regression(x):
     figures = ["intercept", "slope", "se_intercept", "se_slope", "mean_days", "sd_resid"]
@@ -507,6 +513,14 @@ def top_defects(x):
     return dfc.top_defects(x.profile, CURRENT)
 
 
+@query
+def defects_first_week(x):
+    week = bnd.season_bounds(x.batches, SITE, days=7, seasons=[PRIOR, CURRENT])
+    proportions = dfc.batch_defect_proportion(
+        quality_data.defects(x.t), x.assessments, dfc.sample_qty_by_batch(x.assessments), x.batches, drop="input")
+    return dfc.defect_profile(proportions, week)
+
+
 @query
 def top_defect_lines(x):
     top = dfc.top_defects(x.profile, CURRENT).filter(F.col("season") == CURRENT)
