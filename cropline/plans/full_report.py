@@ -18,6 +18,7 @@ from cropline.operators.relational import union_sources
 from cropline.plans import fruit_data, harvest_data, packing_data, phyto_data, quality_data
 from cropline.plans.dimensions import Tables
 from cropline.plans.season_report import season_kpis
+from cropline.sources.sinks import Display
 from cropline.sources.tables import land
 
 
@@ -45,6 +46,32 @@ class ReportSettings:
         return [*self.archive_seasons, *self.pair]
 
 
+def displays(settings: ReportSettings) -> dict[str, Display]:
+    """The shown form of the report's tables, for ``sinks.write_chart_data``; figures keep their raw values."""
+    season = {"season": "Season"}
+    sites = [*settings.storage_sites, "other_sites", "no_site", "total"]
+    site_names = dict(zip(sites, [*settings.storage_sites, "Other sites", "No site", "Total"]))
+    packout = Display({**season, "packout": "Packout"}, ["season"], percent={"packout": 1})
+    pair = [str(s) for s in settings.pair]
+    return {
+        "bins_harvested_by_site": Display({**season, **site_names}, ["season"], thousands=sites),
+        "bins_tipped_by_site": Display(
+            {"packing_site": "Packing site", **{s: s for s in pair}}, ["packing_site"], thousands=pair),
+        "packout_to_date": packout,
+        "packout_first_week": packout,
+        "packout_model": Display(
+            {**season, "intercept": "Zero day Packout", "slope": "Packout loss per day"}, ["season"],
+            percent={"intercept": 1, "slope": 2}),
+        "interception_rate": Display(
+            {**season, "with_interceptions": "With interceptions", "total": "Total", "rate": "% bugged out"}, ["season"],
+            percent={"rate": 1}),
+        "diameter_change": Display(
+            {**season, "value": "mm", "yoy": "YoY change"}, ["season"], percent={"yoy": 1}, rounded={"value": 1}),
+        "mass_change": Display(
+            {**season, "value": "g", "yoy": "YoY change"}, ["season"], percent={"yoy": 1}, rounded={"value": 1}),
+    }
+
+
 def report_frames(
     t: Tables, settings: ReportSettings, work: str, archive: Tables | None = None
 ) -> dict[str, DataFrame]:

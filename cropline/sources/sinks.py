@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from cropline.functions.scalars import percent_text, round_half_even, thousands_text
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -37,7 +41,33 @@ def write_dataset(df: DataFrame, path: str, by: str = "season", mode: str = "err
     df.write.mode(mode).partitionBy(by).parquet(path)
 
 
-def write_chart_data(figures: Mapping[str, DataFrame], root: str, fmt: str = "parquet") -> None:
-    """One folder per figure under ``root``."""
+@dataclass(frozen=True)
+class Display:
+    """How a report table is shown: its columns in order under their names, and which are percent, thousands or rounded.
+
+    ``columns`` maps column to shown name; without it all columns stay. ``percent`` and ``rounded`` give digits.
+    """
+
+    columns: Mapping[str, str] | None = None
+    order_by: Sequence[str] = ()
+    percent: Mapping[str, int] = field(default_factory=dict)
+    thousands: Sequence[str] = ()
+    rounded: Mapping[str, int] = field(default_factory=dict)
+
+    def show(self, df: DataFrame) -> DataFrame:
+        texts = {c: percent_text(c, digits) for c, digits in self.percent.items()}
+        texts |= {c: thousands_text(f"`{c}`") for c in self.thousands}
+        texts |= {c: round_half_even(c, digits) for c, digits in self.rounded.items()}
+        names = self.columns or {c: c for c in df.columns}
+        return df.select(*[texts.get(c, F.col(f"`{c}`")).alias(name) for c, name in names.items()])
+
+
+def write_chart_data(
+    figures: Mapping[str, DataFrame], root: str, fmt: str = "parquet", displays: Mapping[str, Display] | None = None
+) -> None:
+    """One folder per figure under ``root``, each in its order, and in its display form where ``displays`` has one."""
     for name, df in figures.items():
-        write_report_table(df, f"{root.rstrip('/')}/{name}", fmt=fmt)
+        display = (displays or {}).get(name, Display())
+        if display.order_by:
+            df = df.orderBy(*[F.col(c) for c in display.order_by])
+        write_report_table(display.show(df), f"{root.rstrip('/')}/{name}", fmt=fmt)

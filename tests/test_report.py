@@ -1,6 +1,6 @@
 import pytest
 
-from cropline.plans.full_report import ReportSettings, report_frames
+from cropline.plans.full_report import ReportSettings, displays, report_frames
 from cropline.schema import TABLES, schema_of
 from cropline.sources.sinks import write_chart_data
 from cropline.sources.tables import land, land_tables
@@ -30,6 +30,12 @@ def settings():
 def test_whole_report(spark, tables, archive, settings, tmp_path, rows_of):
     frames = report_frames(land_tables(tables, str(tmp_path / "landed")), settings, str(tmp_path / "work"), archive)
     write_chart_data(frames, str(tmp_path / "report"))
+    write_chart_data(frames, str(tmp_path / "shown"), displays=displays(settings))
+    shown = spark.read.parquet(str(tmp_path / "shown" / "packout_to_date"))
+    assert shown.columns == ["Season", "Packout"] and shown.filter("Season = 2024").first()["Packout"] == "88.0%"
+    sites = spark.read.parquet(str(tmp_path / "shown" / "bins_harvested_by_site"))
+    assert sites.columns == ["Season", "Cool store", "Other sites", "No site", "Total"]
+    assert rows_of(sites, "Season", "Total") == [(2024, "30"), (2025, "85")]
     back = {name: spark.read.parquet(str(tmp_path / "report" / name)) for name in frames}
     assert rows_of(back["harvest_curve"], "season", "cum_bins") == [
         (2023, 11), (2024, 10), (2024, 30), (2025, 30), (2025, 80), (2025, 85),
