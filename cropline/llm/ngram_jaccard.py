@@ -48,6 +48,8 @@ WORDS_PER_BLOCK = 2_000_000
 HELD_KEYS = 2_000_000
 #: Longs of a row's bitmap.
 BITMAP = 32
+#: Columns before an entry that are looked at to find a pair once, not at every column that it shares.
+BEFORE = 8
 
 SET_SCHEMA = ("doc_id long, text_key long, n_shingles long, s1 long, s2 long, "
               "bits array<long>, columns array<struct<col: long, at: int>>")
@@ -235,15 +237,18 @@ def judge_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     bits = max(0, math.ceil(math.log2(max(1, chars / 6 / WORDS_PER_BLOCK))))
     folder = array_uri(scratch_dir(spark, "columns"))
     counted = rows.select("text").mapInArrow(column_counter(size, bits), "block int, once binary, more binary, counts binary")
-    stored(counted.repartition(1 << bits, "block").mapInArrow(column_writer(folder), "block int, live long"), "column-blocks")
+    stored(counted.repartitionById(1 << bits, F.col("block")).mapInArrow(column_writer(folder), "block int, live long"), "column-blocks")
     sets = stored(rows.mapInArrow(set_maker(folder, size, bits, percent), SET_SCHEMA), "sets")
 
     # Equal sets are one row of the product, named by the first half of their hash.
     whole = ["s1", "s2", "n_shingles"]
     members = stored(sets.filter("n_shingles > 0").groupBy(*whole).agg(
         F.first("columns").alias("columns"), F.first("bits").alias("bits"), F.min(F.struct("doc_id", "text_key")).alias("one")), "equal-sets")
-    entries = members.select(F.col("s1").alias("row"), F.col("n_shingles").alias("n"), "one", F.explode("columns").alias("c")).select(
-        "row", "n", "one", "c.col", "c.at")
+    # Each entry knows the columns that its row has just before it in the order.
+    before = F.slice(F.transform("columns", lambda c: c["col"]), F.greatest(F.lit(1), F.col("i") + 1 - BEFORE), F.least("i", F.lit(BEFORE)))
+    entries = members.select(
+        F.col("s1").alias("row"), F.col("n_shingles").alias("n"), "one", "columns", F.posexplode("columns").alias("i", "c")
+    ).select("row", "n", "one", "c.col", "c.at", before.alias("before"))
 
     def possible(n: str, m: str):
         return (100 * F.col(n) >= percent * F.col(m)) & (100 * F.col(m) >= percent * F.col(n))
@@ -268,9 +273,11 @@ def judge_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # A pair is found from the smaller set's side, of which fewer columns are enough.
     enough = F.col("n") - F.floor((2 * percent * F.col("n") + 99 + percent) / (100 + percent)) + 1
     left = sized_entries.filter(F.col("at") < enough).select(
-        "col", F.col("row").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("class").alias("ca"), F.col("bits").alias("ba"))
+        "col", F.col("row").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("class").alias("ca"), F.col("bits").alias("ba"),
+        F.col("before").alias("la"))
     right = sized_entries.select(
-        "col", F.col("row").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("class").alias("cb"), F.col("bits").alias("bb"))
+        "col", F.col("row").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("class").alias("cb"), F.col("bits").alias("bb"),
+        F.col("before").alias("lb"))
     # The shared column, and at most what comes after it in both, can overlap, beyond what came before.
     most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb")
     # Every bit in which the bitmaps differ stands for at least one shingle that only one set has.
@@ -278,7 +285,8 @@ def judge_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     pairs = left.join(right, "col").filter(
         (F.col("ca") != F.col("cb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
         & possible("na", "nb") & ((100 + percent) * most >= percent * (F.col("na") + F.col("nb")))
-        & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))))
+        & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb")))
+        & ~F.arrays_overlap("la", "lb"))  # a linked pair that shares an earlier column is found there
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "open-pairs")
     links = star_links.select("a", "b").union(linked(pairs, bodies, size, percent).select("a", "b"))
 
