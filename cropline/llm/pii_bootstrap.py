@@ -4,10 +4,10 @@ Base spans (email, ip, card, phone) are found by regular expressions; places com
 ``split`` leaves between the matches, added up per text and kind by a window.
 
 Bootstrap: the seed entities' contexts, the one and the two words before them, induce lexical patterns. Candidates are
-all identifier-like tokens of the corpus (white-space tokens with a digit, without brackets, quotes and end punctuation)
-that touch no base span. Pattern and candidates form a graph: an edge for each distinct value that a pattern precedes. A
-pattern's confidence is the sum of the scores of its distinct values over the number of distinct values of any kind of
-token that it precedes in the corpus, so a common word in front of a few seeds scores near zero. A value's score is 1
+all identifier-like tokens of the corpus (white-space tokens with a digit or an at sign, without brackets, quotes and end
+punctuation) that touch no base span. Patterns and values form a graph: an edge for each value that a pattern stands
+before, with its number of times. A pattern's confidence is the sum of times and scores of its values over the times that
+it stands before any token of the corpus, so a common word in front of a few seeds scores near zero. A value's score is 1
 for seeds and 1 - prod(1 - confidence) over its patterns otherwise. After ``rounds`` rounds, values of at least
 ``min_score`` behind a pattern of at least ``min_confidence`` and ``min_seeds`` distinct seed values become spans of the
 kind that the pattern's seeds mostly have.
@@ -38,7 +38,7 @@ PATTERNS = {
 }
 #: What a text must hold for the pattern to be tried at all.
 HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-TOKEN = r"(?<![^\s])[^\s0-9]*+[0-9][^\s]*+"
+TOKEN = r"(?<![^\s])[^\s0-9@]*+[0-9@][^\s]*+"
 SPACE = r"\s"
 #: Rows of the pattern set (a short text each) that may be broadcast.
 BROADCAST_ROWS = 200_000
@@ -130,7 +130,7 @@ def discover(rows: DataFrame, base: DataFrame, rounds: int = 3, min_score: float
     spans = base.select(F.col("doc_id").alias("b_id"), F.col("text_key").alias("b_key"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
     free = tokens.join(spans, F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("text_key") == F.col("b_key"))
                        & (F.col("start") < F.col("b_end")) & (F.col("end") > F.col("b_start")), "left_anti")
-    seeds = base.select("kind", "value", F.explode(contexts(F.col("before"))).alias("pattern")).distinct()
+    seeds = base.select("kind", "value", F.explode(contexts(F.col("before"))).alias("pattern"))
     # Patterns that enough distinct seeds have; the others can never be used.
     kinds = seeds.groupBy("pattern", "kind").agg(F.count_distinct("value").alias("n"))
     patterns = stored(kinds.groupBy("pattern").agg(F.sum("n").alias("n_seeds"), F.max_by("kind", F.struct("n", "kind")).alias("kind"))
@@ -139,24 +139,26 @@ def discover(rows: DataFrame, base: DataFrame, rounds: int = 3, min_score: float
     free = stored(free.withColumn("pattern", F.explode(contexts(F.col("before")))).join(
         sized(patterns.select("pattern")), "pattern").select("doc_id", "text_key", "start", "end", "value", "pattern"), "pii-candidates")
 
-    # Distinct values that follow each pattern anywhere in the corpus, of any kind of token.
+    # How often each pattern stands before any token of the corpus.
     words = F.filter(F.split(F.lower("text"), SPACE + "+"), lambda w: w != "")
     hashed = rows.select(F.transform(words, lambda w: F.xxhash64(w)).alias("w"))
-    after = F.transform(F.sequence(F.lit(2), F.size("w")), lambda i: F.struct(
-        F.get("w", i - 1).alias("next"), F.array(F.get("w", i - 2), F.when(i > 2, F.xxhash64(F.get("w", i - 3), F.get("w", i - 2)))).alias("keys")))
-    places = hashed.filter(F.size("w") > 1).select(F.explode(after).alias("x")).select("x.next", F.explode("x.keys").alias("key"))
-    followers = places.join(sized(patterns.select("pattern", pattern_key(F.col("pattern")).alias("key"))), "key").select(
-        "pattern", "next").groupBy("pattern", "next").agg(F.lit(1).alias("one")).groupBy("pattern").agg(F.count("*").alias("n_values"))
-    followers = stored(followers, "pii-followers")
-
-    edges = stored(seeds.join(sized(patterns.select("pattern")), "pattern").select("pattern", "value", F.lit(True).alias("seed")).distinct().union(
-        free.select("pattern", "value", F.lit(False)).distinct()), "pii-edges")
+    n = F.size("w")
+    pairs = F.when(n > 2, F.transform(F.sequence(F.lit(2), n - 1), lambda i: F.xxhash64(F.get("w", i - 2), F.get("w", i - 1)))
+                   ).otherwise(F.array().cast("array<bigint>"))
+    places = hashed.filter(n > 1).select(F.explode(F.concat(F.slice("w", 1, n - 1), pairs)).alias("key"))
+    keyed = patterns.select("pattern", pattern_key(F.col("pattern")).alias("key"))
+    followed = stored(places.join(sized(keyed), "key").groupBy("pattern").agg(F.count("*").alias("times")), "pii-followed")
+
+    known = seeds.join(sized(patterns.select("pattern")), "pattern").select("pattern", "value", F.lit(True).alias("seed"))
+    edges = stored(known.union(free.select("pattern", "value", F.lit(False))).groupBy("pattern", "value").agg(
+        F.max("seed").alias("seed"), F.count("*").alias("n")), "pii-edges")
     scores = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score"))
     confidence = None
     for _ in range(rounds):
-        sums = edges.join(scores, "value").groupBy("pattern").agg(F.sum("score").alias("sum"))
-        confidence = stored(sums.join(followers, "pattern").select(
-            "pattern", F.least(F.lit(1.0), F.col("sum") / F.col("n_values")).alias("confidence")), "pii-confidence")
+        sums = edges.join(scores, "value").groupBy("pattern").agg(
+            F.sum(F.col("score") * F.col("n")).alias("sum"))
+        confidence = stored(sums.join(followed, "pattern").select(
+            "pattern", F.least(F.lit(1.0), F.col("sum") / F.col("times")).alias("confidence")), "pii-confidence")
         missed = F.product(F.lit(1.0) - F.col("confidence"))
         scores = stored(edges.join(confidence, "pattern").groupBy("value").agg(
             F.when(F.max("seed"), F.lit(1.0)).otherwise(1 - missed).alias("score")), "pii-scores")
