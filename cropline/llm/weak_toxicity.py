@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -238,14 +239,12 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_linear(votes: np.ndarray, features: list[np.ndarray], target: np.ndarray, weight: np.ndarray, rounds: int = 150,
-               l2_votes: float = 1e-4, l2_words: float = 1e-2) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weighted logistic regression by Adam; words are scaled by the root of their number."""
+def fit_linear(votes: np.ndarray, columns: np.ndarray, sizes: np.ndarray, target: np.ndarray, weight: np.ndarray,
+               rounds: int = 150, l2_votes: float = 1e-4, l2_words: float = 1e-2) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weighted logistic regression by Adam; a row's words are ``sizes`` features of ``columns``, scaled by their root."""
     bits = bit_matrix(votes)
-    sizes = np.array([len(f) for f in features], dtype=np.int64)
-    columns = np.concatenate([*features, np.empty(0, np.int64)]).astype(np.int64)
-    scale = np.repeat(1 / np.sqrt(np.maximum(sizes, 1)), sizes)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
+    scale = np.repeat((1 / np.sqrt(np.maximum(sizes, 1))).astype(np.float32), sizes)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     w = [np.zeros(MAX_VOTERS), np.zeros(FEATURES), np.zeros(1)]
     m, v = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w]
     weight = weight / max(weight.sum(), 1e-9)
@@ -262,7 +261,7 @@ def fit_linear(votes: np.ndarray, features: list[np.ndarray], target: np.ndarray
 
 def score_documents(
     docs: DataFrame, labels: DataFrame, trains: Column | None = None, doc_id: str = "doc_id", text: str = "text",
-    label: str = "toxic", min_support: float = 0.01, min_precision: float = 0.97, max_train: int = 4000, threshold: float = 0.3,
+    label: str = "toxic", min_support: float = 0.01, min_precision: float = 0.97, max_train: int = 2000, threshold: float = 0.3,
 ) -> DataFrame:
     """(doc_id, text_key, score, predicted) of all documents. ``trains`` (over the column doc_id) names the training rows."""
     trains = F.lit(True) if trains is None else trains
@@ -301,14 +300,18 @@ def score_documents(
         sample.filter(~is_likely).orderBy(order, "doc_id").limit(max_train))  # at most 2 * max_train rows
     chosen = stored(chosen.select("doc_id", "text_key", "votes"), "toxicity-sample").dropDuplicates(["doc_id", "text_key"])
     made = rows.join(F.broadcast(chosen), ["doc_id", "text_key"]).select("text", "votes").mapInArrow(
-        featurizer, "votes int, features array<int>").toPandas()
-    made = made.assign(key=made.features.map(lambda f: (len(f), int(np.sum(f, dtype=np.int64))))).sort_values(["votes", "key"])
-    bits = made.votes.to_numpy(np.int64)
+        featurizer, "votes int, features array<int>").toArrow()
+    lists = made.column("features").combine_chunks()
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=lists.flatten().to_numpy(), minlength=len(sizes))
+    order = np.lexsort((sums, sizes, made.column("votes").to_numpy()))  # the same order at every attempt
+    bits, sizes = made.column("votes").to_numpy()[order].astype(np.int64), sizes[order]
+    columns = lists.take(pa.array(order)).flatten().to_numpy()
     target = model.posterior(bits)
     high = np.isin(bits, likely)
     total = table.assign(high=np.isin(table.votes, likely)).groupby("high").n.sum()
     weight = np.where(high, total.get(True, 0) / max(1, high.sum()), total.get(False, 0) / max(1, (~high).sum()))
-    vote_weights, word_weights, bias = fit_linear(bits, [np.asarray(f) for f in made.features], target, weight)
+    vote_weights, word_weights, bias = fit_linear(bits, columns, sizes, target, weight)
     scored = rows.mapInArrow(scorer(lexicon, vote_weights, word_weights, bias), "doc_id long, text_key long, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
