@@ -58,10 +58,9 @@ def probe_key(line: Column, length: Column, difference: int, number: int, shift:
 def common_prefix(a: Column, b: Column) -> Column:
     """Length of the common prefix, by halving steps; ``b`` is not the longer one."""
     bits = F.length(F.bin(F.length(b))) - 1
-    return F.aggregate(F.sequence(bits, F.lit(0), F.lit(-1)), F.lit(0), lambda n, k: n + F.when(
-        (n + F.pow(F.lit(2), k).cast("int") <= F.length(b))
-        & (F.substring(a, n + 1, F.pow(F.lit(2), k).cast("int")) == F.substring(b, n + 1, F.pow(F.lit(2), k).cast("int"))),
-        F.pow(F.lit(2), k).cast("int")).otherwise(0))
+    steps = F.transform(F.sequence(bits, F.lit(0), F.lit(-1)), lambda k: F.call_function("shiftleft", F.lit(1), k))
+    return F.aggregate(steps, F.lit(0), lambda n, step: n + F.when(
+        (n + step <= F.length(b)) & (F.substring(a, n + 1, step) == F.substring(b, n + 1, step)), step).otherwise(0))
 
 
 def banded_distance(longer: Column, shorter: Column, edits: int) -> Column:
@@ -132,7 +131,11 @@ def banded_distance(longer: Column, shorter: Column, edits: int) -> Column:
 def lines_of(docs: DataFrame, min_chars: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_key, line_no, line, line_key) of all lines that are long enough."""
     rows = documents_of(docs, doc_id, text).select("doc_id", "text_key", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return rows.select("doc_id", "text_key", "line_no", F.btrim("line", F.lit(" \t\r")).alias("line")).filter(
+    loose = F.lit(False)  # few lines have something to trim, and trimming costs more than looking
+    for blank in " \t\r":
+        loose = loose | F.startswith("line", F.lit(blank)) | F.endswith("line", F.lit(blank))
+    trimmed = F.when(loose, F.btrim("line", F.lit(" \t\r"))).otherwise(F.col("line"))
+    return rows.select("doc_id", "text_key", "line_no", trimmed.alias("line")).filter(
         F.length("line") >= min_chars).withColumn("line_key", F.xxhash64("line"))
 
 
@@ -143,8 +146,9 @@ def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     parts, places = edits + 1, probe_places(edits)
     sized = lambda df: F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
     lines = lines_of(docs, min_chars, doc_id, text)
-    keys = [probe_key(F.col("line"), F.length("line"), *p, parts).alias(f"k{i}") for i, p in enumerate(places)]
-    distinct = lines.select("line_key", *keys).groupBy("line_key").agg(*[F.first(f"k{i}").alias(f"k{i}") for i in range(len(places))])
+    measured = lines.withColumn("chars", F.length("line"))
+    keys = [probe_key(F.col("line"), F.col("chars"), *p, parts).alias(f"k{i}") for i, p in enumerate(places)]
+    distinct = measured.select("line_key", *keys).groupBy("line_key").agg(*[F.first(f"k{i}").alias(f"k{i}") for i in range(len(places))])
     distinct = stored(distinct.select("line_key", F.array(*[f"k{i}" for i in range(len(places))]).alias("keys")), "line-segments")
     own = {i: n for n, (d, i, shift) in enumerate(places) if d == 0 and shift == 0}  # place of each segment's own key
     entries = distinct.select("line_key", F.posexplode("keys").alias("place", "key")).filter("key is not null")
