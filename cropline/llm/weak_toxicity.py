@@ -41,7 +41,8 @@ LEXICON_VOTERS = MAX_VOTERS - FORMS - 1
 FEATURES = 1 << 16
 #: Label rows (an id and a flag each) that may be broadcast.
 BROADCAST_LABELS = 1_000_000
-WORD = re.compile(r"[^\W\d_]+")
+#: Words are runs of ASCII letters and of characters outside ASCII: all other bytes become spaces.
+SPACED = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 SHOUT, MARKS = re.compile("[A-Z]{3,}"), re.compile("[!?]{2,}")
 STEMS = (4, 5, 6, 7, 8)
 
@@ -59,11 +60,13 @@ class Words:
     """The distinct words of each text of a chunk: ``owner[i]`` has the word ``distinct[code[i]]``."""
 
     def __init__(self, texts: list[str | None]):
-        lists = [WORD.findall(t.lower()) if t else [] for t in texts]
+        lists = [t.lower().encode().translate(SPACED).split() if t else [] for t in texts]
         sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
         flat = np.empty(int(sizes.sum()), dtype=object)
         flat[:] = [w for x in lists for w in x]
-        codes, self.distinct = pd.factorize(flat) if len(flat) else (np.empty(0, np.int64), flat)
+        codes, distinct = pd.factorize(flat) if len(flat) else (np.empty(0, np.int64), flat)
+        self.distinct = np.empty(len(distinct), dtype=object)
+        self.distinct[:] = [w.decode() for w in distinct]
         enough = np.fromiter((len(w) > 2 for w in self.distinct), dtype=bool, count=len(self.distinct))
         owner = np.repeat(np.arange(len(lists)), sizes)[enough[codes]]
         n = max(1, len(self.distinct))
