@@ -195,7 +195,7 @@ def fit(docs: DataFrame, trains: Column, doc_id: str = "doc_id", text: str = "te
     chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     buckets = max(1, math.ceil(chars / CHARS_PER_BUCKET))
     parts = max(buckets, 1)
-    stats = stored(rows.mapInArrow(counter(buckets), PAIR_SCHEMA).repartition(parts, "bucket")
+    stats = stored(rows.mapInArrow(counter(buckets), PAIR_SCHEMA).repartitionById(parts, F.col("bucket"))
                    .mapInArrow(bucket_writer(folder), STAT_SCHEMA), "bigram-stats")
     by_word = stored(stats.filter("side > 0").groupBy("word").agg(
         *[F.sum(F.when(F.col("side") == 1, F.col(c)).otherwise(0)).alias(c) for c in ("total", "n1", "n2", "n3")],
@@ -211,7 +211,7 @@ def fit(docs: DataFrame, trains: Column, doc_id: str = "doc_id", text: str = "te
     e = discounts([s["k1"], s["k2"], s["k3"], s["k4"]])
     held_back = (e[0] * s["k1"] + e[1] * s["k2"] + e[2] * s["k3up"]) / s["total"] if s["total"] else 1.0
     bucketed = by_word.withColumn("bucket", F.pmod(F.shiftrightunsigned("word", 20), F.lit(buckets)).cast("int"))
-    written = bucketed.repartition(parts, "bucket").mapInArrow(
+    written = bucketed.repartitionById(parts, F.col("bucket")).mapInArrow(
         table_writer(folder, buckets, d, e, int(s["total"]), int(s["words"])), "bucket int, rows long")
     stored(written, "bigram-tables")
     return {"folder": folder, "buckets": buckets, "discounts": d, "vocabulary": int(s["words"]), "train_tokens": int(s["tokens"]),
