@@ -21,7 +21,8 @@ from cropline.llm.common import documents_of, keep_rows, stored
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Rows of the hash set that may be broadcast (two longs and a short text each); a larger one is joined by shuffle.
+#: Rows of the hash set, or ids of suspects, that may be broadcast (two longs and a short text each); more are joined by
+#: shuffle.
 BROADCAST_ROWS = 500_000
 
 
@@ -86,8 +87,11 @@ def judge_documents(
 
     suspects = seen.filter(F.size("hits") > 0).select(
         F.col("doc_id").alias("s_id"), F.col("text_key").alias("s_key"), "hits")
-    bodies = corpus.dropDuplicates(["doc_id", "text_key"]).join(
-        suspects, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("text_key") == F.col("s_key")))
+    # The ids of suspects, if few enough, pick their texts out of the scan; only these are shuffled to their hits.
+    named = suspects.select(F.col("s_id").alias("n_id"), F.col("s_key").alias("n_key"))
+    few = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
+    texts = corpus.join(few, F.col("doc_id").eqNullSafe(F.col("n_id")) & (F.col("text_key") == F.col("n_key")), "left_semi")
+    bodies = texts.join(suspects, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("text_key") == F.col("s_key")))
     spelled = bodies.select("doc_id", "text_key", "hits", words_of(F.col("text")).alias("words")).select(
         "doc_id", "text_key", F.explode(F.transform("hits", lambda h: F.struct(
             h["first"].alias("first"), h["length"].alias("length"), h["gram"].alias("gram"),
