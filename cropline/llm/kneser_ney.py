@@ -195,13 +195,15 @@ def fit(docs: DataFrame, trains: Column, doc_id: str = "doc_id", text: str = "te
     chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     buckets = max(1, math.ceil(chars / CHARS_PER_BUCKET))
     parts = max(buckets, 1)
-    stats = stored(rows.mapInArrow(counter(buckets), PAIR_SCHEMA).repartitionById(parts, F.col("bucket"))
-                   .mapInArrow(bucket_writer(folder), STAT_SCHEMA), "bigram-stats")
-    by_word = stored(stats.filter("side > 0").groupBy("word").agg(
+    stats = rows.mapInArrow(counter(buckets), PAIR_SCHEMA).repartitionById(parts, F.col("bucket")).mapInArrow(
+        bucket_writer(folder), STAT_SCHEMA)
+    counted = stored(stats.groupBy((F.col("side") == 0).alias("level"), "word").agg(
+        F.sum(F.when(F.col("side") == 0, F.col("total")).otherwise(0)).alias("pairs"),
         *[F.sum(F.when(F.col("side") == 1, F.col(c)).otherwise(0)).alias(c) for c in ("total", "n1", "n2", "n3")],
         F.sum(F.when(F.col("side") == 2, F.col("n1")).otherwise(0)).alias("before"),
         F.sum(F.when(F.col("side") == 2, F.col("total")).otherwise(0)).alias("tokens")), "bigram-words")
-    pair_levels = {int(r["word"]): r["n"] for r in stats.filter("side = 0").groupBy("word").agg(F.sum("total").alias("n")).collect()}
+    by_word = counted.filter("not level").drop("level", "pairs")
+    pair_levels = {int(r["word"]): r["pairs"] for r in counted.filter("level").collect()}  # four rows at most
     s = by_word.filter("before > 0").agg(
         F.count("*").alias("words"), F.coalesce(F.sum("before"), F.lit(0)).alias("total"),
         F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"),
