@@ -55,13 +55,6 @@ def documents_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
     )
 
 
-def same_row(left: DataFrame, right: DataFrame, keys: Iterable[str] = ("doc_id", "text_key")) -> Column:
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & left[k].eqNullSafe(right[k])
-    return condition
-
-
 def unused_name(df: DataFrame, base: str) -> str:
     name = base
     while name.lower() in {c.lower() for c in df.columns}:

@@ -295,15 +295,17 @@ def score_documents(
     table = judged.groupBy("votes", "toxic").agg(F.count("*").alias("n")).toPandas().sort_values(["votes", "toxic"])
     model = LabelModel(table.votes.to_numpy(np.int64), table.n.to_numpy(float), table.toxic.to_numpy(np.int64))
 
-    sample = judged.filter(F.coalesce(trains, F.lit(False)) & F.col("doc_id").isNotNull())
+    # A row that is repeated very often must not fill the sample, nor what is brought to the driver.
+    sample = judged.filter(F.coalesce(trains, F.lit(False)) & F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text_key"])
     likely = [int(v) for v, p in zip(table.votes, model.posterior(table.votes.to_numpy(np.int64))) if p >= 0.5]
     is_likely = F.col("votes").isin(sorted(set(likely))) if likely else F.lit(False)
     order = F.xxhash64("doc_id", "text_key")
     chosen = sample.filter(is_likely).orderBy(order, "doc_id").limit(max_train).union(
         sample.filter(~is_likely).orderBy(order, "doc_id").limit(max_train))  # at most 2 * max_train rows
-    chosen = stored(chosen.select("doc_id", "text_key", "votes"), "toxicity-sample").dropDuplicates(["doc_id", "text_key"])
-    made = rows.join(F.broadcast(chosen), ["doc_id", "text_key"]).select("text", "votes").mapInArrow(
-        featurizer, "votes int, features array<int>").toArrow()
+    chosen = stored(chosen.select("doc_id", "text_key", "votes"), "toxicity-sample")
+    bodies = rows.join(F.broadcast(chosen), ["doc_id", "text_key"]).groupBy("doc_id", "text_key").agg(
+        F.first("text").alias("text"), F.first("votes").alias("votes"))
+    made = bodies.select("text", "votes").mapInArrow(featurizer, "votes int, features array<int>").toArrow()
     lists = made.column("features").combine_chunks()
     sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=lists.flatten().to_numpy(), minlength=len(sizes))

@@ -247,6 +247,9 @@ def test_held_out_toxicity(spark):
     assert got[9000].predicted == 0 and got[9002].predicted == 1
     kept = weak_toxicity.drop_toxic(docs, spark.createDataFrame([(None, got[None].text_key, 1)], "doc_id long, text_key long, predicted int"))
     assert kept.columns == docs.columns and kept.count() == docs.count() - 1
+    again = documents(spark, rows + [rows[1]] * 3000)  # one row as often as all others together
+    held = [(r.predicted, r.doc_id % 5 == 0) for r in weak_toxicity.score_documents(again, frame, train, max_train=100).collect()]
+    assert sum(p == t for p, t in held) >= 0.97 * len(held) and len(held) == 3600
     assert weak_toxicity.score_documents(docs.limit(0), frame, train).count() == 0
     alone = weak_toxicity.score_documents(documents(spark, [(1, "you idiot"), (2, "good day")]), frame.limit(0)).collect()
     assert len(alone) == 2
