@@ -39,6 +39,8 @@ MAX_VOTERS = 20
 FORMS = 7  # pattern voters
 LEXICON_VOTERS = MAX_VOTERS - FORMS - 1
 FEATURES = 1 << 16
+#: Sampled rows that the classifier reads at a time.
+BLOCK_ROWS = 500
 #: Label rows (an id and a flag each) that may be broadcast.
 BROADCAST_LABELS = 1_000_000
 #: Words are runs of ASCII letters and of characters outside ASCII: all other bytes become spaces.
@@ -176,7 +178,9 @@ def featurizer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = hashed(words)[words.code].reshape(-1)
         offsets = np.concatenate([[0], np.cumsum(2 * words.per_text())])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("votes"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))], ["votes", "features"])
+            [batch.column("votes"), pa.array(np.bincount(np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), weights=flat, minlength=len(
+                offsets) - 1).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))],
+            ["votes", "total", "features"])
 
 
 def scorer(lexicon: tuple[list[list[str]], list[str]], vote_weights: np.ndarray, weights: np.ndarray, bias: float):
@@ -245,17 +249,22 @@ class LabelModel:
 def fit_linear(votes: np.ndarray, columns: np.ndarray, sizes: np.ndarray, target: np.ndarray, weight: np.ndarray,
                rounds: int = 150, l2_votes: float = 1e-4, l2_words: float = 1e-2) -> tuple[np.ndarray, np.ndarray, float]:
     """Weighted logistic regression by Adam; a row's words are ``sizes`` features of ``columns``, scaled by their root."""
-    bits = bit_matrix(votes)
-    scale = np.repeat((1 / np.sqrt(np.maximum(sizes, 1))).astype(np.float32), sizes)
-    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    bits, ends = bit_matrix(votes), np.cumsum(sizes)
     w = [np.zeros(MAX_VOTERS), np.zeros(FEATURES), np.zeros(1)]
     m, v = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w]
     weight = weight / max(weight.sum(), 1e-9)
     for t in range(1, rounds + 1):
-        z = bits @ w[0] + np.bincount(owner, weights=w[1][columns] * scale, minlength=len(sizes)) + w[2][0]
-        error = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target)
-        gradient = [bits.T @ error + l2_votes * w[0],
-                    np.bincount(columns, weights=error[owner] * scale, minlength=FEATURES) + l2_words * w[1], np.array([error.sum()])]
+        gradient = [l2_votes * w[0], l2_words * w[1], np.zeros(1)]
+        for at in range(0, len(sizes), BLOCK_ROWS):  # only a block's words are widened to floats
+            part = slice(at, at + BLOCK_ROWS)
+            words = columns[ends[at] - sizes[at]:ends[part][-1]]
+            scale = 1 / np.sqrt(np.maximum(sizes[part], 1))
+            owner = np.repeat(np.arange(len(scale)), sizes[part])
+            z = bits[part] @ w[0] + np.bincount(owner, weights=w[1][words], minlength=len(scale)) * scale + w[2][0]
+            error = weight[part] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target[part])
+            gradient[0] += bits[part].T @ error
+            gradient[1] += np.bincount(words, weights=(error * scale)[owner], minlength=FEATURES)
+            gradient[2] += error.sum()
         for i, (g, rate) in enumerate(zip(gradient, (0.3, 0.02, 0.3))):
             m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.99 * v[i] + 0.01 * g * g
             w[i] -= rate * (m[i] / (1 - 0.9 ** t)) / (np.sqrt(v[i] / (1 - 0.99 ** t)) + 1e-9)
@@ -264,7 +273,7 @@ def fit_linear(votes: np.ndarray, columns: np.ndarray, sizes: np.ndarray, target
 
 def score_documents(
     docs: DataFrame, labels: DataFrame, trains: Column | None = None, doc_id: str = "doc_id", text: str = "text",
-    label: str = "toxic", min_support: float = 0.01, min_precision: float = 0.97, max_train: int = 2000, threshold: float = 0.3,
+    label: str = "toxic", min_support: float = 0.01, min_precision: float = 0.97, max_train: int = 4000, threshold: float = 0.3,
 ) -> DataFrame:
     """(doc_id, text_key, score, predicted) of all documents. ``trains`` (over the column doc_id) names the training rows."""
     trains = F.lit(True) if trains is None else trains
@@ -305,11 +314,10 @@ def score_documents(
     chosen = stored(chosen.select("doc_id", "text_key", "votes"), "toxicity-sample")
     bodies = rows.join(F.broadcast(chosen), ["doc_id", "text_key"]).groupBy("doc_id", "text_key").agg(
         F.first("text").alias("text"), F.first("votes").alias("votes"))
-    made = bodies.select("text", "votes").mapInArrow(featurizer, "votes int, features array<int>").toArrow()
+    made = bodies.select("text", "votes").mapInArrow(featurizer, "votes int, total long, features array<int>").toArrow()
     lists = made.column("features").combine_chunks()
     sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=lists.flatten().to_numpy(), minlength=len(sizes))
-    order = np.lexsort((sums, sizes, made.column("votes").to_numpy()))  # the same order at every attempt
+    order = np.lexsort((made.column("total").to_numpy(), sizes, made.column("votes").to_numpy()))  # the same order at every attempt
     bits, sizes = made.column("votes").to_numpy()[order].astype(np.int64), sizes[order]
     columns = lists.take(pa.array(order)).flatten().to_numpy()
     target = model.posterior(bits)

@@ -255,6 +255,25 @@ def test_held_out_toxicity(spark):
     assert len(alone) == 2
 
 
+def test_toxicity_sample_size(spark, monkeypatch):
+    seen = []
+    fit = weak_toxicity.fit_linear
+    monkeypatch.setattr(weak_toxicity, "fit_linear", lambda votes, *a, **b: seen.append(len(votes)) or fit(votes, *a, **b))
+    docs = documents(spark, [(i, f"good day number{i % 7}") for i in range(4200)])
+    weak_toxicity.score_documents(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert seen == [4000]
+
+
+def test_blocks_of_rows_give_the_same_model(monkeypatch):
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(0, 9, 70)
+    args = rng.integers(0, 1 << 20, 70), rng.integers(0, 500, sizes.sum()).astype(np.int32), sizes, rng.random(70), rng.random(70)
+    want = weak_toxicity.fit_linear(*args)
+    monkeypatch.setattr(weak_toxicity, "BLOCK_ROWS", 9)
+    got = weak_toxicity.fit_linear(*args)
+    assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(want, got))
+
+
 # --- chat windows ----------------------------------------------------------------------------------------------------
 
 SAID = "<|im_end|><|im_start|>assistant ok"
