@@ -9,6 +9,12 @@ of lines that meet at a key are verified as a condition of that join, so that on
 edit distance over a band of 2 * edits + 1 diagonals, an expression on one word per column of the band. Verified pairs give classes (connected
 components); of a class the first line by (document id, text hash, line number) stays, the others are removed.
 
+``by_length`` lets the number of edits follow the length of a pair's shorter line: ``edits`` from ``min_chars`` on, and one for each ``EDIT_EVERY`` code points of lines of
+``LONG_FROM`` to ``LONG_TO``; still longer lines are compared within ``edits`` as well. Long lines within one edit for each
+``EDIT_EVERY`` code points have a run of 30 code points in common. Of each run the smallest hash of its windows of ``GRAM``
+is a mark of the line, so both lines have it. Marks that only one line has are dropped; a pair of lines of like length meets
+at its smallest common mark only, and is then verified by its edit distance.
+
 Defined cases: null texts have no lines; lines shorter than ``min_chars`` are in no class and always stay; a null document
 id comes before all others; rows with the same id and text are one document, whose copies keep the same lines; an empty
 table gives no rows.
@@ -25,6 +31,10 @@ EDITS = 2
 MIN_CHARS = 24
 #: Rows of one or two longs that may be broadcast.
 BROADCAST_KEYS = 1_000_000
+#: Long lines: code points for each edit, and the lengths from and below which that holds.
+EDIT_EVERY, LONG_FROM, LONG_TO = 40, 120, 4000
+#: Code points of a hashed window, and windows of a run: any line of LONG_FROM has GRAM + RUN - 1 code points between its edits.
+GRAM, RUN = 16, 15
 #: Lines of one key that a task compares with the key's index rows.
 SPLIT = 500
 
@@ -139,15 +149,57 @@ def lines_of(docs: DataFrame, min_chars: int, doc_id: str = "doc_id", text: str
         F.length("line") >= min_chars).withColumn("line_key", F.xxhash64("line"))
 
 
-def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pairs (a, b) of keys of different lines within ``edits`` edits, each pair once, with their distance."""
+def marks(line: Column) -> Column:
+    """The smallest hash of each ``RUN`` neighbouring windows of ``GRAM`` code points, sorted, each once."""
+    grams = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))
+    lowest = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (RUN - 1)), lambda i: F.array_min(F.slice(h, i, RUN)))
+    return F.array_sort(F.array_distinct(F.get(F.transform(F.array(F.transform(grams, lambda g: F.xxhash64(g))), lowest), F.lit(0))))
+
+
+def long_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Pairs (a, b) of keys of different long lines within one edit for each ``EDIT_EVERY`` code points of the shorter one."""
+    sized = lambda df: F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+    allowed = lambda chars: F.floor(chars / EDIT_EVERY).cast("int")
+    lines = lines_of(docs, LONG_FROM, doc_id, text).filter(F.length("line") <= LONG_TO + LONG_TO // EDIT_EVERY)
+    lines = stored(lines.groupBy("line_key").agg(F.first("line").alias("line")).select(
+        "line_key", "line", F.length("line").alias("chars"), marks(F.col("line")).alias("marks")), "long-lines")
+    live = stored(lines.select(F.explode("marks").alias("mark")).groupBy("mark").agg(F.count("*").alias("n")).filter(
+        "n > 1").select("mark", F.ceil(F.col("n") / SPLIT).cast("int").alias("salts")), "live-marks")
+    entries = lines.select("line_key", "chars", "marks", F.posexplode("marks").alias("place", "mark")).select(
+        "line_key", "chars", "mark", F.slice("marks", F.lit(1), F.col("place")).alias("before")).join(sized(live), "mark")
+    # Lines whose lengths differ by a fortieth or less are in one step of lengths or in two that follow each other.
+    step = F.floor(F.log(F.col("chars").cast("double")) / F.log(F.lit(1.04))).cast("int")
+    index = entries.select("mark", step.alias("step"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
+                           F.col("line_key").alias("a"), F.col("chars").alias("a_chars"), F.col("before").alias("a_before"))
+    probes = entries.select("mark", F.explode(F.array(step, step - 1)).alias("step"), F.pmod("line_key", "salts").cast("int").alias("salt"),
+                            F.col("line_key").alias("b"), F.col("chars").alias("b_chars"), F.col("before").alias("b_before"))
+    alike = (F.col("a_chars") < LONG_TO) & (F.col("b_chars") - F.col("a_chars") <= allowed(F.col("a_chars"))) & (
+        (F.col("a_chars") < F.col("b_chars")) | ((F.col("a_chars") == F.col("b_chars")) & (F.col("a") < F.col("b"))))
+    first = ~F.arrays_overlap("a_before", "b_before")  # or the pair meets at a smaller mark
+    pairs = stored(index.join(probes, (index["mark"] == probes["mark"]) & (index["step"] == probes["step"]) & (
+        index["salt"] == probes["salt"]) & alike & first).select("a", "b"), "long-pairs")
+    texts = lambda key, line: lines.select(F.col("line_key").alias(key), F.col("line").alias(line))
+    apart = F.call_function("levenshtein", F.col("shorter"), F.col("longer"), allowed(F.length("shorter")))
+    return stored(pairs.join(texts("a", "shorter"), "a").join(texts("b", "longer"), "b").select(
+        "a", "b", apart.alias("distance")).filter("distance >= 0"), "long-links")
+
+
+def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text",
+               by_length: bool = False) -> DataFrame:
+    """Pairs (a, b) of keys of different lines within ``edits`` edits, each pair once, with their distance.
+
+    With ``by_length``, pairs whose shorter line is long are those of ``long_links``.
+    """
     if not 0 < edits < min(min_chars, 15):
         raise ValueError("edits must be positive, less than min_chars and at most 14 (a band's word is an int)")
     parts, places = edits + 1, probe_places(edits)
     sized = lambda df: F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
     lines = lines_of(docs, min_chars, doc_id, text)
     measured = lines.withColumn("chars", F.length("line"))
-    keys = [probe_key(F.col("line"), F.col("chars"), *p, parts).alias(f"k{i}") for i, p in enumerate(places)]
+    keys = [probe_key(F.col("line"), F.col("chars"), *p, parts) for p in places]
+    if by_length:
+        keys = [F.when(~(F.col("chars") - d).between(LONG_FROM, LONG_TO - 1), key) for key, (d, _, _) in zip(keys, places)]
+    keys = [key.alias(f"k{i}") for i, key in enumerate(keys)]
     distinct = measured.select("line_key", *keys).groupBy("line_key").agg(*[F.first(f"k{i}").alias(f"k{i}") for i in range(len(places))])
     distinct = stored(distinct.select("line_key", F.array(*[f"k{i}" for i in range(len(places))]).alias("keys")), "line-segments")
     own = {i: n for n, (d, i, shift) in enumerate(places) if d == 0 and shift == 0}  # place of each segment's own key
@@ -173,12 +225,14 @@ def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     near = (F.col("a") != F.col("b")) & (~even | (F.col("a") < F.col("b"))) & ~met & (
         banded_distance(F.col("longer"), F.col("shorter"), edits) <= edits)
     pairs = index.join(probes, (index["key"] == probes["key"]) & (index["salt"] == probes["salt"]) & near)
-    return stored(pairs.select("a", "b", banded_distance(F.col("longer"), F.col("shorter"), edits).alias("distance")), "line-links")
+    links = stored(pairs.select("a", "b", banded_distance(F.col("longer"), F.col("shorter"), edits).alias("distance")), "line-links")
+    return links.unionByName(long_links(docs, doc_id, text)) if by_length else links
 
 
-def judge_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def judge_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text",
+                by_length: bool = False) -> DataFrame:
     """One row per line of at least ``min_chars``: its class's first line, its number of linked lines, whether it goes."""
-    links = line_links(docs, edits, min_chars, doc_id, text)
+    links = line_links(docs, edits, min_chars, doc_id, text, by_length)
     labels = components(links)
     degrees = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     linked = labels.join(degrees, "node").select(F.col("node").alias("line_key"), "label", "n_links")

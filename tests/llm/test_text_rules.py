@@ -238,6 +238,28 @@ def test_hot_segment_and_shuffled_keys(spark, monkeypatch):
     assert sum(r.n_links for r in got) == 2 * sum(distance(a[-4:], b[-4:]) <= 2 for a, b in combinations(lines, 2))
 
 
+def test_edits_follow_the_length(spark):
+    import random
+
+    rng, lines = random.Random(8), []
+    for n in [24, 100, 119, 120, 121, 124, 159, 160, 163, 200, 240, 300, 400, 800] * 2:
+        base = [rng.choice("abcdefgh \U0001F600é") for _ in range(n)]
+        base[0] = base[-1] = "x"
+        lines.append(base)
+        for edits in sorted({1, 2, 3, n // 40, n // 40 + 1, rng.randint(1, n // 20)}):
+            copy = list(base)
+            for i in rng.sample(range(1, n - 1), edits) if rng.random() < 0.5 else [n * (k + 1) // (edits + 1) - 1 for k in range(edits)]:
+                copy[i] = rng.choice(["", "q", copy[i] + "q"])
+            lines.append(copy)
+    lines = sorted({"".join(x) for x in lines})
+    limit = lambda n: n // 40 if n >= 120 else 2
+    want = {(a, b) for a, b in combinations(lines, 2)
+            if abs(len(a) - len(b)) <= limit(min(len(a), len(b))) and distance(a, b) <= limit(min(len(a), len(b)))}
+    links = line_edit_join.line_links(documents(spark, list(enumerate(lines))), by_length=True).collect()
+    keys = {r.k: r.line for r in spark.createDataFrame([(x,) for x in lines], "line string").select("line", F.xxhash64("line").alias("k")).collect()}
+    assert sorted(tuple(sorted((keys[r.a], keys[r.b]))) for r in links) == sorted(want) and len(want) > 60
+
+
 def test_lines_of_nothing(empty):
     assert line_edit_join.judge_lines(empty).count() == 0
 
