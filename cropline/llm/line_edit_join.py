@@ -9,7 +9,8 @@ of lines that meet at a key are verified as a condition of that join, so that on
 edit distance over a band of 2 * edits + 1 diagonals, an expression on one word per column of the band. Verified pairs give classes (connected
 components); of a class the first line by (document id, text hash, line number) stays, the others are removed.
 
-``by_length`` lets the number of edits follow the length of a pair's shorter line: ``edits`` from ``min_chars`` on, and one for each ``EDIT_EVERY`` code points of lines of
+``by_length`` lets the number of edits follow the length of a pair's shorter line: none below ``min_chars`` (lines without
+a letter or digit stay there), ``edits`` from ``min_chars`` on, and one for each ``EDIT_EVERY`` code points of lines of
 ``LONG_FROM`` to ``LONG_TO``; still longer lines are compared within ``edits`` as well. Long lines within one edit for each
 ``EDIT_EVERY`` code points have a run of 30 code points in common. Of each run the smallest hash of its windows of ``GRAM``
 is a mark of the line, so both lines have it. Marks that only one line has are dropped; a pair of lines of like length meets
@@ -231,12 +232,17 @@ def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
 
 def judge_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text",
                 by_length: bool = False) -> DataFrame:
-    """One row per line of at least ``min_chars``: its class's first line, its number of linked lines, whether it goes."""
+    """One row per line of at least ``min_chars``: its class's first line, its number of linked lines, whether it goes.
+
+    With ``by_length`` shorter lines with a letter or digit have a row too.
+    """
     links = line_links(docs, edits, min_chars, doc_id, text, by_length)
     labels = components(links)
     degrees = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     linked = labels.join(degrees, "node").select(F.col("node").alias("line_key"), "label", "n_links")
-    lines = lines_of(docs, min_chars, doc_id, text).drop("line").join(linked, "line_key", "left")
+    lines = lines_of(docs, 1 if by_length else min_chars, doc_id, text).filter(
+        (F.length("line") >= min_chars) | F.col("line").rlike(r"[\p{L}\p{N}]"))
+    lines = lines.drop("line").join(linked, "line_key", "left")
     lines = stored(lines.select(
         "doc_id", "text_key", "line_no", F.coalesce("label", "line_key").alias("class"),
         F.coalesce("n_links", F.lit(0)).alias("n_links")), "line-classes")

@@ -260,6 +260,16 @@ def test_edits_follow_the_length(spark):
     assert sorted(tuple(sorted((keys[r.a], keys[r.b]))) for r in links) == sorted(want) and len(want) > 60
 
 
+def test_pipeline_removes_short_and_long_near_lines(spark):
+    import corpus_pipeline
+
+    words = [f"longer{i:03d}" for i in range(50)]
+    other = " ".join(words[:20] + ["exchange"] + words[21:])
+    rows = [(1, " ".join(words) + "\nAll rights reserved.\n--\none"), (2, other + "\n All rights reserved.\n--\ntwo"), (3, "ONE\n\none")]
+    kept = corpus_pipeline.line_dedup(spark, documents(spark, rows), "")
+    assert {r.doc_id: r.text for r in kept.collect()} == {1: rows[0][1], 2: "--\ntwo", 3: "ONE\n"}
+
+
 def test_lines_of_nothing(empty):
     assert line_edit_join.judge_lines(empty).count() == 0
 
