@@ -304,15 +304,16 @@ def judge_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     degrees = links.select(F.col("a").alias("s1")).union(links.select("b")).groupBy("s1").agg(F.count("*").alias("n_links"))
     found = sets.drop("columns", "bits").join(labels.join(degrees, "s1", "left"), "s1", "left").withColumn(
         "label", F.when(F.col("n_shingles") > 0, F.coalesce("label", "s1")))
-    smallest = found.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    smallest = found.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(place).alias("first"))
     return found.join(smallest, "label", "left").select(
         "doc_id", "text_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("first").isNull() | F.col("first").eqNullSafe(place)).alias("is_first"))
 
 
 def keep_first(docs: DataFrame, verdicts: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, the one with its smallest id; of rows with equal id and text one stays."""
-    dropped = verdicts.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    """One document of each component, the one with its smallest id and text hash; of rows with equal id and text one stays."""
+    dropped = verdicts.filter("not is_first")
     kept = keep_rows(docs, dropped, doc_id, text)
     a, b = unused_name(kept, "_one_id"), unused_name(kept, "_one_key")
     return kept.withColumns({a: F.col(doc_id), b: F.xxhash64(F.col(text))}).dropDuplicates([a, b]).drop(a, b)

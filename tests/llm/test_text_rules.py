@@ -318,5 +318,14 @@ def test_components(spark):
     assert ids.count(5) == 1 and 6 not in ids and {1, 2, 3, 4, 9} <= set(ids)
 
 
+def test_one_stays_of_near_copies_without_an_id_or_with_the_same(spark):
+    copies = lambda start: [sentence(*range(start, start + 60), *more) for more in ((), (1,), (2,))]
+    rows = [(None, t) for t in copies(100)] + [(5, t) for t in copies(300)] + [(None, copies(500)[0]), (8, copies(500)[1]), (None, None)]
+    docs = documents(spark, rows)
+    kept = ngram_jaccard.keep_first(docs, ngram_jaccard.judge_documents(docs)).collect()
+    assert Counter((r.doc_id, r.text and r.text.split()[0]) for r in kept) == Counter(
+        [(None, "word100"), (5, "word300"), (8, "word500"), (None, None)])
+
+
 def test_components_of_nothing(empty):
     assert ngram_jaccard.judge_documents(empty).count() == 0
