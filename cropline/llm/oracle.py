@@ -85,6 +85,54 @@ SELECT k.doc_id, k.line_no, f.d AS class_doc, f.n AS class_line, CAST(coalesce(d
 FROM k JOIN named USING (line) JOIN firsts USING (class) LEFT JOIN degrees ON degrees.a = k.line
 """
 
+#: Damage, order and faults of conversations; then the cheapest edits row by row over the four states of the right role order.
+OP11 = r"""
+WITH RECURSIVE bits AS (
+    SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS tab
+    FROM range(256) AS t(b)),
+c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+                            lambda x: CAST(ord(x) AS BIGINT)) AS chars FROM conversations),
+f AS (SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(chars, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295)) % 20 AS fault
+      FROM c, bits),
+h AS (SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role,
+             CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM f),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM h),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) AS seen FROM n),
+r AS (SELECT conv_id, turn, role, text, pos, role[1:1] AS ini, CASE WHEN NOT regexp_matches(text, '[^ \t\n\x0B\x0C\r]') THEN 'b'
+             WHEN seen > 1 THEN 'd' WHEN regexp_matches(text, '[^ \t\n\x0B\x0C\r.!?][ \t\n\x0B\x0C\r]*$') THEN 't' ELSE '' END AS fault FROM o),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'b') AS blank,
+                  count_if(fault = 'd') AS duplicate, count_if(fault = 't') AS truncated FROM r GROUP BY conv_id),
+pairs AS (SELECT conv_id, lag(ini) OVER (PARTITION BY conv_id ORDER BY pos) || ini AS pair FROM r),
+bad AS (SELECT conv_id, count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal FROM pairs GROUP BY conv_id),
+ins AS (SELECT * FROM (VALUES (0, 0, 0, '', []), (0, 2, 3, 'I', ['user:']), (0, 3, 6, 'II', ['user:', 'assistant:']), (1, 1, 0, '', []),
+    (1, 2, 3, 'I', ['user:']), (1, 3, 6, 'II', ['user:', 'assistant:']), (2, 2, 0, '', []), (2, 3, 3, 'I', ['assistant:']),
+    (3, 3, 0, '', []), (3, 2, 3, 'I', ['user:'])) AS t(p, q, cost, audit, lines)),
+steps AS (SELECT * FROM (VALUES (0, 1, 's'), (0, 2, 'u'), (1, 2, 'u'), (2, 3, 'a'), (3, 2, 'u')) AS t(p, q, ini)),
+edits AS (
+    SELECT conv_id, pos, p, p AS q, 4 AS cost, 'D' AS audit, CAST([] AS VARCHAR[]) AS lines FROM r, range(4) AS t(p)
+    UNION ALL SELECT conv_id, pos, p, q, CASE fault WHEN 't' THEN 3 ELSE 0 END, 'K', [role || ':' || text] FROM r JOIN steps USING (ini) WHERE fault IN ('', 't')
+    UNION ALL SELECT conv_id, pos, p, q, CASE fault WHEN 't' THEN 6 ELSE 3 END, 'R', [CASE steps.ini WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text]
+    FROM r, steps WHERE fault IN ('', 't') AND steps.ini <> 's'),
+way(conv_id, pos, state, best) AS (
+    SELECT conv_id, 0, q, {'cost': cost, 'audit': audit, 'lines': CAST(lines AS VARCHAR[])} FROM (SELECT DISTINCT conv_id FROM r), ins WHERE p = 0
+    UNION ALL
+    SELECT way.conv_id, way.pos + 1, ins.q, min({'cost': best.cost + edits.cost + ins.cost, 'audit': best.audit || edits.audit || ins.audit,
+                                                 'lines': best.lines || edits.lines || CAST(ins.lines AS VARCHAR[])})
+    FROM way JOIN edits ON edits.conv_id IS NOT DISTINCT FROM way.conv_id AND edits.pos = way.pos + 1 AND edits.p = way.state
+    JOIN ins ON ins.p = edits.q GROUP BY way.conv_id, way.pos, ins.q),
+ends AS (SELECT way.conv_id, min(best) AS best FROM way JOIN (SELECT conv_id, max(pos) AS pos FROM r GROUP BY conv_id) AS n
+         ON n.conv_id IS NOT DISTINCT FROM way.conv_id AND n.pos = way.pos WHERE state IN (0, 3) GROUP BY way.conv_id)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+       CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(best.cost, 0) AS BIGINT) AS cost, coalesce(best.audit, '') AS audit,
+       sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS a LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN bad ON bad.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
 ORACLE: dict[str, str] = {
     "op1_line_frequency": OP1, "op2_decontamination": OP2, "op7_line_edit_join": OP7, "op8_ngram_jaccard": OP8,
+    "op11_conversation_repair": OP11,
 }
