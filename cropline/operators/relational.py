@@ -6,10 +6,11 @@ from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 from operator import add, and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cropline.functions.aggregates import sum_or_null
+from cropline.operators.ordered import row_index
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
@@ -87,19 +88,17 @@ def keep_members(df: DataFrame, members: DataFrame, key: str) -> DataFrame:
     return df.join(members.select(key).distinct(), key, "left_semi")
 
 
-def bind_columns(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
+def bind_columns(
+    left: DataFrame, right: DataFrame, left_order: str | Sequence[str], right_order: str | Sequence[str], folder: str
+) -> DataFrame:
     """Put two frames side by side by row position in their orders; positions that only one has are dropped.
 
-    Values are counted first, and the running sum of the counts is the position before each value, so the only
-    unpartitioned window runs over distinct values. Rows of equal value are numbered within their value.
+    Positions come from ``ordered.row_index``, which lands both frames below ``folder``. Rows of equal order are placed by
+    their other columns.
     """
-    def placed(df: DataFrame, order: str) -> DataFrame:
-        counts = df.groupBy(F.col(order).alias("__value")).agg(F.count(F.lit(1)).alias("__n"))
-        before = Window.orderBy("__value").rowsBetween(Window.unboundedPreceding, -1)
-        starts = counts.select("__value", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-        own = F.row_number().over(Window.partitionBy(order).orderBy(*[c for c in df.columns if c != order] or [order]))
-        numbered = df.withColumn("__own", own)
-        return numbered.join(starts, F.col(order).eqNullSafe(F.col("__value"))).withColumn(
-            "__row", F.col("__start") + F.col("__own")).drop("__own", "__value", "__start")
-
-    return placed(left, left_order).join(placed(right, right_order), "__row").drop("__row")
+    def placed(df: DataFrame, order: str | Sequence[str], side: str) -> DataFrame:
+        first = [order] if isinstance(order, str) else list(order)
+        rest = [c for c in df.columns if c not in first]
+        return row_index(df, [F.col(f"`{c}`") for c in first + rest], "__row", f"{folder.rstrip('/')}/{side}")
+
+    return placed(left, left_order, "left").join(placed(right, right_order, "right"), "__row").drop("__row")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -34,3 +37,17 @@ def configure(spark: SparkSession) -> None:
     for key, value in SETTINGS.items():
         if key.startswith("spark.sql.adaptive."):
             spark.conf.set(key, value)
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder below the shared one that the session names in spark.checkpoint.dir.
+
+    Where the setting is missing, a local session takes a temporary folder; a cluster must name a shared one.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='cropline-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

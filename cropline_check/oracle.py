@@ -345,7 +345,7 @@ ORACLES: dict[str, str] = {
         """SELECT grader_batch_id, season, pack_date FROM d_site_batch JOIN d_bounds USING (season)
         WHERE pack_date >= first_pack AND pack_date < close""", text="pack_date"),
     "season_to_date_many": """SELECT grader_batch_id, date_diff('day', DATE '1990-01-01', pack_date) AS season,
-        CAST(pack_date AS STRING) AS pack_date FROM d_batch WHERE date_diff('day', DATE '1990-01-01', pack_date) % 3 = 0""",
+        CAST(pack_date AS STRING) AS pack_date FROM d_batch""",
     "season_to_date_joined": out(
         """SELECT bin_delivery_id, season, harvest_date FROM d_delivery JOIN d_bounds USING (season)
         WHERE harvest_date BETWEEN first_harvest AND close""", text="harvest_date"),
@@ -521,6 +521,16 @@ ORACLES: dict[str, str] = {
     "row_bind": """SELECT a.season, a.bins AS harvested, b.season AS tipped_season, b.bins AS tipped
         FROM (SELECT *, row_number() OVER (ORDER BY season) AS r FROM d_harvest_total) a
         JOIN (SELECT *, row_number() OVER (ORDER BY season) AS r FROM d_tipped_total) b USING (r)""",
+    "row_bind_rows": out("""SELECT a.harvest_date, bin_delivery_id, no_of_bins, pack_date, grader_batch_id, input_kgs
+        FROM (SELECT *, row_number() OVER (ORDER BY harvest_date, bin_delivery_id, no_of_bins) AS r FROM d_delivery) a
+        JOIN (SELECT *, row_number() OVER (ORDER BY pack_date, grader_batch_id) AS r FROM d_batch) b USING (r)""",
+        text="harvest_date pack_date", real="input_kgs"),
+    "running_rows": out("""SELECT season, pack_date, grader_batch_id, input_kgs, reject_kgs,
+        CASE WHEN count(*) OVER w = count(input_kgs) OVER w THEN sum(input_kgs) OVER w END AS running_kgs,
+        CASE WHEN count(*) OVER v = count(reject_kgs) OVER v THEN sum(reject_kgs) OVER v END AS running_reject
+        FROM d_batch WINDOW w AS (PARTITION BY season, pack_site ORDER BY pack_date, grader_batch_id),
+        v AS (PARTITION BY season ORDER BY pack_date, grader_batch_id)""",
+        text="pack_date", real="input_kgs reject_kgs running_kgs running_reject"),
     "union_by_name": f"""SELECT CASE WHEN season >= {PRIOR} THEN 'current' ELSE 'archive' END AS source_db, season,
         CASE WHEN season >= {PRIOR} THEN pick_no END AS pick_no, CAST(sum(no_of_bins) AS BIGINT) AS bins
         FROM d_delivery GROUP BY 1, 2, 3""",

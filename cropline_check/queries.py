@@ -17,13 +17,14 @@ from cropline.functions import scalars as sc
 from cropline.operators import bounds as bnd
 from cropline.operators import defects as dfc
 from cropline.operators import harvest as hv
+from cropline.operators import ordered
 from cropline.operators import packout as po
 from cropline.operators import phyto as ph
 from cropline.operators import relational as rel
 from cropline.operators import size as sz
 from cropline.plans import fruit_data, harvest_data, packing_data, phyto_data, quality_data
 from cropline.plans.season_report import season_kpis as season_table
-from cropline.session import configure
+from cropline.session import configure, work_folder
 from cropline.sources import files
 from cropline_check.views import CURRENT, EXCLUDED, MONTH_DAY, PRIOR, SEASONS, SITE, SITES, source_tables
 
@@ -342,7 +343,7 @@ def season_to_date_many(x):
     """Bounds of more than 64 seasons: a season for each pack day."""
     rows = x.batches.select("grader_batch_id", F.date_diff("pack_date", F.lit("1990-01-01").cast("date")).alias("season"), "pack_date")
     limits = rows.groupBy("season").agg(F.min("pack_date").alias("first_pack"), F.max("pack_date").alias("close"))
-    return bnd.season_to_date(rows, limits.filter("season % 3 = 0"), "pack_date", lower="first_pack")
+    return bnd.season_to_date(rows, limits, "pack_date", lower="first_pack")
 
 
 # --- harvest ---------------------------------------------------------------------------------
@@ -723,7 +724,27 @@ def row_bind(x):
     tipped = hv.tipped_total(x.tipped, x.bounds).select(
         F.col("season").alias("tipped_season"), F.col("bins").alias("tipped")
     )
-    return rel.bind_columns(bins, tipped, "season", "tipped_season")
+    return rel.bind_columns(bins, tipped, "season", "tipped_season", work_folder(x.spark, "row_bind"))
+
+
+@query
+def row_bind_rows(x):
+    """The n-th delivery by harvest date beside the n-th batch by pack date, over all rows of both."""
+    left = x.deliveries.select("harvest_date", "bin_delivery_id", "no_of_bins")
+    right = x.batches.select("pack_date", "grader_batch_id", "input_kgs")
+    return rel.bind_columns(
+        left, right, ["harvest_date", "bin_delivery_id"], ["pack_date", "grader_batch_id"], work_folder(x.spark, "row_bind_rows"))
+
+
+@query
+def running_rows(x):
+    """Running weights of every batch of a season and site, and of a season, unknown from the first unknown weight on."""
+    rows = x.batches.select("season", "pack_site", "pack_date", "grader_batch_id", "input_kgs", "reject_kgs")
+    kgs = ordered.running_total(
+        rows, "input_kgs", ["season", "pack_site"], ["pack_date", "grader_batch_id"], "running_kgs", work_folder(x.spark, "running_kgs"))
+    return ordered.running_total(
+        kgs, "reject_kgs", ["season"], ["pack_date", "grader_batch_id"], "running_reject", work_folder(x.spark, "running_reject")
+    ).drop("pack_site")
 
 
 @query

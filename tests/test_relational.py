@@ -49,12 +49,12 @@ def test_rows_without_a_key_are_spread_and_match_nothing(spark, rows_of):
     assert rows_of(rel.left_join_spread(left, right, "k", ["v"])) == rows_of(left.join(right, "k", "left"))
 
 
-def test_bind_columns_by_position(spark, rows_of):
+def test_bind_columns_by_position(spark, rows_of, tmp_path):
     a = spark.createDataFrame([(2024, 1), (2025, 2)], "s int, x int")
     b = spark.createDataFrame([(7, 30), (5, 10)], "t int, y int")
-    assert rows_of(rel.bind_columns(a, b, "s", "t")) == [(2024, 1, 5, 10), (2025, 2, 7, 30)]
+    assert rows_of(rel.bind_columns(a, b, "s", "t", str(tmp_path / "1"))) == [(2024, 1, 5, 10), (2025, 2, 7, 30)]
     c = spark.createDataFrame([(1, 5), (1, 6), (None, 7), (9, 8)], "t int, y int")
-    assert rows_of(rel.bind_columns(c, a, "t", "s")) == [(1, 5, 2025, 2), (None, 7, 2024, 1)]
+    assert rows_of(rel.bind_columns(c, a, "t", "s", str(tmp_path / "2"))) == [(1, 5, 2025, 2), (None, 7, 2024, 1)]
 
 
 def test_relocate_and_sum_across(spark):
