@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cropline.llm import (
-    best_fit_packing, chat_windows, conversation_repair, decontaminate, kneser_ney, line_edit_join, line_frequency, ngram_jaccard, pii_bootstrap,
-    simhash_trie, tier_packing, weak_toxicity,
+    best_fit_packing, chat_windows, conversation_repair, decontaminate, kneser_ney, line_edit_join, line_frequency, ngram_jaccard, ngram_resampling,
+    pii_bootstrap, simhash_trie, tier_packing, weak_toxicity,
 )
 
 
@@ -87,10 +87,15 @@ def op12_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.judge_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_ngram_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_line_frequency, op2_decontamination, op3_kneser_ney, op4_pii_bootstrap,
         op5_best_fit_packing, op6_tier_packing, op7_line_edit_join, op8_ngram_jaccard, op9_weak_toxicity, op10_chat_windows,
         op11_conversation_repair, op12_simhash_trie,
+        op13_ngram_resampling,
     )
 } | {"pipeline": corpus_pipeline.run}
