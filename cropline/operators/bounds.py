@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cropline.functions.scalars import date_in_year, ieee_div, is_known, plus_days
+from cropline.sources.tables import land
 
 
 def with_packout(batches: DataFrame) -> DataFrame:
@@ -51,19 +52,26 @@ def one_per_season(bounds: DataFrame) -> DataFrame:
     return known.groupBy("season").agg(*firsts, F.max("close").alias("close"))
 
 
+def land_bounds(bounds: DataFrame, folder: str) -> DataFrame:
+    """One row per season, worked out once and kept in a shared folder, for reports of which several figures need it."""
+    return land(one_per_season(bounds).coalesce(1), folder)
+
+
 def season_to_date(
     df: DataFrame,
     bounds: DataFrame | None,
     date_col: str,
     lower: str | None = None,
     upper: str = "le",
+    landed: bool = False,
 ) -> DataFrame:
     """Rows of each bounded season from ``lower`` (a bounds column) to the close date.
 
     ``upper`` is ``le`` or ``lt``. Seasons without bounds are dropped; ``bounds=None`` keeps everything.
-    A season listed more than once has its earliest start and latest close. The bounds are joined on
-    season with the range as a residual; the range over all seasons is a scalar subquery besides, which
-    Spark works out first and pushes into the scan of ``df``.
+    A season listed more than once has its earliest start and latest close. The bounds are joined on season with the
+    range as a residual. Where ``df`` is ``landed`` by season and the bounds are landed too, so that Spark knows that they
+    are few, their broadcast prunes its folders at run time and they are read once. Elsewhere the range over all seasons is a scalar subquery besides, which Spark
+    works out first and pushes into the scan of ``df``.
     """
     if upper not in ("le", "lt"):
         raise ValueError(f"upper must be 'le' or 'lt', not {upper!r}")
@@ -73,8 +81,14 @@ def season_to_date(
         "season", F.col("close").alias("__close"), *([F.col(lower).alias("__lower")] if lower else [])
     )
     date = F.col(date_col)
-    overall = date <= limits.agg(F.max("__close")).scalar()
-    if lower:
-        overall = (date >= limits.agg(F.min("__lower")).scalar()) & overall
+    if landed:
+        # Bounds that close before they start have no rows; a comparison is also what makes Spark expect fewer seasons.
+        limits = limits.filter(F.col("__close") >= (F.col("__lower") if lower else F.lit("0001-01-01").cast("date")))
+    else:
+        known = bounds.filter(F.col("season").isNotNull() & F.col("close").isNotNull())
+        overall = date <= known.agg(F.max("close")).scalar()
+        if lower:
+            overall = (date >= known.agg(F.min(lower)).scalar()) & overall
+        df = df.filter(overall)
     inside = _inside(date, F.col("__lower") if lower else None, F.col("__close"), upper)
-    return df.filter(overall).join(limits, "season").filter(inside).select(*[f"`{c}`" for c in df.columns])
+    return df.join(limits, "season").filter(inside).select(*[f"`{c}`" for c in df.columns])

@@ -16,7 +16,7 @@ from cropline.functions.scalars import (
     iso_week,
     plus_days,
     ratio,
-    t_quantile_975,
+    t_quantile,
 )
 from cropline.operators.bounds import season_to_date, with_packout
 
@@ -169,13 +169,15 @@ def packout_regression(batches: DataFrame, cap_season: int | None = None) -> Dat
     )
 
 
-def trend_line(regression: DataFrame, step: int = 1) -> DataFrame:
-    """Each season's line over its own range of storage days, with the 95% band of the mean."""
+def trend_line(regression: DataFrame, step: int = 1, level: float = 0.95) -> DataFrame:
+    """Each season's line over its own range of storage days, with the band of the mean at ``level``."""
+    # One quantile per season, before its days are listed.
+    regression = regression.withColumn("quantile", t_quantile(F.col("n") - 2, 0.5 + level / 2))
     x = F.col("storage_days").cast("double")
     grid = regression.withColumn("storage_days", F.explode(F.sequence("min_days", "max_days", F.lit(step))))
     offset = x - F.col("mean_days")
     se = F.col("sd_resid") * F.sqrt(ratio(F.lit(1), "n") + ratio(offset * offset, "sxx"))
-    half = t_quantile_975(F.col("n") - 2) * F.col("se_fit")
+    half = F.col("quantile") * F.col("se_fit")
     return (
         grid.withColumn("fit", F.col("intercept") + F.col("slope") * x)
         .withColumn("se_fit", se)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
-from operator import add, and_
+from operator import add, and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +27,14 @@ def sum_across(columns: Iterable[Column]) -> Column:
     return reduce(add, columns)
 
 
-def column_names(df: DataFrame, names_from: str) -> list:
-    """The distinct values that become pivot columns, sorted, null last. They are column names, so they go to the driver."""
-    names = [r[0] for r in df.select(names_from).distinct().collect()]
+def column_names(df: DataFrame, names_from: str, most: int = 10_000) -> list:
+    """The distinct values that become pivot columns, sorted, null last. They are column names, so they go to the driver.
+
+    More than ``most`` of them are an error, not a table.
+    """
+    names = [r[0] for r in df.select(names_from).distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"{names_from} has more than {most} values, which cannot all be columns")
     return sorted(n for n in names if n is not None) + [None] * (None in names)
 
 
@@ -73,6 +78,27 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(marked, condition, how).drop(*[f"__{k}" for k in keys])
 
 
+def join_null_spread(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", rows_per_task: int = 1_000_000
+) -> DataFrame:
+    """``join_null_safe`` for frames of which many rows lack a key.
+
+    All rows without a key are one group, which no hash can part. Those of ``left`` are dealt by their other columns over
+    a task for each ``rows_per_task`` of them, and those of ``right``, the smaller side, are repeated for each of these. How
+    many that are is a scalar subquery, so nothing runs while the plan is built. Rows with all keys join as ever.
+    """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"{how!r} would repeat rows that only the right side has")
+    some_null = reduce(or_, [F.col(f"`{k}`").isNull() for k in keys])
+    shares = F.greatest(F.lit(1).cast("bigint"), left.agg(F.ceil(F.count_if(some_null) / rows_per_task)).scalar())
+    columns = [F.col(f"`{c}`") for c in left.columns]
+    dealt = left.withColumn("__share", F.when(some_null, F.pmod(F.xxhash64(*columns), shares)).otherwise(0))
+    copies = F.when(some_null, F.sequence(F.lit(0).cast("bigint"), shares - 1)).otherwise(F.array(F.lit(0).cast("bigint")))
+    marked = right.withColumn("__copy", F.explode(copies)).withColumnsRenamed({k: f"__{k}" for k in keys})
+    condition = reduce(and_, [F.col(f"`{k}`").eqNullSafe(F.col(f"`__{k}`")) for k in keys], F.col("__share") == F.col("__copy"))
+    return dealt.join(marked, condition, how).drop("__share", "__copy", *[f"__{k}" for k in keys])
+
+
 def left_join_spread(left: DataFrame, right: DataFrame, key: str, spread_by: Sequence[str]) -> DataFrame:
     """Left join on ``key`` in which rows without a key, which match nothing, are dealt out by other columns.
 

@@ -16,6 +16,8 @@ SETTINGS = {
     # Split a skewed join even where that costs one more shuffle: one batch, farm or lot may hold a
     # large part of all rows.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Counts, minima and maxima by a partition column come from parquet footers where the scan allows it.
+    "spark.sql.parquet.aggregatePushdown": "true",
     # Recording the Python call site of every column expression takes longer than planning here.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.session.timeZone": "UTC",
@@ -35,7 +37,7 @@ def build_session(app: str = "cropline", master: str | None = None, **settings:
 def configure(spark: SparkSession) -> None:
     """Apply the run-time part of the settings to a session somebody else built."""
     for key, value in SETTINGS.items():
-        if key.startswith("spark.sql.adaptive."):
+        if key.startswith(("spark.sql.adaptive.", "spark.sql.parquet.")):
             spark.conf.set(key, value)
 
 

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cropline.schema import TABLES, schema_of
 
@@ -42,3 +43,29 @@ def land_tables(tables: Mapping[str, DataFrame], root: str, by: str = "SeasonID"
         n: land(df, f"{root.rstrip('/')}/{n}", by if by in df.columns and not n.startswith("sw_") else None, mode)
         for n, df in tables.items()
     }
+
+
+def read_for_footers(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """Parquet files as a scan that answers counts, minima and maxima by partition column from the files' footers.
+
+    The setting that chooses this scan is only read while the frame is made, and is put back; the push itself is on in
+    ``session.SETTINGS``.
+    """
+    key = "spark.sql.sources.useV1SourceList"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ",".join(s for s in before.split(",") if s != "parquet"))
+    try:
+        reader = spark.read if schema is None else spark.read.schema(schema)
+        return reader.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+
+
+def footer_extent(df: DataFrame, by: str, columns: Iterable[str]) -> DataFrame:
+    """``by``, the number of rows, and least_<c> and most_<c> of each column.
+
+    Over a frame of ``read_for_footers`` that is partitioned by ``by``, and columns of whole numbers, dates or booleans,
+    nothing but footers is read.
+    """
+    ends = [f(c).alias(f"{name}_{c}") for c in columns for name, f in (("least", F.min), ("most", F.max))]
+    return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *ends)

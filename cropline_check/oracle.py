@@ -208,6 +208,17 @@ DATASETS: dict[str, str] = {
         stddev_samp(major) AS sd_sl, avg(el) AS mean_elong, stddev_samp(el) AS sd_elong, avg(weight) AS mean_mass,
         stddev_samp(weight) AS sd_mass, avg(volume) AS mean_vol, stddev_samp(volume) AS sd_vol,
         covar_samp(minor, el) AS covar FROM d_fruit GROUP BY season""",
+    # The finite sums over powers of the cosine for whole degrees of freedom, solved for t by halving.
+    "d_t975": """WITH RECURSIVE b AS (
+          SELECT DISTINCT df, 0::DOUBLE AS lo, 14::DOUBLE AS hi, 0 AS i FROM (
+            SELECT count(*) - 2 AS df FROM d_site_batch GROUP BY season, pack_date UNION ALL SELECT n - 2 FROM d_regression) WHERE df > 0
+          UNION ALL SELECT df, CASE WHEN p < 0.95 THEN mid ELSE lo END, CASE WHEN p < 0.95 THEN hi ELSE mid END, i + 1 FROM (
+            SELECT *, CASE WHEN df % 2 = 0 THEN sin(a) * list_reduce(range(df // 2 - 1, 0, -1), lambda s, k: 1 + (2 * k - 1) / (2.0 * k) * c2 * s, 1.0::DOUBLE)
+              WHEN df = 1 THEN 2 / pi() * a
+              ELSE 2 / pi() * (a + sin(a) * cos(a) * list_reduce(range((df - 3) // 2, 0, -1), lambda s, k: 1 + 2 * k / (2.0 * k + 1) * c2 * s, 1.0::DOUBLE)) END AS p
+            FROM (SELECT *, atan(mid / sqrt(df)) AS a, cos(atan(mid / sqrt(df))) ** 2 AS c2 FROM (
+              SELECT *, (lo + hi) / 2 AS mid FROM b WHERE i < 55))))
+        SELECT df, (lo + hi) / 2 AS q FROM b WHERE i = 55""",
     "d_band": f"""SELECT batch_id, band, count(*) AS n,
         count(*) / CAST(sum(count(*)) OVER (PARTITION BY batch_id) AS DOUBLE) AS share FROM (
         SELECT batch_id, CASE WHEN size_name IN ('53/2', '53/5', '58/5', '63/5') THEN 'FP'
@@ -242,16 +253,6 @@ DATASETS: dict[str, str] = {
 }
 
 _PROP_COLUMNS = "grader_batch_id, defect, defect_qty, sample_qty, season, pack_date, input_kgs, reject_kgs"
-_T = "(n - 2)"
-_T975_SERIES = f"""(1.959963984540054 + (z3 + z1) / (4 * {_T}) + (5 * z5 + 16 * z3 + 3 * z1) / (96 * {_T} ** 2)
-    + (3 * z7 + 19 * z5 + 17 * z3 - 15 * z1) / (384 * {_T} ** 3)
-    + (79 * z9 + 776 * z7 + 1482 * z5 - 1920 * z3 - 945 * z1) / (92160 * {_T} ** 4))"""
-# The first lines of the printed table of Student's t.
-_T975 = f"""CASE {_T} WHEN 1 THEN 12.706204736 WHEN 2 THEN 4.302652730 WHEN 3 THEN 3.182446305 WHEN 4 THEN 2.776445105
-    WHEN 5 THEN 2.570581836 WHEN 6 THEN 2.446911851 WHEN 7 THEN 2.364624252 WHEN 8 THEN 2.306004135 ELSE {_T975_SERIES} END"""
-_POWERS = ", ".join(f"1.959963984540054::DOUBLE ** {k} AS z{k}" for k in (1, 3, 5, 7, 9))
-
-
 def _rounded(source: str, digits: int, columns: str) -> str:
     return f"SELECT * REPLACE ({', '.join(f'round({c}, {digits}) AS {c}' for c in columns.split())}) FROM {source}"
 
@@ -410,15 +411,15 @@ ORACLES: dict[str, str] = {
         "(" + _rounded("d_regression", 8, "intercept slope se_intercept se_slope mean_days sd_resid") + ")", 4, "sxx"),
     "packout_slope_ratio": f"""SELECT round(a.slope / b.slope, 8) AS ratio FROM d_fit a, d_fit b
         WHERE a.season = {PRIOR} AND b.season = {CURRENT}""",
-    "packout_trend_line": f"""SELECT season, storage_days, round(fit, 8) AS fit, round(se_fit, 8) AS se_fit,
+    "packout_trend_line": """SELECT season, storage_days, round(fit, 8) AS fit, round(se_fit, 8) AS se_fit,
         round(fit - q * se_fit, 8) AS lower, round(fit + q * se_fit, 8) AS upper FROM (
         SELECT season, storage_days, intercept + slope * storage_days AS fit,
-          sd_resid * sqrt(1.0 / n + (storage_days - mean_days) ** 2 / sxx) AS se_fit, {_T975} AS q
-        FROM (SELECT *, CAST(unnest(generate_series(min_days, max_days)) AS BIGINT) AS storage_days FROM d_regression),
-          (SELECT {_POWERS}))""",
-    "t_quantiles": f"""SELECT season, CAST(pack_date AS STRING) AS pack_date, n,
-        round(CASE WHEN n > 2 THEN {_T975} END, 4) AS q FROM (
-        SELECT season, pack_date, count(*) AS n FROM d_site_batch GROUP BY 1, 2), (SELECT {_POWERS})""",
+          sd_resid * sqrt(1.0 / n + (storage_days - mean_days) ** 2 / sxx) AS se_fit, q
+        FROM (SELECT *, CAST(unnest(generate_series(min_days, max_days)) AS BIGINT) AS storage_days FROM d_regression)
+          LEFT JOIN d_t975 ON df = n - 2)""",
+    "t_quantiles": """SELECT season, CAST(pack_date AS STRING) AS pack_date, n,
+        round(q, 8) AS q FROM (
+        SELECT season, pack_date, count(*) AS n FROM d_site_batch GROUP BY 1, 2) LEFT JOIN d_t975 ON df = n - 2""",
     "sample_qty": "SELECT * FROM d_sample_qty",
     "sample_qty_to_date": "SELECT * FROM d_sample_qty_to_date",
     "batch_defects": out(
@@ -531,6 +532,27 @@ ORACLES: dict[str, str] = {
         FROM d_batch WINDOW w AS (PARTITION BY season, pack_site ORDER BY pack_date, grader_batch_id),
         v AS (PARTITION BY season ORDER BY pack_date, grader_batch_id)""",
         text="pack_date", real="input_kgs reject_kgs running_kgs running_reject"),
+    "null_spread_join": """SELECT assessment_id, a.grader_batch_id, sample_qty FROM (
+          SELECT assessment_id, CASE WHEN assessment_id % 2 = 0 THEN grader_batch_id END AS grader_batch_id FROM d_assessment) a
+        LEFT JOIN d_sample_qty s ON s.grader_batch_id IS NOT DISTINCT FROM a.grader_batch_id""",
+    "size_moments_merged": _rounded(
+        "d_moments", 6,
+        "mean_eq sd_eq mean_sl sd_sl mean_elong sd_elong mean_mass sd_mass mean_vol sd_vol covar"),
+    "size_histogram_default": """WITH v AS (SELECT 'minor' AS measure, 30 AS bins, minor AS v FROM d_fruit UNION ALL SELECT 'Tube', 12, "Tube" FROM d_band_wide),
+        e AS (SELECT measure, bins, min(v) - (max(v) - min(v)) / (bins - 1) / 2 AS low, (max(v) - min(v)) / (bins - 1) AS w FROM v GROUP BY measure, bins),
+        b AS (SELECT *, unnest(range(bins)) AS bin FROM e)
+        SELECT bin, round(low + bin * w, 8) AS low, round(low + (bin + 1) * w, 8) AS high, count(v.v) AS count, b.measure
+        FROM b LEFT JOIN v ON v.measure = b.measure AND ceil((v.v - low) / w - 1e-8) - 1 = bin GROUP BY b.measure, bin, low, w""",
+    "footer_extents": """SELECT season, count(*) AS n, CAST(min(harvest_date) AS STRING) AS least_harvest_date,
+        CAST(max(harvest_date) AS STRING) AS most_harvest_date, CAST(min(pack_date) AS STRING) AS least_pack_date,
+        CAST(max(pack_date) AS STRING) AS most_pack_date, min(grader_batch_id) AS least_grader_batch_id,
+        max(grader_batch_id) AS most_grader_batch_id FROM d_batch GROUP BY season""",
+    "dataset_rerun": f"""SELECT grader_batch_id, season, pack_site, CASE WHEN season IN ({PRIOR}, {CURRENT}) THEN 1 ELSE CAST(input_kgs AS DOUBLE) END AS input_kgs
+        FROM d_batch WHERE season <> {PRIOR - 1} AND (season NOT IN ({PRIOR}, {CURRENT}) OR pack_site = '{SITE}')""",
+    "report_runs": f"""SELECT season, format('{{:,}}', bins) AS bins, 'table' AS part FROM d_harvest_total WHERE season > {SEASONS[0] + 1}
+        UNION ALL SELECT season, CAST(bins AS STRING), 'figure' FROM d_harvest_total""",
+    "season_to_date_landed": out(f"""SELECT grader_batch_id, season, pack_date, input_kgs FROM d_site_batch JOIN d_bounds USING (season)
+        WHERE season IN ({PRIOR}, {CURRENT}) AND pack_date >= first_pack AND pack_date < close""", text="pack_date", real="input_kgs"),
     "union_by_name": f"""SELECT CASE WHEN season >= {PRIOR} THEN 'current' ELSE 'archive' END AS source_db, season,
         CASE WHEN season >= {PRIOR} THEN pick_no END AS pick_no, CAST(sum(no_of_bins) AS BIGINT) AS bins
         FROM d_delivery GROUP BY 1, 2, 3""",
@@ -551,6 +573,13 @@ ORACLES: dict[str, str] = {
         GROUP BY 1""",
 }
 
+# The same rows by another layout or way of writing.
+ORACLES |= {
+    "bins_tipped_bucketed": ORACLES["bins_tipped"], "batch_detail_bucketed": ORACLES["batch_detail"],
+    "bins_for_batch_bucketed": ORACLES["bins_for_batch"],
+    "csv_round_trip": f"SELECT * RENAME (bins AS no_of_bins) FROM ({ORACLES['cumulative_harvest']})",
+}
+
 
 def statement(select: str) -> str:
     """The SELECT with the subqueries it needs, in dependency order."""

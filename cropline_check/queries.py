@@ -25,7 +25,10 @@ from cropline.operators import size as sz
 from cropline.plans import fruit_data, harvest_data, packing_data, phyto_data, quality_data
 from cropline.plans.season_report import season_kpis as season_table
 from cropline.session import configure, work_folder
-from cropline.sources import files
+from cropline.sources import files, sinks
+from cropline.sources.buckets import BucketedTables, land_bucketed, over_parts
+from cropline.sources.sinks import replace_partitions, write_dataset
+from cropline.sources.tables import footer_extent, land, read_for_footers
 from cropline_check.views import CURRENT, EXCLUDED, MONTH_DAY, PRIOR, SEASONS, SITE, SITES, source_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,7 +69,8 @@ class Context:
 
     @cached_property
     def bounds(self) -> DataFrame:
-        return bnd.season_bounds(self.batches, SITE, month_day=MONTH_DAY)
+        """One row per season, landed once: several parts of a figure read it."""
+        return bnd.land_bounds(bnd.season_bounds(self.batches, SITE, month_day=MONTH_DAY), work_folder(self.spark, "bounds"))
 
     @cached_property
     def assessments(self) -> DataFrame:
@@ -81,6 +85,13 @@ class Context:
     def profile(self) -> DataFrame:
         return dfc.defect_profile(self.proportions, self.bounds)
 
+    @cached_property
+    def by_batch(self) -> BucketedTables:
+        """Bins, lines and batches in buckets of the batch; batches of more than 7 rows are kept apart here."""
+        keys = {name: "GraderBatchID" for name in ("ma_BinT", "ma_Pallet_DetailT", "ma_Grader_BatchT")}
+        root = work_folder(self.spark, "by_batch")
+        return land_bucketed(self.t, keys, root, f"t{root.rpartition('-')[2]}", buckets=8, hot_rows=7)
+
     @cached_property
     def findings(self) -> DataFrame:
         return phyto_data.phyto_assessments(self.t)
@@ -218,6 +229,22 @@ def bin_usage(x):
     return harvest_data.bin_usage(x.t)
 
 
+@query
+def bins_tipped_bucketed(x):
+    """``bins_tipped`` over tables in buckets of the batch, of which frequent batches are kept apart."""
+    return over_parts(x.by_batch, packing_data.bins_tipped)
+
+
+@query
+def batch_detail_bucketed(x):
+    return over_parts(x.by_batch, packing_data.grader_batch_detail)
+
+
+@query
+def bins_for_batch_bucketed(x):
+    return over_parts(x.by_batch, harvest_data.bins_for_grader_batch)
+
+
 @query
 def bins_for_batch(x):
     return harvest_data.bins_for_grader_batch(x.t)
@@ -476,7 +503,7 @@ def packout_trend_line(x):
 def t_quantiles(x):
     """Quantiles for groups of few batches."""
     groups = x.site_batches.groupBy("season", "pack_date").agg(F.count(F.lit(1)).alias("n"))
-    return groups.select("season", "pack_date", "n", F.round(sc.t_quantile_975(F.col("n") - 2), 4).alias("q"))
+    return groups.select("season", "pack_date", "n", F.round(sc.t_quantile(F.col("n") - 2, 0.975), 8).alias("q"))
 
 
 # --- defects ---------------------------------------------------------------------------------
@@ -534,6 +561,15 @@ def null_safe_join(x):
     return rel.join_null_safe(found, dfc.sample_qty_by_batch(x.assessments), ["grader_batch_id"])
 
 
+@query
+def null_spread_join(x):
+    """Assessments beside the samples of their batch; where half of them have no batch, those meet the samples without one."""
+    half = F.when(F.col("assessment_id") % 2 == 0, F.col("grader_batch_id")).alias("grader_batch_id")
+    left = x.assessments.select("assessment_id", half)
+    samples = dfc.sample_qty_by_batch(x.assessments)
+    return rel.join_null_spread(left, samples, ["grader_batch_id"], "left", rows_per_task=500)
+
+
 # --- pests -----------------------------------------------------------------------------------
 
 @query
@@ -605,6 +641,25 @@ def size_band_pivot(x):
     return sz.size_band_pivot(x.bands)
 
 
+@query
+def size_moments_merged(x):
+    """Moments landed by day in two runs, of which the second replaces the last days of the first, and merged."""
+    folder = work_folder(x.spark, "moments")
+    early = x.fruit.filter(F.col("start_time") < "2000-03-15 12:00:00")
+    sz.land_moment_days(early, folder)
+    sz.land_moment_days(x.fruit, folder, since="2000-03-10")
+    moments = sz.moments_of_parts(x.spark.read.parquet(folder))
+    return rounded(moments, 6, *[c for c in moments.columns if c != "season"])
+
+
+@query
+def size_histogram_default(x):
+    """Diameters and tube shares in bins whose edges follow from the range."""
+    diameters = sz.default_histogram(x.fruit, "minor").withColumn("measure", F.lit("minor"))
+    shares = sz.default_histogram(sz.size_band_pivot(x.bands), "Tube", bins=12).withColumn("measure", F.lit("Tube"))
+    return rounded(diameters.unionByName(shares), 8, "low", "high")
+
+
 @query
 def size_histogram(x):
     return sz.histogram(sz.size_band_pivot(x.bands), "FP", lo=0.0, width=1 / 32, bins=32)
@@ -798,6 +853,67 @@ def many_columns(x):
     return wide.select("season", F.row_number().over(order).alias("rank"), *shares)
 
 
+@query
+def footer_extents(x):
+    """First and last days of each season from the footers of batches that were landed by season."""
+    folder = work_folder(x.spark, "batches")
+    rows = x.batches.select("season", "pack_date", "harvest_date", "grader_batch_id", "pack_site")
+    write_dataset(rows, folder)
+    return footer_extent(read_for_footers(x.spark, folder), "season", ["harvest_date", "pack_date", "grader_batch_id"])
+
+
+@query
+def dataset_rerun(x):
+    """Batches by season, of which a second run replaces two seasons; a failed one and one of an emptied season do the rest."""
+    folder = work_folder(x.spark, "rerun")
+    rows = x.batches.select("grader_batch_id", "season", "pack_site", "input_kgs")
+    replace_partitions(rows, folder, ["season"])
+    again = rows.filter(F.col("season").isin(PRIOR, CURRENT) & (F.col("pack_site") == SITE)).withColumn("input_kgs", F.lit(1).cast("decimal(18,4)"))
+    replace_partitions(again, folder, ["season"])
+    covers = rows.select("season").distinct().filter(F.col("season").isin(PRIOR - 1, PRIOR))
+    replace_partitions(again.filter(F.col("season") == PRIOR), folder, ["season"], covers=covers)
+    return x.spark.read.parquet(folder)
+
+
+@query
+def csv_round_trip(x):
+    """The harvest curve as CSV, by season, read back with its declared columns."""
+    folder = work_folder(x.spark, "curve")
+    curve = hv.cumulative_harvest(x.deliveries, x.bounds, MONTH_DAY).select(
+        F.col("season").cast("int").alias("Season"), F.col("harvest_date").alias("HarvestDate"),
+        F.col("bins").cast("bigint").alias("NoOfBins"), F.col("cum_bins").cast("bigint").alias("cumBins"), F.col("plot_date").alias("PlotDate"))
+    sinks.write_csv(curve, folder)
+    return files.read_csv(x.spark, folder, files.HARVEST_CURVE).withColumnsRenamed(
+        {"Season": "season", "HarvestDate": "harvest_date", "NoOfBins": "no_of_bins", "cumBins": "cum_bins", "PlotDate": "plot_date"})
+
+
+@query
+def report_runs(x):
+    """A report table and a figure of two weekly runs, the second repeated; the newest table and the first figure are read."""
+    root = work_folder(x.spark, "report")
+    totals = hv.harvest_total(x.deliveries, x.bounds)
+    site = packing_display()
+    for run, least in (("2001-04-13", 0), ("2001-04-20", 1), ("2001-04-20", 1)):
+        sinks.write_run({"totals": totals.filter(F.col("season") > SEASONS[0] + least), "points": totals}, root, run, displays=site)
+    table = sinks.read_run(x.spark, f"{root}/totals").select(F.col("Season").alias("season"), F.col("Bins").alias("bins"))
+    points = sinks.read_run(x.spark, f"{root}/points", "2001-04-13").select("season", F.col("bins").cast("string").alias("bins"))
+    return table.withColumn("part", F.lit("table")).unionByName(points.withColumn("part", F.lit("figure")))
+
+
+def packing_display() -> dict[str, sinks.Display]:
+    return {"totals": sinks.Display({"season": "Season", "bins": "Bins"}, order_by=["season"], thousands=["bins"])}
+
+
+@query
+def season_to_date_landed(x):
+    """Batches landed by season, of which the bounds of two seasons open only their folders."""
+    folder = work_folder(x.spark, "site_batches")
+    rows = land(x.site_batches.select("grader_batch_id", "season", "pack_date", "input_kgs"), folder, by="season")
+    limits = bnd.season_bounds(x.batches, SITE, month_day=MONTH_DAY, seasons=[PRIOR, CURRENT])
+    limits = bnd.land_bounds(limits, work_folder(x.spark, "pair_bounds"))
+    return bnd.season_to_date(rows, limits, "pack_date", lower="first_pack", upper="lt", landed=True)
+
+
 @query
 def pushed_scan(x):
     """Filter, projection and partial aggregation on the fruit scan."""

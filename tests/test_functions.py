@@ -69,13 +69,49 @@ def test_display_text(spark):
     assert one(spark, sc.thousands_text("x"), x=(1234567, "bigint")) == "1,234,567"
 
 
-@pytest.mark.parametrize("df, want", [(5, 2.570582), (10, 2.228139), (30, 2.042272), (200, 1.971896)])
-def test_t_quantile(spark, df, want):
-    assert one(spark, sc.t_quantile_975("n"), n=(df, "bigint")) == pytest.approx(want, abs=1e-3)
+# Printed quantiles of Student's t.
+@pytest.mark.parametrize("df, level, want", [
+    (1, 0.975, 12.7062047361747), (2, 0.975, 4.30265272974946), (3, 0.975, 3.18244630528371), (5, 0.975, 2.57058183563631),
+    (10, 0.95, 1.81246112281168), (10, 0.975, 2.22813885198627), (10, 0.995, 3.16927267261695), (30, 0.975, 2.04227245630124),
+])
+def test_t_quantile(spark, df, level, want):
+    assert one(spark, sc.t_quantile("n", level), n=(df, "bigint")) == pytest.approx(want, abs=1e-9)
+
+
+def within(t, df):
+    """P(|T| <= t) for whole degrees of freedom: a finite sum over powers of the cosine, no beta function."""
+    angle = math.atan(t / math.sqrt(df))
+    total, term, k = 0.0, 1.0 if df % 2 == 0 else math.cos(angle), 1
+    while (2 * k <= df) if df % 2 == 0 else (2 * k + 1 <= df):
+        total += term
+        term *= math.cos(angle) ** 2 * ((2 * k - 1) / (2 * k) if df % 2 == 0 else 2 * k / (2 * k + 1))
+        k += 1
+    return math.sin(angle) * total if df % 2 == 0 else 2 / math.pi * (angle + math.sin(angle) * total)
+
+
+@pytest.mark.parametrize("level", [0.6, 0.9, 0.975, 0.9995])
+def test_t_quantile_against_the_finite_sum(spark, level):
+    rows = spark.createDataFrame([(n,) for n in [*range(1, 60), 101, 200, 399, 400, 1001]], "n bigint")
+    for n, q in rows.select("n", sc.t_quantile("n", level)).collect():
+        assert within(q, n) == pytest.approx(2 * level - 1, abs=1e-10), n
+
+
+@pytest.mark.parametrize("x, a, b, want", [
+    (0.0, 2.0, 3.0, 0.0), (1.0, 2.0, 3.0, 1.0), (0.25, 1.0, 1.0, 0.25), (0.3, 2.0, 1.0, 0.09), (0.3, 1.0, 2.0, 0.51),
+    (0.5, 7.5, 7.5, 0.5), (0.9, 2.0, 2.0, 0.972),
+])
+def test_incomplete_beta(spark, x, a, b, want):
+    got = one(spark, sc.incomplete_beta("x", "a", "b"), x=(x, "double"), a=(a, "double"), b=(b, "double"))
+    assert got == pytest.approx(want, abs=1e-13)
+
+
+@pytest.mark.parametrize("x", [0.5, 1.0, 2.0, 10.5, 170.0])
+def test_log_gamma(spark, x):
+    assert one(spark, sc.log_gamma("x"), x=(x, "double")) == pytest.approx(math.lgamma(x), rel=1e-13, abs=1e-13)
 
 
 def test_t_quantile_without_degrees_of_freedom(spark):
-    assert one(spark, sc.t_quantile_975("n"), n=(0, "bigint")) is None
+    assert one(spark, sc.t_quantile("n", 0.975), n=(0, "bigint")) is None
 
 
 def test_three_sum_rules(spark):
