@@ -36,8 +36,8 @@ from cropline.llm.common import components, stored, text_chunks
 SHINGLE, SEED, BUDGET = 4, 42, 4
 #: Leaves of a subtree that one task walks at most.
 UNIT = 1 << 19
-#: Smaller inputs are cut into this many subtrees, so that they are walked by several tasks.
-SPREAD = 16
+#: Smaller inputs are cut into about so many subtrees, so that several tasks walk them, but into none of fewer leaves than that.
+SPREAD, LEAST_LEAVES = 16, 1024
 #: Levels that a pair of too large nodes goes down at once.
 STRIDE = 2
 #: Node pairs that a walk holds at once, leaf pairs of a node pair that are compared directly, and hashes summed at once.
@@ -286,7 +286,7 @@ def classes(prints: DataFrame, budget: int = BUDGET, unit: int = UNIT) -> DataFr
     halves = F.call_function("shiftrightunsigned", F.col("fp"), F.lit(32)).bitwiseOR(F.shiftleft("fp", 32))
     both = F.explode(F.array(F.struct(F.lit(0).alias("trie"), F.col("fp").alias("leaf")), F.struct(F.lit(1).alias("trie"), halves.alias("leaf"))))
     leaves = distinct.select("fp", both.alias("x")).select("fp", "x.trie", "x.leaf")
-    limit = min(unit, max(1024, distinct.count() // SPREAD))
+    limit = min(unit, max(LEAST_LEAVES, distinct.count() // SPREAD))
     units = units_of(leaves, limit, budget)
     inside = walk_units(leaves.withColumn("label", F.col("fp")), units.filter("a = b"), budget)
     known = components(inside).toDF("fp", "known")
