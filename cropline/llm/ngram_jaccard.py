@@ -15,8 +15,10 @@ A document's set is its distinct five-word shingles (all its words as one where
 4. A first product of each column with its first row links rows to the row they share most columns with. Overlaps of
    these pairs are counted over the whole sets, and links make classes. Groups of near copies end in one class here with
    one pair per row.
-5. The second product takes only columns whose rows are in several classes, and only pairs of different classes whose
-   sizes, places in the order and bitmaps (2,048 bits; two sets differ in a shingle at least for each differing bit) leave
+5. Turns: in each column every class meets some rows of the largest one there, other ones in each turn; for each class
+   the pair whose bitmaps differ least is counted over the whole sets, and links merge classes. Turns end where few link.
+6. The second product takes only columns whose rows are in several classes, and only pairs of different classes whose
+   sizes, places in the order and bitmaps (4,096 bits; two sets differ in a shingle at least for each differing bit) leave
    enough overlap possible; from the smaller set n - ceil(n * 2p / (100 + p)) + 1 columns are enough. These are counted
    over the whole sets too. A pair inside a class needs no count, as it is connected already; so no link between
    different classes is lost.
@@ -47,7 +49,11 @@ WORDS_PER_BLOCK = 2_000_000
 #: Keys that a counting task holds before it sends them.
 HELD_KEYS = 2_000_000
 #: Longs of a row's bitmap.
-BITMAP = 32
+BITMAP = 64
+#: Rows of the largest class of a column that each other class meets in a turn.
+TRIES = 8
+#: Turns of class partners end where fewer than one in ENOUGH of them links.
+ENOUGH = 3
 #: Columns before an entry that are looked at to find a pair once, not at every column that it shares.
 BEFORE = 8
 
@@ -160,7 +166,7 @@ def signature(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
 def bitmaps(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """A bitmap per set in which each shingle sets one bit."""
     out = np.zeros(n * BITMAP, dtype=np.uint64)
-    bit = mixed(hashes ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(53)  # 2048 bits
+    bit = mixed(hashes ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(52)  # 4,096 bits
     np.bitwise_or.at(out, owner * BITMAP + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
     return out.view(np.int64)
 
@@ -238,6 +244,20 @@ def linked(pairs: DataFrame, bodies: DataFrame, size: int, percent: int) -> Data
     return stored(spelled.mapInArrow(overlap_counter(size, percent), "a long, b long, overlap long"), "links")
 
 
+def class_partners(placed: DataFrame, turn: int) -> DataFrame:
+    """(class, a, b): rows b of a class and a of another one that have a column in common.
+
+    In each column every class but the largest meets the largest one there, by one row of its own and ``TRIES`` rows of
+    that one, which hashes of the rows and of ``turn`` choose; so a column gives at most ``TRIES`` pairs for each class that
+    it has, and each turn tries other rows.
+    """
+    lots = [F.min_by("row", F.xxhash64(F.col("row"), F.lit(TRIES * turn + k))) for k in range(TRIES)]
+    by_class = placed.groupBy("col", "class").agg(F.array(*lots).alias("some"), F.count("*").alias("rows"))
+    largest = by_class.groupBy("col").agg(F.max(F.struct("rows", "class", "some")).alias("s"), F.count("*").alias("classes")).filter("classes > 1")
+    met = by_class.join(largest.select("col", "s"), "col").filter(F.col("class") != F.col("s.class"))
+    return met.select("class", F.explode(F.array_distinct("s.some")).alias("a"), F.get("some", F.lit(0)).alias("b")).distinct()
+
+
 def judge_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, text_key, n_shingles, component_id, and the links found at its set."""
     spark = docs.sparkSession
@@ -273,10 +293,26 @@ def judge_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     stars = entries.join(first, "col").filter((F.col("row") > F.col("a")) & possible("n", "m")).groupBy(
         F.col("row").alias("b"), "a").agg(F.count("*").alias("shared"))
     stars = stored(stars.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b"), "star-pairs")
-    star_links = linked(stars, bodies, size, percent)
+    links = linked(stars, bodies, size, percent).select("a", "b")
+    classes = components(links).toDF("row", "class")
 
-    classes = components(star_links).toDF("row", "class")
-    placed = stored(entries.join(classes, "row", "left").withColumn("class", F.coalesce("class", "row")), "entry-classes")
+    # Every bit in which the bitmaps differ stands for at least one shingle that only one set has.
+    apart = sum((F.bit_count(F.get("ba", F.lit(i)).bitwiseXOR(F.get("bb", F.lit(i)))) for i in range(BITMAP)), F.lit(0))
+    near_bits = possible("na", "nb") & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb")))
+    sizes = members.select(F.col("s1").alias("row"), F.col("n_shingles").alias("size"), "bits")
+    turn = 0
+    while True:
+        placed = stored(entries.drop("one", "columns").join(classes, "row", "left").withColumn("class", F.coalesce("class", "row")), "entry-classes")
+        partners = class_partners(placed, turn).join(sizes.toDF("a", "na", "ba"), "a").join(sizes.toDF("b", "nb", "bb"), "b").filter(near_bits)
+        nearest = partners.groupBy("class").agg(F.min_by(F.struct("a", "b"), F.struct(apart, F.xxhash64("a", "b"))).alias("p"))
+        nearest = stored(nearest.select("p.a", "p.b"), "class-partners")
+        found = linked(nearest, bodies, size, percent).select("a", "b")
+        links, turn, n_found = links.union(found), turn + 1, found.count()
+        if n_found:
+            classes = components(links).toDF("row", "class")
+        if ENOUGH * n_found <= nearest.count():
+            break
+    placed = stored(entries.drop("one", "columns").join(classes, "row", "left").withColumn("class", F.coalesce("class", "row")), "entry-classes")
     mixed_columns = placed.groupBy("col").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("col")
     open_entries = stored(placed.join(mixed_columns, "col", "left_semi"), "open-entries")
     sized_entries = open_entries.join(members.select(F.col("s1").alias("row"), "bits"), "row")
@@ -290,15 +326,13 @@ def judge_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.col("before").alias("lb"))
     # The shared column, and at most what comes after it in both, can overlap, beyond what came before.
     most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb")
-    # Every bit in which the bitmaps differ stands for at least one shingle that only one set has.
-    apart = sum((F.bit_count(F.get("ba", F.lit(i)).bitwiseXOR(F.get("bb", F.lit(i)))) for i in range(BITMAP)), F.lit(0))
     pairs = left.join(right, "col").filter(
         (F.col("ca") != F.col("cb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
-        & possible("na", "nb") & ((100 + percent) * most >= percent * (F.col("na") + F.col("nb")))
-        & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb")))
+        & ((100 + percent) * most >= percent * (F.col("na") + F.col("nb")))
+        & near_bits
         & ~F.arrays_overlap("la", "lb"))  # a linked pair that shares an earlier column is found there
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "open-pairs")
-    links = star_links.select("a", "b").union(linked(pairs, bodies, size, percent).select("a", "b"))
+    links = links.union(linked(pairs, bodies, size, percent).select("a", "b"))
 
     labels = components(links).toDF("s1", "label")
     degrees = links.select(F.col("a").alias("s1")).union(links.select("b")).groupBy("s1").agg(F.count("*").alias("n_links"))
