@@ -15,7 +15,7 @@ A document's set is its distinct five-word shingles (all its words as one where
 4. A first product of each column with its first row links rows to the row they share most columns with. Overlaps of
    these pairs are counted over the whole sets, and links make classes. Groups of near copies end in one class here with
    one pair per row.
-5. Turns: in each column every class meets some rows of the largest one there, other ones in each turn; for each class
+5. Turns: in each column of many classes every class meets some rows of the largest one there, other ones in each turn; for each class
    the pair whose bitmaps differ least is counted over the whole sets, and links merge classes. Turns end where few link.
 6. The second product takes only columns whose rows are in several classes, and only pairs of different classes whose
    sizes, places in the order and bitmaps (4,096 bits; two sets differ in a shingle at least for each differing bit) leave
@@ -50,8 +50,10 @@ WORDS_PER_BLOCK = 2_000_000
 HELD_KEYS = 2_000_000
 #: Longs of a row's bitmap.
 BITMAP = 64
+#: Classes of a column up to which all its pairs may be listed.
+CROWD = 16
 #: Rows of the largest class of a column that each other class meets in a turn.
-TRIES = 8
+TRIES = 4
 #: Turns of class partners end where fewer than one in ENOUGH of them links.
 ENOUGH = 3
 #: Columns before an entry that are looked at to find a pair once, not at every column that it shares.
@@ -247,13 +249,15 @@ def linked(pairs: DataFrame, bodies: DataFrame, size: int, percent: int) -> Data
 def class_partners(placed: DataFrame, turn: int) -> DataFrame:
     """(class, a, b): rows b of a class and a of another one that have a column in common.
 
+    Only columns of more than ``CROWD`` classes count; what the others have in common is listed cheaply, each pair once.
     In each column every class but the largest meets the largest one there, by one row of its own and ``TRIES`` rows of
     that one, which hashes of the rows and of ``turn`` choose; so a column gives at most ``TRIES`` pairs for each class that
     it has, and each turn tries other rows.
     """
     lots = [F.min_by("row", F.xxhash64(F.col("row"), F.lit(TRIES * turn + k))) for k in range(TRIES)]
     by_class = placed.groupBy("col", "class").agg(F.array(*lots).alias("some"), F.count("*").alias("rows"))
-    largest = by_class.groupBy("col").agg(F.max(F.struct("rows", "class", "some")).alias("s"), F.count("*").alias("classes")).filter("classes > 1")
+    largest = by_class.groupBy("col").agg(F.max(F.struct("rows", "class", "some")).alias("s"), F.count("*").alias("classes")).filter(
+        F.col("classes") > CROWD)
     met = by_class.join(largest.select("col", "s"), "col").filter(F.col("class") != F.col("s.class"))
     return met.select("class", F.explode(F.array_distinct("s.some")).alias("a"), F.get("some", F.lit(0)).alias("b")).distinct()
 
@@ -300,9 +304,11 @@ def judge_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     apart = sum((F.bit_count(F.get("ba", F.lit(i)).bitwiseXOR(F.get("bb", F.lit(i)))) for i in range(BITMAP)), F.lit(0))
     near_bits = possible("na", "nb") & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb")))
     sizes = members.select(F.col("s1").alias("row"), F.col("n_shingles").alias("size"), "bits")
+    crowded = entries.groupBy("col").agg(F.count("*").alias("rows")).filter(F.col("rows") > CROWD).select("col")
+    crowded = stored(entries.select("col", "row").join(crowded, "col", "left_semi"), "crowded-entries")
     turn = 0
     while True:
-        placed = stored(entries.drop("one", "columns").join(classes, "row", "left").withColumn("class", F.coalesce("class", "row")), "entry-classes")
+        placed = crowded.join(classes, "row", "left").withColumn("class", F.coalesce("class", "row"))
         partners = class_partners(placed, turn).join(sizes.toDF("a", "na", "ba"), "a").join(sizes.toDF("b", "nb", "bb"), "b").filter(near_bits)
         nearest = partners.groupBy("class").agg(F.min_by(F.struct("a", "b"), F.struct(apart, F.xxhash64("a", "b"))).alias("p"))
         nearest = stored(nearest.select("p.a", "p.b"), "class-partners")

@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from cropline.llm import conversation_repair as repair
+from cropline.llm import ngram_jaccard
 from cropline.llm import ngram_resampling as resampling
 from cropline.llm import simhash_trie as trie
 from tests.llm.helpers import EDGE, WORDS, ascii_lower, documents, sentence
@@ -290,3 +291,36 @@ def test_drawn_documents(spark):
     assert resampling.resample(documents(spark, []), items).collect() == []
     alike = resampling.resample(docs, items.limit(0)).select(*columns)
     assert sorted((tuple(r) for r in alike.collect()), key=repr) == resampled(rows, [])
+
+
+# --- near copies of the n-gram join --------------------------------------------------------------------------------------
+
+@pytest.mark.parametrize("n", [100, 300])
+def test_a_group_of_near_copies_leaves_few_open_pairs(spark, monkeypatch, n):
+    """Copies of one text with one to four changed words: many pairs just fail, and few of them may be looked at."""
+    draw = random.Random(1)
+    texts = []
+    for _ in range(n):
+        words = [f"w{i}" for i in range(200)]
+        for place in draw.sample(range(200), draw.randrange(1, 5)):
+            words[place] = f"x{draw.randrange(10 ** 9)}"
+        texts.append(" ".join(words))
+    counted, plain = {}, ngram_jaccard.stored
+
+    def counting(df, name):
+        out = plain(df, name)
+        counted[name] = counted.get(name, 0) + (out.count() if name in ("class-partners", "open-pairs") else 0)
+        return out
+
+    monkeypatch.setattr(ngram_jaccard, "stored", counting)
+    got = {r.doc_id: r.component_id for r in ngram_jaccard.judge_documents(documents(spark, list(enumerate(texts)))).collect()}
+    sets = [{" ".join(t.split()[k:k + 5]) for k in range(196)} for t in texts]
+    label = list(range(n))
+    for a in range(n):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both) and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    assert got == dict(enumerate(label))
+    assert counted["class-partners"] + counted["open-pairs"] < 4 * n
