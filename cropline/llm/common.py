@@ -130,6 +130,12 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def block_and_key(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The block (top bits) of each hash and the 32 bits after it."""
+    block = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), dtype=np.int64)
+    return block, ((hashes << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+
+
 # --- files that workers map into memory ----------------------------------------------------------------------------
 
 

@@ -13,8 +13,10 @@ components); of a class the first line by (document id, text hash, line number)
 a letter or digit stay there), ``edits`` from ``min_chars`` on, and one for each ``EDIT_EVERY`` code points of lines of
 ``LONG_FROM`` to ``LONG_TO``; still longer lines are compared within ``edits`` as well. Long lines within one edit for each
 ``EDIT_EVERY`` code points have a run of 30 code points in common. Of each run the smallest hash of its windows of ``GRAM``
-is a mark of the line, so both lines have it. Marks that only one line has are dropped; a pair of lines of like length meets
-at its smallest common mark only, and is then verified by its edit distance.
+is a mark of the line, so both lines have it. Tasks send marks with 32-bit tags of their lines in packed blocks, and write
+the marks that lines of two tags have as sorted arrays that workers map; only these become rows (a false mark adds a pair
+to verify; two lines of one tag are taken for one, one time in 2^32). A pair of lines of like length meets at a common mark
+unless both have the same live mark before it, and is then verified by its edit distance. This part alone is in Arrow.
 
 Defined cases: null texts have no lines; lines shorter than ``min_chars`` are in no class and always stay; a null document
 id comes before all others; rows with the same id and text are one document, whose copies keep the same lines; an empty
@@ -23,10 +25,17 @@ table gives no rows.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cropline.llm.common import components, documents_of, stored
+from cropline.llm.common import (
+    array_uri, block_and_key, components, documents_of, map_array, mixed, put_array, scratch_dir, stored, text_chunks,
+)
 
 EDITS = 2
 MIN_CHARS = 24
@@ -36,6 +45,8 @@ BROADCAST_KEYS = 1_000_000
 EDIT_EVERY, LONG_FROM, LONG_TO = 40, 120, 4000
 #: Code points of a hashed window, and windows of a run: any line of LONG_FROM has GRAM + RUN - 1 code points between its edits.
 GRAM, RUN = 16, 15
+#: Marks of a block, whose lines are counted in one task, and marks that a counting task holds before it sends them.
+MARKS_PER_BLOCK = HELD_MARKS = 2_000_000
 #: Lines of one key that a task compares with the key's index rows.
 SPLIT = 500
 
@@ -150,24 +161,136 @@ def lines_of(docs: DataFrame, min_chars: int, doc_id: str = "doc_id", text: str
         F.length("line") >= min_chars).withColumn("line_key", F.xxhash64("line"))
 
 
-def marks(line: Column) -> Column:
-    """The smallest hash of each ``RUN`` neighbouring windows of ``GRAM`` code points, sorted, each once."""
-    grams = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))
-    lowest = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (RUN - 1)), lambda i: F.array_min(F.slice(h, i, RUN)))
-    return F.array_sort(F.array_distinct(F.get(F.transform(F.array(F.transform(grams, lambda g: F.xxhash64(g))), lowest), F.lit(0))))
+def mark_runs(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(mark, number of its line) in text order: the smallest hash of each ``RUN`` neighbouring windows of ``GRAM`` code points."""
+    sizes = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
+    h = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(lines)), sizes)
+    size, factor = 1, np.uint64(0x9E3779B97F4A7C15)
+    while size < GRAM and len(h) > size:  # windows of twice the size; GRAM is a power of two
+        h = h[:-size] * factor + h[size:]
+        size, factor = 2 * size, factor * factor
+    low, size = mixed(h), 1
+    while 2 * size <= RUN:
+        low, size = np.minimum(low[:-size], low[size:]), 2 * size
+    low = np.minimum(low[:len(low) - (RUN - size)], low[RUN - size:])
+    n = max(0, len(owner) - (GRAM + RUN - 2))
+    low, first, last = low[:n], owner[:n], owner[len(owner) - n:]
+    new = first == last
+    new[1:] &= (low[1:] != low[:-1]) | ~new[:-1] | (first[1:] != first[:-1])
+    return low[new], first[new]
+
+
+def mark_counter(bits: int):
+    """Blocks of (mark, tag of the line). Of a mark in many lines a task sends two tags at most: two make it live."""
+    def send(held: list[np.ndarray], blocks: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        block, pairs = np.concatenate(blocks), np.concatenate(held)
+        order = np.lexsort((pairs, block))
+        block, pairs = block[order], pairs[order]
+        key = pairs >> np.uint64(32)
+        change = (block[1:] != block[:-1]) | (key[1:] != key[:-1])
+        least, most = np.concatenate([[True], change]), np.concatenate([change, [True]])
+        again = np.concatenate([[False], ~change & (pairs[1:] == pairs[:-1])])
+        keep = least | (most & ~again)
+        block, pairs = block[keep], pairs[keep]
+        starts = np.searchsorted(block, np.arange((1 << bits) + 1))
+        for b in np.unique(block).tolist():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "pairs": pa.array(
+                [pairs[starts[b]:starts[b + 1]].tobytes()], pa.binary())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, blocks, total = [], [], 0
+        for batch in text_chunks(batches, "line"):
+            marks, owner = mark_runs(texts_of(batch))
+            tags = mixed(batch.column("line_key").to_numpy().view(np.uint64)) >> np.uint64(32)
+            block, key = block_and_key(marks, bits)
+            held.append((key.astype(np.uint64) << np.uint64(32)) | tags[owner])
+            blocks.append(block)
+            total += len(block)
+            if total > HELD_MARKS:
+                yield from send(held, blocks)
+                held, blocks, total = [], [], 0
+        if total:
+            yield from send(held, blocks)
+
+    return run
+
+
+def mark_writer(folder: str):
+    """The marks of each block that different lines have, as one sorted array."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                blobs.setdefault(row["block"], []).append(row["pairs"])
+        for b in sorted(blobs):
+            pairs = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in blobs.pop(b)]))
+            key = (pairs >> np.uint64(32)).astype(np.uint32)
+            live = np.unique(key[1:][key[1:] == key[:-1]])
+            put_array(f"{folder}/marks-{b}.npy", live)
+            yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "live": pa.array([len(live)], pa.int64())})
+
+    return run
+
+
+def live_marks(folder: str, bits: int):
+    """(line, length, mark, the live mark before it) of all live marks of each line, each mark of a line once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened: dict[int, np.ndarray] = {}
+        for batch in text_chunks(batches, "line"):
+            keys = batch.column("line_key").to_numpy()
+            once = np.unique(keys, return_index=True)[1]
+            batch = batch.take(pa.array(once))
+            keys = keys[once]
+            marks, owner = mark_runs(texts_of(batch))
+            block, key = block_and_key(marks, bits)
+            live = np.zeros(len(marks), dtype=bool)
+            order = np.argsort(block, kind="stable")
+            starts = np.searchsorted(block[order], np.arange((1 << bits) + 1))
+            for b in np.unique(block).tolist():
+                rows = order[starts[b]:starts[b + 1]]
+                if b not in opened:
+                    opened[b] = map_array(f"{folder}/marks-{b}.npy")
+                if len(opened[b]):
+                    at = np.minimum(np.searchsorted(opened[b], key[rows]), len(opened[b]) - 1)
+                    live[rows] = np.asarray(opened[b][at]) == key[rows]
+            marks, owner = marks[live], owner[live]
+            order = np.lexsort((np.arange(len(marks)), marks, owner))
+            again = np.zeros(len(marks), dtype=bool)
+            m, o = marks[order], owner[order]
+            again[order[1:]] = (m[1:] == m[:-1]) & (o[1:] == o[:-1])
+            marks, owner = marks[~again], owner[~again]
+            alone = np.ones(len(marks), dtype=bool)
+            alone[1:] = owner[1:] != owner[:-1]
+            before = np.concatenate([marks[:1], marks[:-1]]).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[owner]), batch.column("chars").take(pa.array(owner)), pa.array(marks.view(np.int64)), pa.array(before, mask=alone)],
+                ["line_key", "chars", "mark", "before"])
+
+    return run
+
+
+def texts_of(batch: pa.RecordBatch) -> list[str]:
+    return [x.decode("utf-8", "replace") for x in batch.column("line").cast(pa.binary()).to_pylist()]
 
 
 def long_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Pairs (a, b) of keys of different long lines within one edit for each ``EDIT_EVERY`` code points of the shorter one."""
     sized = lambda df: F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
     allowed = lambda chars: F.floor(chars / EDIT_EVERY).cast("int")
-    lines = lines_of(docs, LONG_FROM, doc_id, text).filter(F.length("line") <= LONG_TO + LONG_TO // EDIT_EVERY)
-    lines = stored(lines.groupBy("line_key").agg(F.first("line").alias("line")).select(
-        "line_key", "line", F.length("line").alias("chars"), marks(F.col("line")).alias("marks")), "long-lines")
-    live = stored(lines.select(F.explode("marks").alias("mark")).groupBy("mark").agg(F.count("*").alias("n")).filter(
-        "n > 1").select("mark", F.ceil(F.col("n") / SPLIT).cast("int").alias("salts")), "live-marks")
-    entries = lines.select("line_key", "chars", "marks", F.posexplode("marks").alias("place", "mark")).select(
-        "line_key", "chars", "mark", F.slice("marks", F.lit(1), F.col("place")).alias("before")).join(sized(live), "mark")
+    every = lines_of(docs, LONG_FROM, doc_id, text).filter(F.length("line") <= LONG_TO + LONG_TO // EDIT_EVERY)
+    lines = every.select("line_key", F.length("line").alias("chars"), "line")
+    # Twice RUN / 2 + 1 code points for a mark, on average.
+    n_marks = docs.agg(F.coalesce(F.sum(F.length(F.col(text))), F.lit(0))).first()[0] * 2 / (RUN + 1)
+    bits = max(0, math.ceil(math.log2(max(1, n_marks / MARKS_PER_BLOCK))))
+    folder = array_uri(scratch_dir(docs.sparkSession, "marks"))
+    counted = lines.select("line_key", "line").mapInArrow(mark_counter(bits), "block int, pairs binary")
+    stored(counted.repartitionById(1 << bits, F.col("block")).mapInArrow(mark_writer(folder), "block int, live long"), "mark-blocks")
+    entries = lines.mapInArrow(live_marks(folder, bits), "line_key long, chars int, mark long, before long")
+    entries = stored(entries.dropDuplicates(["line_key", "mark"]), "live-marks")  # a line of many documents is one line
+    crowds = entries.groupBy("mark").agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT).select(
+        "mark", F.ceil(F.col("n") / SPLIT).cast("int").alias("salts"))  # at most one for each SPLIT entries
+    entries = entries.join(sized(stored(crowds, "crowded-marks")), "mark", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     # Lines whose lengths differ by a fortieth or less are in one step of lengths or in two that follow each other.
     step = F.floor(F.log(F.col("chars").cast("double")) / F.log(F.lit(1.04))).cast("int")
     index = entries.select("mark", step.alias("step"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
@@ -176,10 +299,13 @@ def long_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                             F.col("line_key").alias("b"), F.col("chars").alias("b_chars"), F.col("before").alias("b_before"))
     alike = (F.col("a_chars") < LONG_TO) & (F.col("b_chars") - F.col("a_chars") <= allowed(F.col("a_chars"))) & (
         (F.col("a_chars") < F.col("b_chars")) | ((F.col("a_chars") == F.col("b_chars")) & (F.col("a") < F.col("b"))))
-    first = ~F.arrays_overlap("a_before", "b_before")  # or the pair meets at a smaller mark
+    first = ~F.coalesce(F.col("a_before") == F.col("b_before"), F.lit(False))  # or the pair meets at the mark before, too
     pairs = stored(index.join(probes, (index["mark"] == probes["mark"]) & (index["step"] == probes["step"]) & (
-        index["salt"] == probes["salt"]) & alike & first).select("a", "b"), "long-pairs")
-    texts = lambda key, line: lines.select(F.col("line_key").alias(key), F.col("line").alias(line))
+        index["salt"] == probes["salt"]) & alike & first).select("a", "b").distinct(), "long-pairs")
+    wanted = pairs.select(F.col("a").alias("line_key")).union(pairs.select("b")).distinct()
+    bodies = stored(lines.select("line_key", "line").join(sized(stored(wanted, "wanted-lines")), "line_key", "left_semi").groupBy(
+        "line_key").agg(F.first("line").alias("line")), "long-lines")
+    texts = lambda key, line: bodies.select(F.col("line_key").alias(key), F.col("line").alias(line))
     apart = F.call_function("levenshtein", F.col("shorter"), F.col("longer"), allowed(F.length("shorter")))
     return stored(pairs.join(texts("a", "shorter"), "a").join(texts("b", "longer"), "b").select(
         "a", "b", apart.alias("distance")).filter("distance >= 0"), "long-links")

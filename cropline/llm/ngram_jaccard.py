@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cropline.llm.common import (
-    array_uri, components, keep_rows, map_array, mixed, put_array, scratch_dir, stored, text_chunks, unused_name, window_hashes,
+    array_uri, block_and_key, components, keep_rows, map_array, mixed, put_array, scratch_dir, stored, text_chunks, unused_name, window_hashes,
     word_hashes,
 )
 
@@ -95,12 +95,6 @@ def shingle_sets(texts: list[bytes | None], size: int) -> tuple[np.ndarray, np.n
     return hashes[new], np.bincount(owners[new], minlength=len(counts))
 
 
-def block_and_key(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The column block (top bits) and the 32 bits after it."""
-    block = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), dtype=np.int64)
-    return block, ((hashes << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
-
-
 def column_counter(size: int, bits: int):
     def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         hashes, counts = np.unique(np.concatenate(held), return_counts=True)

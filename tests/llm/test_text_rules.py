@@ -260,6 +260,43 @@ def test_edits_follow_the_length(spark):
     assert sorted(tuple(sorted((keys[r.a], keys[r.b]))) for r in links) == sorted(want) and len(want) > 60
 
 
+def test_marks_in_blocks_and_shares(spark, monkeypatch):
+    import random
+
+    rng, lines = random.Random(5), []
+    for n in (130, 170, 420):
+        base = [rng.choice("abcdefghij ") for _ in range(n - 2)]
+        for _ in range(6):
+            copy = ["x", *base, "y"]
+            for i in rng.sample(range(1, n - 1), rng.randint(0, n // 60)):
+                copy[i] = rng.choice("klm")
+            lines.append("".join(copy))
+    rows = list(enumerate(lines + lines[:3] + ["z" * 5000, "", None]))  # whole copies, a line that is too long, none
+    want = {(a, b): distance(a, b) for a, b in combinations(sorted(set(lines)), 2)
+            if len(a) == len(b) and distance(a, b) <= len(a) // 40}
+    monkeypatch.setattr(line_edit_join, "MARKS_PER_BLOCK", 40)
+    monkeypatch.setattr(line_edit_join, "HELD_MARKS", 30)
+    monkeypatch.setattr(line_edit_join, "SPLIT", 2)
+    monkeypatch.setattr(line_edit_join, "BROADCAST_KEYS", 0)
+    docs = documents(spark, rows)
+    keys = {r.line: r.k for r in docs.selectExpr("text line", "xxhash64(text) k").collect()}
+    got = {frozenset((r.a, r.b)): r.distance for r in line_edit_join.long_links(docs).collect()}
+    assert got == {frozenset((keys[a], keys[b])): d for (a, b), d in want.items()} and want
+
+
+def test_marks_of_a_line_are_least_hashes_of_runs():
+    import numpy as np
+
+    lines = ["ab" * 80, "".join(chr(97 + i * i % 23) for i in range(140)), "\U0001F600" * 120]
+    marks, owner = line_edit_join.mark_runs(lines)
+    for i, line in enumerate(lines):
+        alone, _ = line_edit_join.mark_runs([line])
+        assert marks[owner == i].tolist() == alone.tolist()
+        runs = [line_edit_join.mark_runs([line[k:k + 30]])[0].tolist() for k in range(len(line) - 29)]
+        assert all(len(r) == 1 for r in runs) and [r[0] for k, r in enumerate(runs) if not k or r != runs[k - 1]] == alone.tolist()
+    assert marks.dtype == np.uint64
+
+
 def test_pipeline_removes_short_and_long_near_lines(spark):
     import corpus_pipeline
 
