@@ -166,10 +166,10 @@ def mark_runs(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
     h = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     owner = np.repeat(np.arange(len(lines)), sizes)
-    size, factor = 1, np.uint64(0x9E3779B97F4A7C15)
+    size, factor = 1, 0x9E3779B97F4A7C15
     while size < GRAM and len(h) > size:  # windows of twice the size; GRAM is a power of two
-        h = h[:-size] * factor + h[size:]
-        size, factor = 2 * size, factor * factor
+        h = h[:-size] * np.uint64(factor) + h[size:]
+        size, factor = 2 * size, factor * factor % (1 << 64)
     low, size = mixed(h), 1
     while 2 * size <= RUN:
         low, size = np.minimum(low[:-size], low[size:]), 2 * size
@@ -291,11 +291,13 @@ def long_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     crowds = entries.groupBy("mark").agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT).select(
         "mark", F.ceil(F.col("n") / SPLIT).cast("int").alias("salts"))  # at most one for each SPLIT entries
     entries = entries.join(sized(stored(crowds, "crowded-marks")), "mark", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-    # Lines whose lengths differ by a fortieth or less are in one step of lengths or in two that follow each other.
-    step = F.floor(F.log(F.col("chars").cast("double")) / F.log(F.lit(1.04))).cast("int")
+    # Lines whose lengths differ by a fortieth or less are in one step of lengths or in two that follow each other. Steps part
+    # the lines of marks that many lines have; those of other marks are in one step.
+    step = F.when(F.col("salts") > 1, F.floor(F.log(F.col("chars").cast("double")) / F.log(F.lit(1.04))).cast("int")).otherwise(0)
+    steps = F.when(F.col("salts") > 1, F.array(step, step - 1)).otherwise(F.array(F.lit(0)))
     index = entries.select("mark", step.alias("step"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
                            F.col("line_key").alias("a"), F.col("chars").alias("a_chars"), F.col("before").alias("a_before"))
-    probes = entries.select("mark", F.explode(F.array(step, step - 1)).alias("step"), F.pmod("line_key", "salts").cast("int").alias("salt"),
+    probes = entries.select("mark", F.explode(steps).alias("step"), F.pmod("line_key", "salts").cast("int").alias("salt"),
                             F.col("line_key").alias("b"), F.col("chars").alias("b_chars"), F.col("before").alias("b_before"))
     alike = (F.col("a_chars") < LONG_TO) & (F.col("b_chars") - F.col("a_chars") <= allowed(F.col("a_chars"))) & (
         (F.col("a_chars") < F.col("b_chars")) | ((F.col("a_chars") == F.col("b_chars")) & (F.col("a") < F.col("b"))))
