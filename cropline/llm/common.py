@@ -140,7 +140,10 @@ def block_and_key(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray
 
 
 def put_array(uri: str, array: np.ndarray) -> None:
-    """Write one array file; the rename makes a repeated attempt harmless."""
+    """Write one array file under a name of its own and move it into place.
+
+    Not every store lets a move replace a file. A repeated attempt writes the same rows, so it leaves a file that is there.
+    """
     import io
 
     from pyarrow import fs as pafs
@@ -152,7 +155,15 @@ def put_array(uri: str, array: np.ndarray) -> None:
     attempt = f"{path}.{uuid.uuid4().hex}"
     with store.open_output_stream(attempt) as out:
         out.write(buffer.getbuffer())
-    store.move(attempt, path)
+    there = lambda: store.get_file_info(path).type == pafs.FileType.File
+    if not there():
+        try:
+            store.move(attempt, path)
+            return
+        except OSError:
+            if not there():  # or another attempt was first
+                raise
+    store.delete_file(attempt)
 
 
 def map_array(uri: str) -> np.ndarray:

@@ -324,3 +324,14 @@ def test_a_group_of_near_copies_leaves_few_open_pairs(spark, monkeypatch, n):
                 label = [low if x == high else x for x in label]
     assert got == dict(enumerate(label))
     assert counted["class-partners"] + counted["open-pairs"] < 4 * n
+
+
+def test_a_repeated_attempt_leaves_one_array_file(tmp_path):
+    import numpy as np
+
+    from cropline.llm.common import map_array, put_array
+
+    for _ in range(2):
+        put_array(f"file://{tmp_path}/part/a.npy", np.arange(5))
+    assert [f.name for f in (tmp_path / "part").iterdir()] == ["a.npy"]
+    assert map_array(f"file://{tmp_path}/part/a.npy").tolist() == list(range(5))
