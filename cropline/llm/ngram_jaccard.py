@@ -16,7 +16,8 @@ A document's set is its distinct five-word shingles (all its words as one where
    these pairs are counted over the whole sets, and links make classes. Groups of near copies end in one class here with
    one pair per row.
 5. Turns: in each column of many classes every class meets some rows of the largest one there, other ones in each turn; for each class
-   the pair whose bitmaps differ least is counted over the whole sets, and links merge classes. Turns end where few link.
+   the pair whose bitmaps differ least is counted over the whole sets, and links merge classes. Turns end where few link, as
+   a turn passes over all crowded columns again; what is not merged then is left to the second product.
 6. The second product takes only columns whose rows are in several classes, and only pairs of different classes whose
    sizes, places in the order and bitmaps (4,096 bits; two sets differ in a shingle at least for each differing bit) leave
    enough overlap possible; from the smaller set n - ceil(n * 2p / (100 + p)) + 1 columns are enough. These are counted
@@ -54,8 +55,8 @@ BITMAP = 64
 CROWD = 16
 #: Rows of the largest class of a column that each other class meets in a turn.
 TRIES = 4
-#: Turns of class partners end where fewer than one in ENOUGH of them links.
-ENOUGH = 3
+#: Turns of class partners end where fewer than one in ENOUGH of them links, or fewer than FEW and than one for each SHARE crowded rows.
+ENOUGH, FEW, SHARE = 3, 32, 100
 #: Columns before an entry that are looked at to find a pair once, not at every column that it shares.
 BEFORE = 8
 
@@ -300,7 +301,7 @@ def judge_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sizes = members.select(F.col("s1").alias("row"), F.col("n_shingles").alias("size"), "bits")
     crowded = entries.groupBy("col").agg(F.count("*").alias("rows")).filter(F.col("rows") > CROWD).select("col")
     crowded = stored(entries.select("col", "row").join(crowded, "col", "left_semi"), "crowded-entries")
-    turn = 0
+    few, turn = min(FEW, crowded.agg(F.countDistinct("row")).first()[0] / SHARE), 0
     while True:
         placed = crowded.join(classes, "row", "left").withColumn("class", F.coalesce("class", "row"))
         partners = class_partners(placed, turn).join(sizes.toDF("a", "na", "ba"), "a").join(sizes.toDF("b", "nb", "bb"), "b").filter(near_bits)
@@ -310,7 +311,7 @@ def judge_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         links, turn, n_found = links.union(found), turn + 1, found.count()
         if n_found:
             classes = components(links).toDF("row", "class")
-        if ENOUGH * n_found <= nearest.count():
+        if n_found < few or ENOUGH * n_found <= nearest.count():
             break
     placed = stored(entries.drop("one", "columns").join(classes, "row", "left").withColumn("class", F.coalesce("class", "row")), "entry-classes")
     mixed_columns = placed.groupBy("col").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("col")

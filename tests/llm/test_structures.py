@@ -335,3 +335,28 @@ def test_a_repeated_attempt_leaves_one_array_file(tmp_path):
         put_array(f"file://{tmp_path}/part/a.npy", np.arange(5))
     assert [f.name for f in (tmp_path / "part").iterdir()] == ["a.npy"]
     assert map_array(f"file://{tmp_path}/part/a.npy").tolist() == list(range(5))
+
+
+def test_turns_end_where_few_link(spark, monkeypatch):
+    draw, base, texts = random.Random(7), [f"word{k}" for k in range(200)], []
+    for _ in range(120):
+        words = list(base)
+        for place in draw.sample(range(200), draw.randint(1, 4)):
+            words[place] = f"x{draw.randrange(10 ** 9)}"
+        texts.append(" ".join(words))
+    docs = documents(spark, list(enumerate(texts)))
+    turns, partners = [], ngram_jaccard.class_partners
+    monkeypatch.setattr(ngram_jaccard, "SHARE", 1, raising=False)
+    monkeypatch.setattr(ngram_jaccard, "TRIES", 1)
+    monkeypatch.setattr(ngram_jaccard, "class_partners", lambda placed, turn: turns.append(turn) or partners(placed, turn))
+    got = {r.doc_id: r.component_id for r in ngram_jaccard.judge_documents(docs).collect()}
+    sets = [{" ".join(t.split()[k:k + 5]) for k in range(196)} for t in texts]
+    label = list(range(120))
+    for a in range(120):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both) and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    assert got == dict(enumerate(label))
+    assert turns == [0, 1]  # the second one links a few, and a third would pass over all columns for them
