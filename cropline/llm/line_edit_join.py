@@ -15,8 +15,10 @@ a letter or digit stay there), ``edits`` from ``min_chars`` on, and one for each
 ``EDIT_EVERY`` code points have a run of 30 code points in common. Of each run the smallest hash of its windows of ``GRAM``
 is a mark of the line, so both lines have it. Tasks send marks with 32-bit tags of their lines in packed blocks, and write
 the marks that lines of two tags have as sorted arrays that workers map; only these become rows (a false mark adds a pair
-to verify; two lines of one tag are taken for one, one time in 2^32). A pair of lines of like length meets at a common mark
-unless both have the same live mark before it, and is then verified by its edit distance. This part alone is in Arrow.
+to verify; two lines of one tag are taken for one, one time in 2^32), and of these only as many of a line, rarest first, as
+near lines can't miss: lines that have no more than a short passage in common don't meet. A pair of lines of like length meets
+at a common mark unless both have the same such mark before it, and is then verified by its edit distance. This part alone
+is in Arrow.
 
 Defined cases: null texts have no lines; lines shorter than ``min_chars`` are in no class and always stay; a null document
 id comes before all others; rows with the same id and text are one document, whose copies keep the same lines; an empty
@@ -45,6 +47,8 @@ BROADCAST_KEYS = 1_000_000
 EDIT_EVERY, LONG_FROM, LONG_TO = 40, 120, 4000
 #: Code points of a hashed window, and windows of a run: any line of LONG_FROM has GRAM + RUN - 1 code points between its edits.
 GRAM, RUN = 16, 15
+#: Characters that are counted before long lines are compared; all others are counted together.
+COUNTED = " abcdefghiklmnoprstuvwy"
 #: Marks of a block, whose lines are counted in one task, and marks that a counting task holds before it sends them.
 MARKS_PER_BLOCK = HELD_MARKS = 2_000_000
 #: Lines of one key that a task compares with the key's index rows.
@@ -161,8 +165,8 @@ def lines_of(docs: DataFrame, min_chars: int, doc_id: str = "doc_id", text: str
         F.length("line") >= min_chars).withColumn("line_key", F.xxhash64("line"))
 
 
-def mark_runs(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(mark, number of its line) in text order: the smallest hash of each ``RUN`` neighbouring windows of ``GRAM`` code points."""
+def covered_runs(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mark, number of its line, runs that it covers) in text order: the smallest hash of each ``RUN`` neighbouring windows."""
     sizes = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
     h = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     owner = np.repeat(np.arange(len(lines)), sizes)
@@ -176,9 +180,39 @@ def mark_runs(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     low = np.minimum(low[:len(low) - (RUN - size)], low[RUN - size:])
     n = max(0, len(owner) - (GRAM + RUN - 2))
     low, first, last = low[:n], owner[:n], owner[len(owner) - n:]
-    new = first == last
-    new[1:] &= (low[1:] != low[:-1]) | ~new[:-1] | (first[1:] != first[:-1])
-    return low[new], first[new]
+    inside = first == last
+    new = inside.copy()
+    new[1:] &= (low[1:] != low[:-1]) | ~inside[:-1] | (first[1:] != first[:-1])
+    return low[new], first[new], np.bincount(np.cumsum(new[inside]) - 1, minlength=int(new.sum()))
+
+
+def mark_runs(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(mark, number of its line) in text order."""
+    return covered_runs(lines)[:2]
+
+
+def needed(marks: np.ndarray, owner: np.ndarray, covers: np.ndarray, counts: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """The places, in text order, of those live marks of each line of which a near line has one, each mark of a line once.
+
+    An edit is in GRAM + RUN - 1 runs at most, so two near lines of which one has n code points have runs in common, at
+    least n * 10 / 41 less 29 of them (the shorter one has 40 / 41 of the longer one's length). Marks are ordered by the number
+    of their lines; those at the end that cover fewer runs together than that can't be all that two lines have in common.
+    """
+    run = GRAM + RUN - 1
+    grown = EDIT_EVERY + 1  # as many code points of the longer line stand for EDIT_EVERY of the shorter one
+    least = np.maximum(1, -(((run - 1) * grown - (EDIT_EVERY - run) * chars.astype(np.int64)) // grown))
+    order = np.lexsort((np.arange(len(marks)), marks, owner))
+    if not len(order):
+        return order
+    m, o = marks[order], owner[order]
+    new = np.concatenate([[True], (m[1:] != m[:-1]) | (o[1:] != o[:-1])])
+    places, total = order[new], np.add.reduceat(covers[order], np.flatnonzero(new))
+    ranked = np.lexsort((marks[places], counts[places], owner[places]))
+    places, total = places[ranked], total[ranked]
+    after = np.cumsum(total[::-1])[::-1]  # runs of this mark and all after it, lines that follow included
+    ends = np.searchsorted(owner[places], np.arange(len(chars)), side="right")
+    after = after - np.concatenate([after, [0]])[ends[owner[places]]]
+    return np.sort(places[after >= least[owner[places]]])
 
 
 def mark_counter(bits: int):
@@ -187,11 +221,11 @@ def mark_counter(bits: int):
         block, pairs = np.concatenate(blocks), np.concatenate(held)
         order = np.lexsort((pairs, block))
         block, pairs = block[order], pairs[order]
+        once = np.concatenate([[True], (block[1:] != block[:-1]) | (pairs[1:] != pairs[:-1])])  # a line may have a mark twice
+        block, pairs = block[once], pairs[once]
         key = pairs >> np.uint64(32)
         change = (block[1:] != block[:-1]) | (key[1:] != key[:-1])
-        least, most = np.concatenate([[True], change]), np.concatenate([change, [True]])
-        again = np.concatenate([[False], ~change & (pairs[1:] == pairs[:-1])])
-        keep = least | (most & ~again)
+        keep = np.concatenate([[True], change]) | np.concatenate([change, [True]])
         block, pairs = block[keep], pairs[keep]
         starts = np.searchsorted(block, np.arange((1 << bits) + 1))
         for b in np.unique(block).tolist():
@@ -217,7 +251,7 @@ def mark_counter(bits: int):
 
 
 def mark_writer(folder: str):
-    """The marks of each block that different lines have, as one sorted array."""
+    """The marks of each block that different lines have, as one sorted array, and beside it the number of tags sent for each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs: dict[int, list[bytes]] = {}
         for batch in batches:
@@ -226,40 +260,41 @@ def mark_writer(folder: str):
         for b in sorted(blobs):
             pairs = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in blobs.pop(b)]))
             key = (pairs >> np.uint64(32)).astype(np.uint32)
-            live = np.unique(key[1:][key[1:] == key[:-1]])
+            live, lines = np.unique(key, return_counts=True)
+            live, lines = live[lines > 1], lines[lines > 1]
             put_array(f"{folder}/marks-{b}.npy", live)
+            put_array(f"{folder}/counts-{b}.npy", np.minimum(lines, 65535).astype(np.uint16))
             yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "live": pa.array([len(live)], pa.int64())})
 
     return run
 
 
 def live_marks(folder: str, bits: int):
-    """(line, length, mark, the live mark before it) of all live marks of each line, each mark of a line once."""
+    """(line, length, mark, the mark before it) of the ``needed`` live marks of each line."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened: dict[int, np.ndarray] = {}
+        opened: dict[int, tuple] = {}
         for batch in text_chunks(batches, "line"):
             keys = batch.column("line_key").to_numpy()
             once = np.unique(keys, return_index=True)[1]
             batch = batch.take(pa.array(once))
             keys = keys[once]
-            marks, owner = mark_runs(texts_of(batch))
+            marks, owner, covers = covered_runs(texts_of(batch))
             block, key = block_and_key(marks, bits)
-            live = np.zeros(len(marks), dtype=bool)
+            counts = np.zeros(len(marks), dtype=np.int64)  # 0: a mark of one line
             order = np.argsort(block, kind="stable")
             starts = np.searchsorted(block[order], np.arange((1 << bits) + 1))
             for b in np.unique(block).tolist():
                 rows = order[starts[b]:starts[b + 1]]
                 if b not in opened:
-                    opened[b] = map_array(f"{folder}/marks-{b}.npy")
-                if len(opened[b]):
-                    at = np.minimum(np.searchsorted(opened[b], key[rows]), len(opened[b]) - 1)
-                    live[rows] = np.asarray(opened[b][at]) == key[rows]
-            marks, owner = marks[live], owner[live]
-            order = np.lexsort((np.arange(len(marks)), marks, owner))
-            again = np.zeros(len(marks), dtype=bool)
-            m, o = marks[order], owner[order]
-            again[order[1:]] = (m[1:] == m[:-1]) & (o[1:] == o[:-1])
-            marks, owner = marks[~again], owner[~again]
+                    opened[b] = map_array(f"{folder}/marks-{b}.npy"), map_array(f"{folder}/counts-{b}.npy")
+                table, lines = opened[b]
+                if len(table):
+                    at = np.minimum(np.searchsorted(table, key[rows]), len(table) - 1)
+                    hit = np.asarray(table[at]) == key[rows]
+                    counts[rows[hit]] = np.asarray(lines[at[hit]])
+            live = np.flatnonzero(counts)
+            use = live[needed(marks[live], owner[live], covers[live], counts[live], batch.column("chars").to_numpy())]
+            marks, owner = marks[use], owner[use]
             alone = np.ones(len(marks), dtype=bool)
             alone[1:] = owner[1:] != owner[:-1]
             before = np.concatenate([marks[:1], marks[:-1]]).view(np.int64)
@@ -274,6 +309,13 @@ def texts_of(batch: pa.RecordBatch) -> list[str]:
     return [x.decode("utf-8", "replace") for x in batch.column("line").cast(pa.binary()).to_pylist()]
 
 
+def character_counts(line: Column) -> Column:
+    """How often each character of ``COUNTED`` and how many others are in a line of at most ``LONG_TO`` + a few code points."""
+    some = [F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))) for c in COUNTED]
+    others = F.length(F.translate(line, COUNTED, ""))
+    return F.array(*[c.cast("short") for c in (*some, others)])
+
+
 def long_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Pairs (a, b) of keys of different long lines within one edit for each ``EDIT_EVERY`` code points of the shorter one."""
     sized = lambda df: F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
@@ -306,10 +348,13 @@ def long_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         index["salt"] == probes["salt"]) & alike & first).select("a", "b").distinct(), "long-pairs")
     wanted = pairs.select(F.col("a").alias("line_key")).union(pairs.select("b")).distinct()
     bodies = stored(lines.select("line_key", "line").join(sized(stored(wanted, "wanted-lines")), "line_key", "left_semi").groupBy(
-        "line_key").agg(F.first("line").alias("line")), "long-lines")
-    texts = lambda key, line: bodies.select(F.col("line_key").alias(key), F.col("line").alias(line))
-    apart = F.call_function("levenshtein", F.col("shorter"), F.col("longer"), allowed(F.length("shorter")))
-    return stored(pairs.join(texts("a", "shorter"), "a").join(texts("b", "longer"), "b").select(
+        "line_key").agg(F.first("line").alias("line")).withColumn("counts", character_counts(F.col("line"))), "long-lines")
+    texts = lambda key, line, counts: bodies.toDF(key, line, counts)
+    most = allowed(F.length("shorter"))
+    moved = sum((F.abs(F.get("shorter_counts", F.lit(i)) - F.get("longer_counts", F.lit(i))) for i in range(len(COUNTED) + 1)), F.lit(0))
+    # An exchanged character changes two counts by one, an added or lost one changes one.
+    apart = F.when(moved <= 2 * most, F.call_function("levenshtein", F.col("shorter"), F.col("longer"), most))
+    return stored(pairs.join(texts("a", "shorter", "shorter_counts"), "a").join(texts("b", "longer", "longer_counts"), "b").select(
         "a", "b", apart.alias("distance")).filter("distance >= 0"), "long-links")
 
 

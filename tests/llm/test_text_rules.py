@@ -284,6 +284,38 @@ def test_marks_in_blocks_and_shares(spark, monkeypatch):
     assert got == {frozenset((keys[a], keys[b])): d for (a, b), d in want.items()} and want
 
 
+def test_long_lines_that_repeat_themselves(spark):
+    import random
+
+    rng, lines = random.Random(3), []
+    for _ in range(4):
+        base = "".join(rng.choice("abcdefghij") for _ in range(100))
+        lines += [base * 3, (base[:50] + "x" + base[51:]) * 3]  # each mark at least twice in both
+    links = line_edit_join.long_links(documents(spark, [(0, "\n".join(lines))])).collect()
+    keys = [r.k for r in spark.createDataFrame([(x,) for x in lines], "line string").select(F.xxhash64("line").alias("k")).collect()]
+    assert {frozenset((r.a, r.b)): r.distance for r in links} == {frozenset(keys[i:i + 2]): 3 for i in range(0, 8, 2)}
+
+
+def test_lines_with_a_passage_in_common_do_not_meet(spark, monkeypatch):
+    import random
+
+    rng, seen, plain = random.Random(4), {}, line_edit_join.stored
+    text = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n)).replace("  ", "ab")
+    passage = text(60)
+    lines = ["x" + text(250) + passage + text(250) + "y" for _ in range(30)]
+    near = lines[0][:80] + "z" * 9 + lines[0][89:]
+    far = lines[1][:80] + "z" * 40 + lines[1][120:]
+
+    def kept(df, name):
+        seen[name] = plain(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(line_edit_join, "stored", kept)
+    links = line_edit_join.long_links(documents(spark, list(enumerate([*lines, near, far])))).collect()
+    assert [r.distance for r in links] == [distance(lines[0], near)]
+    assert seen["long-pairs"].count() == 2  # not the 465 pairs that share the passage
+
+
 def test_marks_of_a_line_are_least_hashes_of_runs():
     import numpy as np
 
