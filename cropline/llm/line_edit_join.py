@@ -28,11 +28,11 @@ table gives no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cropline.llm.common import (
@@ -47,6 +47,16 @@ BROADCAST_KEYS = 1_000_000
 EDIT_EVERY, LONG_FROM, LONG_TO = 40, 120, 4000
 #: Code points of a hashed window, and windows of a run: any line of LONG_FROM has GRAM + RUN - 1 code points between its edits.
 GRAM, RUN = 16, 15
+#: Window starts of which one is a mark: a run of GRAM + REACH code points is in both of two near lines.
+REACH = RUN - 1
+#: Orders of lines of equal length in a turn over the marks; a mark has one of them.
+TRIES = 8
+#: Lines of a mark up to which pairs are listed before they are compared.
+CROWD = 64
+#: Marks before an entry that are looked at to list a pair once, not at every mark that it shares.
+BEFORE = 8
+#: Turns over the marks end where fewer new links come out than one for each SHARE lines that are still in several classes.
+SHARE = 50
 #: Characters that are counted before long lines are compared; all others are counted together.
 COUNTED = " abcdefghiklmnoprstuvwy"
 #: Marks of a block, whose lines are counted in one task, and marks that a counting task holds before it sends them.
@@ -351,18 +361,147 @@ def long_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         "line_key").agg(F.first("line").alias("line")).withColumn("counts", character_counts(F.col("line"))), "long-lines")
     texts = lambda key, line, counts: bodies.toDF(key, line, counts)
     most = allowed(F.length("shorter"))
-    moved = sum((F.abs(F.get("shorter_counts", F.lit(i)) - F.get("longer_counts", F.lit(i))) for i in range(len(COUNTED) + 1)), F.lit(0))
-    # An exchanged character changes two counts by one, an added or lost one changes one.
-    apart = F.when(moved <= 2 * most, F.call_function("levenshtein", F.col("shorter"), F.col("longer"), most))
+    apart = F.when(alike_counts("shorter_counts", "longer_counts", most), F.call_function("levenshtein", F.col("shorter"), F.col("longer"), most))
     return stored(pairs.join(texts("a", "shorter", "shorter_counts"), "a").join(texts("b", "longer", "longer_counts"), "b").select(
         "a", "b", apart.alias("distance")).filter("distance >= 0"), "long-links")
 
 
+def spaced_marks(line: Column) -> Column:
+    """Hashes of the windows after the spaces of a line of which one is the smallest in a reach of ``REACH`` code points.
+
+    A window is left out where the nearest smaller ones of the two before and the two after it leave no reach without them.
+    """
+    windows = F.regexp_extract_all(line, F.lit(f"(?s)(?<= )(?=(.{{{GRAM}}}))"), F.lit(1))
+    # With each hash the distance to the next space, where it is near.
+    hashed = F.transform(windows, lambda x: F.struct(F.xxhash64(x).alias("h"), F.nullif(F.instr(x, " "), F.lit(0)).alias("d")))
+
+    def chosen(w: Column) -> Column:
+        def stays(x: Column, i: Column) -> Column:
+            at = lambda k: F.get(w, i + k)
+            left = F.when(at(-1)["h"] < x["h"], at(-1)["d"]).when(at(-2)["h"] < x["h"], at(-1)["d"] + at(-2)["d"])
+            right = F.when(at(1)["h"] < x["h"], x["d"]).when(at(2)["h"] < x["h"], x["d"] + at(1)["d"])
+            return F.coalesce(left + right > REACH, F.lit(True))
+
+        return F.transform(F.filter(w, stays), lambda x: x["h"])
+
+    return F.get(F.transform(F.array(hashed), chosen), F.lit(0))
+
+
+def unspaced_marks(line: Column) -> Column:
+    """Of each ``REACH`` code points without a space the smallest hash of the windows after them."""
+    pieces = F.regexp_extract_all(line, F.lit(f"(?s)(?:^|(?<= ))(?=([^ ]{{{REACH},}}.{{0,{GRAM}}}))"), F.lit(1))
+    windows = lambda x: F.transform(F.regexp_extract_all(
+        x, F.lit(f"(?s)(?<=.)(?=(.{{{GRAM}}}))"), F.lit(1)), lambda y: F.xxhash64(y))
+    # A shorter piece is at the line's end, where no whole run is left.
+    least = lambda w: F.when(F.size(w) >= REACH, F.transform(
+        F.sequence(F.lit(1), F.size(w) - (REACH - 1)), lambda i: F.array_min(F.slice(w, i, REACH)))).otherwise(F.array().cast("array<long>"))
+    # Neighbours mostly have the same one; it stays at the first and at each REACH-th, so that it counts for REACH runs at most.
+    once = lambda w: F.filter(w, lambda x, i: (i % REACH == 0) | (x != F.get(w, i - 1)))
+    found = F.flatten(F.transform(F.transform(F.transform(pieces, windows), least), once))
+    return F.when(F.rlike(line, F.lit(f"[^ ]{{{REACH}}}")), found).otherwise(F.array().cast("array<long>"))
+
+
+def alike_counts(a: str, b: str, most: Column) -> Column:
+    """Whether two lines can be within ``most`` edits by their ``character_counts``."""
+    # Over the array and not column by column: code for each of them makes a method too long to be compiled.
+    moved = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda n, x: n + x)
+    return moved <= 2 * most  # an exchanged character changes two counts by one, an added or lost one changes one
+
+
+def long_marks(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(mark, line_key, chars, n) of the marks at which long lines meet, n rows in all, and (line_key, line, chars, counts) of these lines."""
+    marks = lines.select("line_key", F.explode(F.concat(spaced_marks(F.col("line")), unspaced_marks(F.col("line")))).alias("mark"))
+    marks = marks.repartition("mark")
+    shared = marks.groupBy("mark").agg(F.min("line_key").alias("low"), F.max("line_key").alias("high"), F.count("*").alias("n")).filter(
+        "low < high").select("mark", "n")
+    live = stored(marks.join(shared.hint("shuffle_hash"), "mark").groupBy("mark", "line_key").agg(
+        F.first("n").alias("n"), F.count("*").alias("times")), "live-marks")
+    wanted = stored(live.select("line_key").distinct(), "marked-lines")
+    bodies = stored(lines.join(wanted.hint("shuffle_hash"), "line_key", "left_semi").groupBy("line_key").agg(F.first("line").alias("line")).select(
+        "line_key", "line", F.length("line").alias("chars"), character_counts(F.col("line")).alias("counts")), "long-lines")
+    # An edit is in GRAM + REACH runs at most, and a mark is in REACH runs at each of its places. From the most common mark
+    # of a line on, those that are in fewer runs together than near lines have in common can't be all that they share.
+    run, grown = GRAM + REACH, EDIT_EVERY + 1
+    least = F.greatest(F.lit(1), F.ceil(((EDIT_EVERY - run) * F.col("chars") - (run - 1) * grown) / grown))
+    commonest = Window.partitionBy("line_key").orderBy(F.desc("n"), "mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    needed = live.join(bodies.select("line_key", "chars"), "line_key").withColumn("runs", REACH * F.sum("times").over(commonest)).filter(
+        F.col("runs") >= least)
+    return stored(needed.select("mark", "line_key", "chars", "n"), "needed-marks"), bodies
+
+
+def long_class_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Links (a, b, distance) of long lines, enough to join all that ``long_links`` joins, though not all pairs.
+
+    In turns the lines of each mark are put in order of their lengths, in another order of equal ones each turn, and each
+    meets the one before it, if that is in another class yet. The marks that still have several classes are then gone
+    through in full: all pairs of lines of different classes there are compared.
+    """
+    allowed = lambda chars: F.floor(chars / EDIT_EVERY).cast("int")
+    every = lines_of(docs, LONG_FROM, doc_id, text).filter(F.length("line") <= LONG_TO + LONG_TO // EDIT_EVERY)
+    marks, bodies = long_marks(every.select("line_key", "line"))
+    alike = lambda a, b: (F.col(a) < LONG_TO) & (F.col(b) - F.col(a) <= allowed(F.col(a)))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        sides = pairs.join(bodies.select(F.col("line_key").alias("a"), F.col("line").alias("shorter")), "a").join(
+            bodies.select(F.col("line_key").alias("b"), F.col("line").alias("longer")), "b")
+        apart = F.call_function("levenshtein", F.col("shorter"), F.col("longer"), allowed(F.length("shorter")))
+        return stored(sides.select("a", "b", apart.alias("distance")).filter("distance >= 0"), "class-links")
+
+    links = classes = None
+    turn = 0
+    while True:
+        placed = marks.withColumn("class", F.col("line_key")) if classes is None else marks.join(
+            classes, "line_key", "left").withColumn("class", F.coalesce("class", "line_key"))
+        several = placed.groupBy("mark").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("mark")
+        marks_left = stored(placed.join(several, "mark", "left_semi"), "open-marks")
+        if links is not None and (n_found == 0 or SHARE * n_found < marks_left.select("line_key").distinct().count()):
+            break
+        order = Window.partitionBy("mark").orderBy("chars", F.xxhash64("line_key", F.pmod("mark", F.lit(TRIES)), F.lit(turn)))
+        met = marks_left.select("mark", F.col("line_key").alias("b"), F.col("chars").alias("b_chars"), F.col("class").alias("b_class"), *[
+            F.lag(x).over(order).alias(y) for x, y in (("line_key", "a"), ("chars", "a_chars"), ("class", "a_class"))])
+        met = met.filter((F.col("a_class") != F.col("b_class")) & alike("a_chars", "b_chars")).select("a", "b").distinct()
+        sides = met.join(bodies.select(F.col("line_key").alias("a"), F.col("chars").alias("a_chars"), F.col("counts").alias("a_counts")), "a").join(
+            bodies.select(F.col("line_key").alias("b"), F.col("counts").alias("b_counts")), "b")
+        found = compared(stored(sides.filter(alike_counts("a_counts", "b_counts", allowed(F.col("a_chars")))).select("a", "b"), "class-pairs"))
+        links, turn, n_found = found if links is None else links.unionByName(found), turn + 1, found.count()
+        classes = components(links).toDF("line_key", "class")
+    # Each entry knows the marks that its line has just before it, rarest first.
+    rarer = Window.partitionBy("line_key").orderBy("n", F.desc("mark")).rowsBetween(-BEFORE, -1)
+    rows = marks_left.join(bodies.select("line_key", "counts"), "line_key").withColumn("before", F.collect_list("mark").over(rarer))
+    crowds = marks_left.groupBy("mark").agg(F.count("*").alias("rows")).select(
+        "mark", (F.col("rows") > CROWD).alias("crowded"), F.ceil(F.col("rows") / SPLIT).cast("int").alias("salts"))
+    rows = stored(rows.join(crowds, "mark"), "open-entries")
+
+    # Two lines whose lengths differ by a fortieth or less are in one step of lengths or in two that follow each other.
+    step = F.floor(F.log(F.col("chars").cast("double")) / F.log(F.lit(1.026))).cast("int")
+    key, parts = ("mark", "step", "salt"), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def met(entries: DataFrame, *more: str) -> DataFrame:
+        """Pairs of lines of different classes that can be near, each at the rarest mark that both have."""
+        named = lambda x: [F.col("line_key").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("chars", "class", "counts", "before", *more)]]
+        index = entries.select("mark", step.alias("step"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *named("a"))
+        probes = entries.select("mark", F.explode(F.array(step, step - 1)).alias("step"), F.pmod("line_key", "salts").cast("int").alias("salt"), *named("b"))
+        # Comparing takes longer than the size of a task's rows shows, so partitions are not to be merged.
+        index, probes = index.repartition(parts, *key), probes.repartition(parts, *key)
+        near = (F.col("a_class") != F.col("b_class")) & alike("a_chars", "b_chars") & (
+            (F.col("a_chars") < F.col("b_chars")) | ((F.col("a_chars") == F.col("b_chars")) & (F.col("a") < F.col("b")))) & (
+            ~F.arrays_overlap("a_before", "b_before")) & alike_counts("a_counts", "b_counts", allowed(F.col("a_chars")))
+        if more:
+            near = near & (F.call_function("levenshtein", F.col("a_line"), F.col("b_line"), allowed(F.col("a_chars"))) >= 0)
+        return index.join(probes, (index["mark"] == probes["mark"]) & (index["step"] == probes["step"]) & (index["salt"] == probes["salt"]) & near
+                          ).select("a", "b").distinct()
+
+    # In marks of many lines only links come out of the join; elsewhere pairs do, at most CROWD for each entry.
+    texts = rows.filter("crowded").join(bodies.select("line_key", "line"), "line_key")
+    rest = compared(stored(met(rows.filter("not crowded")).union(met(texts, "line")).distinct(), "long-pairs"))
+    return links.unionByName(rest)
+
+
 def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text",
-               by_length: bool = False) -> DataFrame:
+               by_length: bool = False, long_pairs: Callable[..., DataFrame] = long_links) -> DataFrame:
     """Pairs (a, b) of keys of different lines within ``edits`` edits, each pair once, with their distance.
 
-    With ``by_length``, pairs whose shorter line is long are those of ``long_links``.
+    With ``by_length``, pairs whose shorter line is long are those of ``long_pairs``.
     """
     if not 0 < edits < min(min_chars, 15):
         raise ValueError("edits must be positive, less than min_chars and at most 14 (a band's word is an int)")
@@ -400,16 +539,17 @@ def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
         banded_distance(F.col("longer"), F.col("shorter"), edits) <= edits)
     pairs = index.join(probes, (index["key"] == probes["key"]) & (index["salt"] == probes["salt"]) & near)
     links = stored(pairs.select("a", "b", banded_distance(F.col("longer"), F.col("shorter"), edits).alias("distance")), "line-links")
-    return links.unionByName(long_links(docs, doc_id, text)) if by_length else links
+    return links.unionByName(long_pairs(docs, doc_id, text)) if by_length else links
 
 
 def judge_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text",
                 by_length: bool = False) -> DataFrame:
     """One row per line of at least ``min_chars``: its class's first line, its number of linked lines, whether it goes.
 
-    With ``by_length`` shorter lines with a letter or digit have a row too.
+    With ``by_length`` shorter lines with a letter or digit have a row too, and of long lines those links are counted that
+    make the classes, not all pairs inside a class.
     """
-    links = line_links(docs, edits, min_chars, doc_id, text, by_length)
+    links = line_links(docs, edits, min_chars, doc_id, text, by_length, long_class_links)
     labels = components(links)
     degrees = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     linked = labels.join(degrees, "node").select(F.col("node").alias("line_key"), "label", "n_links")

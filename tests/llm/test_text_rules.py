@@ -316,6 +316,67 @@ def test_lines_with_a_passage_in_common_do_not_meet(spark, monkeypatch):
     assert seen["long-pairs"].count() == 2  # not the 465 pairs that share the passage
 
 
+def test_classes_of_long_lines_without_all_pairs(spark, monkeypatch):
+    import random
+
+    rng, lines = random.Random(11), []
+    for letters in ("abcdefgh     ", "abcdefghijkl", "\u00e9\U0001F600xyz  ", "abcdefghij "):  # words, none, astral, long words
+        for n in (120, 159, 200, 330, 480):
+            base = [rng.choice(letters) for _ in range(n)]
+            base[0] = base[-1] = "x"
+            for _ in range(8):
+                copy = list(base)
+                for i in rng.sample(range(1, n - 1), rng.randint(0, n // 30)):
+                    copy[i] = rng.choice(["", "q", copy[i] + " ", "q q"])
+                lines.append("".join(copy))
+    lines = sorted({x for x in lines if len(x) >= 120}) + ["ab " * 60 + "x", "ab " * 59 + "ac x", "z" * 300, "z" * 306]
+    docs = documents(spark, list(enumerate(lines + lines[:5] + ["", None])))
+    keys = {r.line: r.k for r in docs.selectExpr("text line", "xxhash64(text) k").collect()}
+    limit = lambda a, b: min(len(a), len(b)) // 40
+    want = {frozenset((keys[a], keys[b])) for a, b in combinations(lines, 2)
+            if abs(len(a) - len(b)) <= limit(a, b) and distance(a, b) <= limit(a, b)}
+
+    def classes(pairs):
+        parent = {}
+        find = lambda x: x if parent.get(x, x) == x else find(parent[x])
+        for a, b in map(tuple, pairs):
+            parent[find(a)] = find(b)
+        found = defaultdict(set)
+        for x in {x for p in pairs for x in p}:
+            found[find(x)].add(x)
+        return sorted(map(sorted, found.values()))
+
+    for crowd, split in ((64, 500), (2, 5)):
+        monkeypatch.setattr(line_edit_join, "CROWD", crowd)
+        monkeypatch.setattr(line_edit_join, "SPLIT", split)
+        got = [frozenset((r.a, r.b)) for r in line_edit_join.long_class_links(docs).collect()]
+        assert set(got) <= want and classes(got) == classes(want) and len(want) > 40
+
+
+def test_pairs_of_a_large_group_are_not_listed(spark, monkeypatch):
+    import random
+
+    rng, seen, plain = random.Random(12), Counter(), line_edit_join.stored
+    base = [rng.choice("abcdefgh  ") for _ in range(300)]
+    base[0] = base[-1] = "x"
+    lines = set()
+    while len(lines) < 120:
+        copy = list(base)
+        for i in rng.sample(range(1, 299), 3):
+            copy[i] = rng.choice("klmnop")
+        lines.add("".join(copy))
+
+    def kept(df, name):
+        out = plain(df, name)
+        seen[name] += out.count()
+        return out
+
+    monkeypatch.setattr(line_edit_join, "stored", kept)
+    judged = line_edit_join.judge_lines(documents(spark, list(enumerate(sorted(lines)))), by_length=True)
+    assert judged.filter("removed").count() == 119  # 7,140 pairs are near
+    assert seen["class-pairs"] + seen["long-pairs"] <= 120 * 2 * line_edit_join.TRIES
+
+
 def test_marks_of_a_line_are_least_hashes_of_runs():
     import numpy as np
 
