@@ -17,8 +17,11 @@ is a mark of the line, so both lines have it. Tasks send marks with 32-bit tags
 the marks that lines of two tags have as sorted arrays that workers map; only these become rows (a false mark adds a pair
 to verify; two lines of one tag are taken for one, one time in 2^32), and of these only as many of a line, rarest first, as
 near lines can't miss: lines that have no more than a short passage in common don't meet. A pair of lines of like length meets
-at a common mark unless both have the same such mark before it, and is then verified by its edit distance. This part alone
-is in Arrow.
+at a common mark unless both have the same such mark before it, and is then verified by its edit distance. This listing of
+all pairs (``long_links``) alone is in Arrow.
+
+``judge_lines`` needs classes, not pairs: ``long_class_links`` makes marks by expressions and compares lines of different
+classes only. Its windows of ``GRAM`` begin after a space; where ``REACH`` code points have no space they begin anywhere.
 
 Defined cases: null texts have no lines; lines shorter than ``min_chars`` are in no class and always stay; a null document
 id comes before all others; rows with the same id and text are one document, whose copies keep the same lines; an empty
@@ -55,8 +58,8 @@ TRIES = 8
 CROWD = 64
 #: Marks before an entry that are looked at to list a pair once, not at every mark that it shares.
 BEFORE = 8
-#: Turns over the marks end where fewer new links come out than one for each SHARE lines that are still in several classes.
-SHARE = 50
+#: Turns over the marks end where fewer new links come out than one for each SHARE lines of marks of several classes.
+SHARE = 10
 #: Characters that are counted before long lines are compared; all others are counted together.
 COUNTED = " abcdefghiklmnoprstuvwy"
 #: Marks of a block, whose lines are counted in one task, and marks that a counting task holds before it sends them.
