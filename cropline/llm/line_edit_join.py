@@ -21,7 +21,9 @@ at a common mark unless both have the same such mark before it, and is then veri
 all pairs (``long_links``) alone is in Arrow.
 
 ``judge_lines`` needs classes, not pairs: ``long_class_links`` makes marks by expressions and compares lines of different
-classes only. Its windows of ``GRAM`` begin after a space; where ``REACH`` code points have no space they begin anywhere.
+classes only. Its windows begin after a space; where ``REACH`` code points have no space they begin anywhere. Lines have marks
+by ``BANDS`` of length, with windows as long as the run allows that near lines of the band have in common at least (``GRAM`` code
+points in the first band, up to 25), so lines that share a short passage or are of other lengths don't meet.
 
 Defined cases: null texts have no lines; lines shorter than ``min_chars`` are in no class and always stay; a null document
 id comes before all others; rows with the same id and text are one document, whose copies keep the same lines; an empty
@@ -52,14 +54,16 @@ EDIT_EVERY, LONG_FROM, LONG_TO = 40, 120, 4000
 GRAM, RUN = 16, 15
 #: Window starts of which one is a mark: a run of GRAM + REACH code points is in both of two near lines.
 REACH = RUN - 1
+#: Lengths from which lines meet at marks of their own: two lines meet at marks of the shorter one's band.
+BANDS = (LONG_FROM, 140, 160, 180, 200, 220, 240, 280, 320, 400, 500, 625, 780, 975, 1220, 1525, 1900, 2400, 3000, LONG_TO)
 #: Orders of lines of equal length in a turn over the marks; a mark has one of them.
 TRIES = 8
 #: Lines of a mark up to which pairs are listed before they are compared.
 CROWD = 64
 #: Marks before an entry that are looked at to list a pair once, not at every mark that it shares.
 BEFORE = 8
-#: Turns over the marks end where fewer new links come out than one for each SHARE lines of marks of several classes.
-SHARE = 10
+#: As many of them are looked at in marks of few lines, where a pair that is listed twice costs less than longer rows.
+NEXT = 2
 #: Characters that are counted before long lines are compared; all others are counted together.
 COUNTED = " abcdefghiklmnoprstuvwy"
 #: Marks of a block, whose lines are counted in one task, and marks that a counting task holds before it sends them.
@@ -364,17 +368,33 @@ def long_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         "line_key").agg(F.first("line").alias("line")).withColumn("counts", character_counts(F.col("line"))), "long-lines")
     texts = lambda key, line, counts: bodies.toDF(key, line, counts)
     most = allowed(F.length("shorter"))
-    apart = F.when(alike_counts("shorter_counts", "longer_counts", most), F.call_function("levenshtein", F.col("shorter"), F.col("longer"), most))
+    longer_by = F.length("longer") - F.length("shorter")
+    apart = F.when(alike_counts("shorter_counts", "longer_counts", most, longer_by), F.call_function("levenshtein", F.col("shorter"), F.col("longer"), most))
     return stored(pairs.join(texts("a", "shorter", "shorter_counts"), "a").join(texts("b", "longer", "longer_counts"), "b").select(
         "a", "b", apart.alias("distance")).filter("distance >= 0"), "long-links")
 
 
-def spaced_marks(line: Column) -> Column:
+def common_run(band: int) -> int:
+    """Code points in one piece that a line of a band has in common with any line that is near and not shorter, at least."""
+    pieces = [(n, n // EDIT_EVERY + 1) for n in range(BANDS[band], BANDS[band + 1])]
+    return min(-((k - 1 - n) // k) for n, k in pieces)
+
+
+def bands_of(chars: Column) -> Column:
+    """(low, gram) of the bands whose marks a line has: its own one, and that of the shortest lines that can be near it."""
+    found = []
+    for band, (low, high) in enumerate(zip(BANDS, BANDS[1:])):
+        of = F.struct(F.lit(low).alias("low"), F.lit(common_run(band) - REACH).alias("gram"))
+        found.append(F.when((chars >= low) & (chars < high + high // EDIT_EVERY), of))
+    return F.array_compact(F.array(*found))
+
+
+def spaced_marks(line: Column, gram: Column) -> Column:
     """Hashes of the windows after the spaces of a line of which one is the smallest in a reach of ``REACH`` code points.
 
     A window is left out where the nearest smaller ones of the two before and the two after it leave no reach without them.
     """
-    windows = F.regexp_extract_all(line, F.lit(f"(?s)(?<= )(?=(.{{{GRAM}}}))"), F.lit(1))
+    windows = F.regexp_extract_all(line, F.concat(F.lit("(?s)(?<= )(?=(.{"), gram, F.lit("}))")), F.lit(1))
     # With each hash the distance to the next space, where it is near.
     hashed = F.transform(windows, lambda x: F.struct(F.xxhash64(x).alias("h"), F.nullif(F.instr(x, " "), F.lit(0)).alias("d")))
 
@@ -390,46 +410,40 @@ def spaced_marks(line: Column) -> Column:
     return F.get(F.transform(F.array(hashed), chosen), F.lit(0))
 
 
-def unspaced_marks(line: Column) -> Column:
+def unspaced_marks(line: Column, gram: Column) -> Column:
     """Of each ``REACH`` code points without a space the smallest hash of the windows after them."""
-    pieces = F.regexp_extract_all(line, F.lit(f"(?s)(?:^|(?<= ))(?=([^ ]{{{REACH},}}.{{0,{GRAM}}}))"), F.lit(1))
+    pieces = F.regexp_extract_all(line, F.concat(F.lit(f"(?s)(?:^|(?<= ))(?=([^ ]{{{REACH},}}.{{0,"), gram, F.lit("}))")), F.lit(1))
     windows = lambda x: F.transform(F.regexp_extract_all(
-        x, F.lit(f"(?s)(?<=.)(?=(.{{{GRAM}}}))"), F.lit(1)), lambda y: F.xxhash64(y))
+        x, F.concat(F.lit("(?s)(?<=.)(?=(.{"), gram, F.lit("}))")), F.lit(1)), lambda y: F.xxhash64(y))
     # A shorter piece is at the line's end, where no whole run is left.
     least = lambda w: F.when(F.size(w) >= REACH, F.transform(
         F.sequence(F.lit(1), F.size(w) - (REACH - 1)), lambda i: F.array_min(F.slice(w, i, REACH)))).otherwise(F.array().cast("array<long>"))
-    # Neighbours mostly have the same one; it stays at the first and at each REACH-th, so that it counts for REACH runs at most.
-    once = lambda w: F.filter(w, lambda x, i: (i % REACH == 0) | (x != F.get(w, i - 1)))
+    # Neighbours mostly have the same one; it stays where it is new.
+    once = lambda w: F.filter(w, lambda x, i: (i == 0) | (x != F.get(w, i - 1)))
     found = F.flatten(F.transform(F.transform(F.transform(pieces, windows), least), once))
     return F.when(F.rlike(line, F.lit(f"[^ ]{{{REACH}}}")), found).otherwise(F.array().cast("array<long>"))
 
 
-def alike_counts(a: str, b: str, most: Column) -> Column:
-    """Whether two lines can be within ``most`` edits by their ``character_counts``."""
+def alike_counts(a: str, b: str, most: Column, longer_by: Column) -> Column:
+    """Whether two lines whose lengths differ by ``longer_by`` can be within ``most`` edits by their ``character_counts``."""
     # Over the array and not column by column: code for each of them makes a method too long to be compiled.
     moved = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda n, x: n + x)
-    return moved <= 2 * most  # an exchanged character changes two counts by one, an added or lost one changes one
+    return moved + longer_by <= 2 * most  # an exchanged character changes two counts by one; one that only makes lengths differ changes one
 
 
 def long_marks(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(mark, line_key, chars, n) of the marks at which long lines meet, n rows in all, and (line_key, line, chars, counts) of these lines."""
-    marks = lines.select("line_key", F.explode(F.concat(spaced_marks(F.col("line")), unspaced_marks(F.col("line")))).alias("mark"))
-    marks = marks.repartition("mark")
+    banded = lines.select("line_key", "line", F.explode(bands_of(F.length("line"))).alias("band"))
+    marks = banded.select("line_key", F.col("band.low").alias("low"), F.explode(F.concat(
+        spaced_marks(F.col("line"), F.col("band.gram")), unspaced_marks(F.col("line"), F.col("band.gram")))).alias("mark"))
+    marks = marks.select("line_key", F.xxhash64("mark", "low").alias("mark")).repartition("mark")
     shared = marks.groupBy("mark").agg(F.min("line_key").alias("low"), F.max("line_key").alias("high"), F.count("*").alias("n")).filter(
         "low < high").select("mark", "n")
-    live = stored(marks.join(shared.hint("shuffle_hash"), "mark").groupBy("mark", "line_key").agg(
-        F.first("n").alias("n"), F.count("*").alias("times")), "live-marks")
+    live = stored(marks.join(shared.hint("shuffle_hash"), "mark").groupBy("mark", "line_key").agg(F.first("n").alias("n")), "live-marks")
     wanted = stored(live.select("line_key").distinct(), "marked-lines")
     bodies = stored(lines.join(wanted.hint("shuffle_hash"), "line_key", "left_semi").groupBy("line_key").agg(F.first("line").alias("line")).select(
         "line_key", "line", F.length("line").alias("chars"), character_counts(F.col("line")).alias("counts")), "long-lines")
-    # An edit is in GRAM + REACH runs at most, and a mark is in REACH runs at each of its places. From the most common mark
-    # of a line on, those that are in fewer runs together than near lines have in common can't be all that they share.
-    run, grown = GRAM + REACH, EDIT_EVERY + 1
-    least = F.greatest(F.lit(1), F.ceil(((EDIT_EVERY - run) * F.col("chars") - (run - 1) * grown) / grown))
-    commonest = Window.partitionBy("line_key").orderBy(F.desc("n"), "mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    needed = live.join(bodies.select("line_key", "chars"), "line_key").withColumn("runs", REACH * F.sum("times").over(commonest)).filter(
-        F.col("runs") >= least)
-    return stored(needed.select("mark", "line_key", "chars", "n"), "needed-marks"), bodies
+    return stored(live.join(bodies.select("line_key", "chars"), "line_key").select("mark", "line_key", "chars", "n"), "needed-marks"), bodies
 
 
 def long_class_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -444,11 +458,20 @@ def long_class_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     marks, bodies = long_marks(every.select("line_key", "line"))
     alike = lambda a, b: (F.col(a) < LONG_TO) & (F.col(b) - F.col(a) <= allowed(F.col(a)))
 
+    def alike_lines(pairs: DataFrame) -> DataFrame:
+        sides = pairs.join(bodies.select(F.col("line_key").alias("a"), F.col("chars").alias("a_chars"), F.col("counts").alias("a_counts")), "a").join(
+            bodies.select(F.col("line_key").alias("b"), F.col("chars").alias("b_chars"), F.col("counts").alias("b_counts")), "b")
+        return stored(sides.filter(can_be_near("a", "b")).select("a", "b"), "class-pairs")
+
+    def can_be_near(a: str, b: str) -> Column:
+        return alike_counts(f"{a}_counts", f"{b}_counts", allowed(F.col(f"{a}_chars")), F.col(f"{b}_chars") - F.col(f"{a}_chars"))
+
     def compared(pairs: DataFrame) -> DataFrame:
         sides = pairs.join(bodies.select(F.col("line_key").alias("a"), F.col("line").alias("shorter")), "a").join(
             bodies.select(F.col("line_key").alias("b"), F.col("line").alias("longer")), "b")
         apart = F.call_function("levenshtein", F.col("shorter"), F.col("longer"), allowed(F.length("shorter")))
-        return stored(sides.select("a", "b", apart.alias("distance")).filter("distance >= 0"), "class-links")
+        # As a list, so that it is worked out once and not in the filter too.
+        return stored(sides.select("a", "b", F.explode(F.filter(F.array(apart), lambda x: x >= 0)).alias("distance")), "class-links")
 
     links = classes = None
     turn = 0
@@ -457,47 +480,49 @@ def long_class_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
             classes, "line_key", "left").withColumn("class", F.coalesce("class", "line_key"))
         several = placed.groupBy("mark").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("mark")
         marks_left = stored(placed.join(several, "mark", "left_semi"), "open-marks")
-        if links is not None and (n_found == 0 or SHARE * n_found < marks_left.select("line_key").distinct().count()):
-            break
+        if links is not None and (n_found == 0 or n_found < marks_left.select("line_key").distinct().count()):
+            break  # a turn costs more than it spares where it links fewer lines than are left
         order = Window.partitionBy("mark").orderBy("chars", F.xxhash64("line_key", F.pmod("mark", F.lit(TRIES)), F.lit(turn)))
         met = marks_left.select("mark", F.col("line_key").alias("b"), F.col("chars").alias("b_chars"), F.col("class").alias("b_class"), *[
             F.lag(x).over(order).alias(y) for x, y in (("line_key", "a"), ("chars", "a_chars"), ("class", "a_class"))])
         met = met.filter((F.col("a_class") != F.col("b_class")) & alike("a_chars", "b_chars")).select("a", "b").distinct()
-        sides = met.join(bodies.select(F.col("line_key").alias("a"), F.col("chars").alias("a_chars"), F.col("counts").alias("a_counts")), "a").join(
-            bodies.select(F.col("line_key").alias("b"), F.col("counts").alias("b_counts")), "b")
-        found = compared(stored(sides.filter(alike_counts("a_counts", "b_counts", allowed(F.col("a_chars")))).select("a", "b"), "class-pairs"))
+        found = compared(alike_lines(met))
         links, turn, n_found = found if links is None else links.unionByName(found), turn + 1, found.count()
         classes = components(links).toDF("line_key", "class")
     # Each entry knows the marks that its line has just before it, rarest first.
     rarer = Window.partitionBy("line_key").orderBy("n", F.desc("mark")).rowsBetween(-BEFORE, -1)
-    rows = marks_left.join(bodies.select("line_key", "counts"), "line_key").withColumn("before", F.collect_list("mark").over(rarer))
     crowds = marks_left.groupBy("mark").agg(F.count("*").alias("rows")).select(
         "mark", (F.col("rows") > CROWD).alias("crowded"), F.ceil(F.col("rows") / SPLIT).cast("int").alias("salts"))
-    rows = stored(rows.join(crowds, "mark"), "open-entries")
+    rows = stored(marks_left.withColumn("before", F.collect_list("mark").over(rarer)).join(crowds, "mark"), "open-entries")
 
     # Two lines whose lengths differ by a fortieth or less are in one step of lengths or in two that follow each other.
-    step = F.floor(F.log(F.col("chars").cast("double")) / F.log(F.lit(1.026))).cast("int")
-    key, parts = ("mark", "step", "salt"), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    in_step = lambda chars: F.floor(F.log(chars.cast("double")) / F.log(F.lit(1.1))).cast("int")
+    step, lowest = in_step(F.col("chars")), in_step(F.ceil(F.col("chars") * EDIT_EVERY / (EDIT_EVERY + 1)))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def met(entries: DataFrame, *more: str) -> DataFrame:
+    def met(entries: DataFrame, key: tuple[str, ...], near: Column, *more: str) -> DataFrame:
         """Pairs of lines of different classes that can be near, each at the rarest mark that both have."""
-        named = lambda x: [F.col("line_key").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("chars", "class", "counts", "before", *more)]]
-        index = entries.select("mark", step.alias("step"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *named("a"))
-        probes = entries.select("mark", F.explode(F.array(step, step - 1)).alias("step"), F.pmod("line_key", "salts").cast("int").alias("salt"), *named("b"))
+        named = lambda x: [F.col("line_key").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("chars", "class", "before", *more)]]
+        own = {"mark": F.col("mark"), "step": step, "salt": F.explode(F.sequence(F.lit(0), F.col("salts") - 1))}
+        index = entries.select(*[own[k].alias(k) for k in key], *named("a"))
+        own |= {"step": F.explode(F.sequence(lowest, step)), "salt": F.pmod("line_key", "salts").cast("int")}
+        probes = entries.select(*[own[k].alias(k) for k in key], *named("b"))
         # Comparing takes longer than the size of a task's rows shows, so partitions are not to be merged.
         index, probes = index.repartition(parts, *key), probes.repartition(parts, *key)
         near = (F.col("a_class") != F.col("b_class")) & alike("a_chars", "b_chars") & (
             (F.col("a_chars") < F.col("b_chars")) | ((F.col("a_chars") == F.col("b_chars")) & (F.col("a") < F.col("b")))) & (
-            ~F.arrays_overlap("a_before", "b_before")) & alike_counts("a_counts", "b_counts", allowed(F.col("a_chars")))
-        if more:
-            near = near & (F.call_function("levenshtein", F.col("a_line"), F.col("b_line"), allowed(F.col("a_chars"))) >= 0)
-        return index.join(probes, (index["mark"] == probes["mark"]) & (index["step"] == probes["step"]) & (index["salt"] == probes["salt"]) & near
-                          ).select("a", "b").distinct()
+            ~F.arrays_overlap("a_before", "b_before")) & near
+        for k in key:
+            near = (index[k] == probes[k]) & near
+        return index.join(probes, near).select("a", "b").distinct()
 
     # In marks of many lines only links come out of the join; elsewhere pairs do, at most CROWD for each entry.
-    texts = rows.filter("crowded").join(bodies.select("line_key", "line"), "line_key")
-    rest = compared(stored(met(rows.filter("not crowded")).union(met(texts, "line")).distinct(), "long-pairs"))
-    return links.unionByName(rest)
+    few = rows.filter("not crowded").withColumn("before", F.when(F.size("before") > NEXT, F.slice("before", -NEXT, NEXT)).otherwise(F.col("before")))
+    few = alike_lines(met(few, ("mark",), F.lit(True)))
+    texts = rows.filter("crowded").join(bodies.select("line_key", "line", "counts"), "line_key")
+    apart = F.call_function("levenshtein", F.col("a_line"), F.col("b_line"), allowed(F.col("a_chars")))
+    many = stored(met(texts, ("mark", "step", "salt"), can_be_near("a", "b") & (apart >= 0), "line", "counts"), "crowd-links")
+    return links.unionByName(compared(few.union(many).distinct()))
 
 
 def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text",

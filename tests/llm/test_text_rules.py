@@ -377,6 +377,41 @@ def test_pairs_of_a_large_group_are_not_listed(spark, monkeypatch):
     assert seen["class-pairs"] + seen["long-pairs"] <= 120 * 2 * line_edit_join.TRIES
 
 
+def test_long_lines_meet_at_marks_of_their_length(spark, monkeypatch):
+    import random
+
+    rng, seen, plain = random.Random(14), Counter(), line_edit_join.stored
+    text = lambda n: "x" + "".join(rng.choice("abcdefghij klmnop") for _ in range(n - 2)) + "y"
+    short, long, near = text(16).replace(" ", "q"), text(60), text(410)
+    near = near[:396] + "mmmmmm" + near[402:]
+    lines = [text(200) + " " + short + " " + text(200) for _ in range(6)]  # a passage of 20 code points
+    lines += [text(n) + " " + long + " " + text(n) for n in (40, 100, 200, 400)]  # lengths that are far apart
+    lines += [near, near[:100] + "z" * 10 + near[110:], near[:402], near[:398]]  # the last one is of another band
+
+    def kept(df, name):
+        out = plain(df, name)
+        seen[name] += out.count()
+        if name == "long-lines":
+            seen["met"] = {r.line for r in out.select("line").collect()}
+        return out
+
+    monkeypatch.setattr(line_edit_join, "stored", kept)
+    links = line_edit_join.long_class_links(documents(spark, list(enumerate(lines)))).collect()
+    assert seen["met"] == set(lines[-4:]) and len({frozenset((r.a, r.b)) for r in links}) == 3
+
+
+def test_bands_cover_what_near_lines_have_in_common(spark):
+    low, high = line_edit_join.LONG_FROM, line_edit_join.LONG_TO + line_edit_join.LONG_TO // line_edit_join.EDIT_EVERY
+    rows = spark.range(low, high + 1).select("id", line_edit_join.bands_of(F.col("id").cast("int")).alias("bands")).collect()
+    bands = {r.id: {b.low: b.gram for b in r.bands} for r in rows}
+    for n in range(low, line_edit_join.LONG_TO):
+        edits = n // 40
+        own = max(b for b in line_edit_join.BANDS if b <= n)
+        piece = -(-(n - edits) // (edits + 1))  # of the shorter line, the longest one between its edits
+        assert bands[n][own] + line_edit_join.REACH <= piece and all(own in bands[n + d] for d in range(edits + 1))
+    assert min(min(x.values()) for x in bands.values() if x) == line_edit_join.GRAM
+
+
 def test_marks_of_a_line_are_least_hashes_of_runs():
     import numpy as np
 
